@@ -24,6 +24,6 @@ shared AS (SELECT g FROM x GROUP BY 1 HAVING count(*) > 1),
 y AS (SELECT x.* FROM x SEMI JOIN shared USING (g)),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT both.b, r.root FROM r JOIN both ON both.a = r.id)
+ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT ab.b, r.root FROM r JOIN ab ON ab.a = r.id)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.root AS component_id FROM n JOIN (SELECT id, min(root) AS root FROM r GROUP BY 1) c ON c.id = n.doc_id"""
