@@ -1,94 +1,159 @@
 """Line dedup by log templates in a fixed-depth tree.
 
 A line's tokens are its words; a word with a digit is a variable field. The tree's levels are the token count, then the
-leading LEAD words, variable ones as `<*>`; its leaves hold groups of lines that differ in their variable fields, or in few
-words. A group's template has `<*>` wherever its lines differ. Lines whose template recurs in other documents are dropped,
-except in the template's first document (the smallest id), so no content vanishes. Lines of fewer than LEAST tokens,
-and blank ones, stay unless a whole template of MANY documents holds them: short sentences meet by chance.
-
-Distribution: a leaf that only one document reaches needs no template, so only lines of leaves that recur go on, as distinct
-masked lines with counts. Within a leaf they are grouped by similarity; a leaf of more than LEAF masked lines is cut by the
-next words, which lines of one template share unless a variable field stands there.
-
-Null texts stay null; null ids count as one document, the first. Extra columns pass through. Repeated rows are one document.
+LEAD leading words, variable ones as one field; its leaves hold groups of lines that differ in their variable fields, or in
+few words. A group's template has a field wherever its lines differ. Lines whose template recurs in other documents are
+dropped, except in the template's first document (the smallest id), so no content vanishes. Lines of fewer than LEAST tokens
+go only if their template is in MANY documents: short sentences meet by chance. Blank lines stay.
+
+One scan writes a row for each distinct line of each document: hashes of its leaf and of its masked words, and 16 bits of each
+word for the comparison within leaves. A leaf that one document alone reaches, or that holds one masked line, needs no
+grouping. In others, distinct masked lines are grouped by similarity, most frequent first; a leaf of more than LEAF of them
+is cut by its next two words. Texts move once, to meet the list of lines that they lose.
+
+Null texts stay null. Rows with a null id keep their lines and don't count. Extra columns pass through. Rows that repeat an
+id are one document: a line of theirs doesn't recur by them.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-LEAD, SIMILAR, LEAST, MANY, MIN_DOCS, LEAF = 3, 0.7, 5, 10, 2, 2_000
-FIELD = "<*>"
-WORD_GAP = r"[\x20\x09-\x0D]+"
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import kernels as K
 
-def masked(line: Column) -> Column:
-    """The line's words, single-spaced, those with a digit as `<*>`."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, WORD_GAP, " ")), r"[^ ]*[0-9][^ ]*", FIELD)
+LEAD, SIMILAR, LEAST, MANY, MIN_DOCS, LEAF = 3, 0.7, 5, 10, 2, 2_000
+FIELD = np.uint64(0x5EED_F1E1D)
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+
+
+def masked_lines(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(document of each line, its hash, leaf, next-words hash, first word, tokens, masked word hashes) of all lines; blank lines have 0 tokens."""
+    data, offsets = K.buffers(column)
+    h, starts, _ = K.words(data, offsets, False)
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
+    h = np.where(digits[ends] > digits[starts], FIELD, h) if len(h) else h
+    breaks = np.flatnonzero(data == 10) + 1
+    # a line starts at each text's start and after each line feed
+    line = np.sort(np.concatenate((offsets[:-1], breaks)), kind="stable")
+    owner = np.repeat(np.arange(len(offsets) - 1), 1 + np.diff(np.searchsorted(breaks, offsets, "right")))
+    first = np.searchsorted(starts, line)
+    n = np.diff(np.append(first, len(starts)))
+    # an empty text's line must not take the next text's words: those start at the same byte
+    upto = np.searchsorted(starts, np.append(line[1:], len(data)))
+    n = np.minimum(n, upto - first)
+    up, down = K._powers(len(h) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(h) * up[: len(h)], dtype=np.uint64)))
+        span = lambda a, b: K.mix((total[b] - total[a]) * down[np.minimum(a, len(h))] + (b - a).astype(np.uint64))
+        last = first + n
+        code = span(first, last)
+        leaf = K.mix(span(first, np.minimum(first + LEAD, last)) + n.astype(np.uint64) * np.uint64(K.STEP))
+        deeper = span(np.minimum(first + LEAD, last), np.minimum(first + LEAD + 2, last))
+    return owner, code, leaf, deeper, first, n, h
 
 
 def document_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, masked, tokens, leaf, h): every non-blank line of every text."""
-    line = docs.select(F.col(doc).cast("long").alias("doc"), F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line"))
-    m = line.select("doc", masked(F.col("line")).alias("masked")).filter("masked <> ''")
-    words = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "))) + 1
-    lead = F.substring_index("masked", " ", LEAD)
-    return m.select("doc", "masked", words.cast("int").alias("tokens"), F.xxhash64(words, lead).alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("h"))
-
-
-def group_leaf(pdf: pd.DataFrame, similar: float = SIMILAR) -> pd.DataFrame:
-    """(h, template): the masked lines of one leaf by similarity, most frequent first; equal shares of words decide."""
-    pdf = pdf.sort_values(["docs", "masked"], ascending=[False, True])
-    groups: list[list[str]] = []
-    names: list[int] = []
-    rows = [m.split(" ") for m in pdf["masked"]]
-    member = []
-    for words, h in zip(rows, pdf["h"], strict=True):
-        best, at = 0.0, -1
-        for i, g in enumerate(groups):
-            if len(g) == len(words):
-                same = sum(a == b for a, b in zip(g, words, strict=True)) / len(words)
-                if same > best:
-                    best, at = same, i
-        if at >= 0 and best >= similar:
-            groups[at] = [a if a == b else FIELD for a, b in zip(groups[at], words, strict=True)]
-        else:
-            groups.append(words)
-            names.append(int(h))
-            at = len(groups) - 1
-        member.append(at)
-    return pd.DataFrame({"h": pdf["h"].to_numpy(), "template": [names[i] for i in member], "pattern": [" ".join(groups[i]) for i in member]})
+    """(doc, h, leaf, deeper, tokens, words): the distinct non-blank lines of every document."""
+    K.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, code, leaf, deeper, first, n, h = masked_lines(b.column(1))
+            order = np.lexsort((code, owner))
+            order = order[n[order] > 0]
+            o, c = owner[order], code[order]
+            order = order[np.concatenate(([True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])))] if len(order) else order
+            small = (h >> np.uint64(48)).astype(np.uint16)
+            words = [small[a : a + m].tobytes() for a, m in zip(first[order].tolist(), n[order].tolist(), strict=True)]
+            ids = b.column(0).take(pa.array(owner[order]))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[order].view(np.int64)) for x in (code, leaf, deeper)], pa.array(n[order].astype(np.int32)), pa.array(words, pa.binary())], names=["doc", "h", "leaf", "deeper", "tokens", "words"])
+
+    rows = docs.filter(F.col(doc).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc long, h long, leaf long, deeper long, tokens int, words binary")
+
+
+def group_leaf(words: list[np.ndarray], similar: float = SIMILAR) -> list[int]:
+    """The group of each masked line of a leaf, in the order given: it joins the most similar template so far if enough words agree."""
+    patterns = np.zeros((0, len(words[0]) if words else 0), np.int64)
+    out = []
+    for w in words:
+        w = w.astype(np.int64)
+        if len(patterns):
+            share = (patterns == w).mean(axis=1)
+            i = int(share.argmax())
+            if share[i] >= similar:
+                patterns[i][patterns[i] != w] = -1  # a field from now on
+                out.append(i)
+                continue
+        patterns = np.vstack((patterns, w))
+        out.append(len(patterns) - 1)
+    return out
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h, template, first, docs_of): masked lines whose template recurs, with the template's first document."""
-    per_line = lines.groupBy("leaf", "h", "tokens").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("docs"), F.min("masked").alias("masked"))
-    leaf = per_line.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds")).filter("a <> b")
-    live = per_line.join(leaf.select("leaf", "kinds"), "leaf")
-    deeper = F.when(F.col("kinds") > LEAF, F.xxhash64(F.substring_index("masked", " ", LEAD + 2))).otherwise(0)
-    several = live.filter("kinds > 1").withColumn("deeper", deeper)
-    grouped = several.select("leaf", "deeper", "h", "docs", "masked").groupBy("leaf", "deeper").applyInPandas(lambda pdf: group_leaf(pdf), "h long, template long, pattern string")
-    known = live.filter("kinds = 1").select("h", F.col("h").alias("template")).unionByName(grouped.select("h", "template"))
-    of = live.select("h", "tokens", "first", "last", "docs").join(known, "h")
+    """(h, first): masked lines whose template recurs, with the template's first document."""
+    kinds = lines.groupBy("h", "leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens"))
+    leaf = kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds")).filter("a <> b").select("leaf", "kinds")
+    live = K.cut(kinds.join(leaf, "leaf"))
+    several = live.filter("kinds > 1")
+    sketch = lines.join(several.select("h", "leaf", "docs", "first", "kinds"), ["h", "leaf"]).filter("doc = first").select("h", "leaf", "docs", "words", F.when(F.col("kinds") > LEAF, F.col("deeper")).otherwise(0).alias("deeper")).dropDuplicates(["h", "leaf"])
+
+    def run(table: pa.Table) -> pa.Table:
+        h, docs = table.column("h").to_numpy(), table.column("docs").to_numpy()
+        words = [np.frombuffer(x.as_py(), np.uint16) for x in table.column("words")]
+        order = np.lexsort((h, -docs))
+        size = np.bincount([len(w) for w in words]).argmax()
+        order = [i for i in order if len(words[i]) == size]  # leaves hold one token count, but for a collision of hashes
+        group = group_leaf([words[i] for i in order])
+        lead: dict[int, int] = {}
+        for i, g in zip(order, group, strict=True):
+            lead.setdefault(g, int(h[i]))
+        return pa.Table.from_arrays([pa.array(h[order], pa.int64()), pa.array([lead[g] for g in group], pa.int64())], names=["h", "template"])
+
+    grouped = sketch.groupBy("leaf", "deeper").applyInArrow(run, "h long, template long")
+    own = live.filter("kinds = 1").select("h", F.col("h").alias("template"))
+    of = live.select("h", "tokens", "first", "last", "docs").join(own.unionByName(grouped), "h")
     total = of.groupBy("template").agg(F.min("first").alias("t_first"), F.max("last").alias("t_last"), F.sum("docs").alias("t_docs"))
     need = F.when(F.col("tokens") >= LEAST, min_docs).otherwise(MANY)
-    return of.join(total, "template").filter((F.col("t_first") != F.col("t_last")) & (F.col("t_docs") >= need)).select("h", "template", F.col("t_first").alias("first"))
+    recur = (F.col("t_first") != F.col("t_last")) & (F.col("t_docs") >= need)
+    return of.join(total, "template").filter(recur).select("h", F.col("t_first").alias("first"))
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with recurring lines dropped from text, plus _lines, _dropped: the lines of a row and those dropped."""
-    lines = document_lines(docs, doc, text)
-    # one row per line and document before anything else: copies within a document don't recur across documents
-    distinct = lines.groupBy("doc", "leaf", "h", "tokens").agg(F.min("masked").alias("masked"))
-    gone = templates(distinct)
-    hit = distinct.select("doc", "h").join(gone, "h").filter("doc <> first or (doc is not null and first is null)")
+    lines = K.cut(document_lines(docs, doc, text))
+    gone = templates(lines)
+    hit = lines.select("doc", "h").join(gone, "h").filter("doc <> first")
     per_doc = hit.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_gone"))  # bounded by the document's own lines
-    joined = docs.join(per_doc, F.col(doc).cast("long") == F.col("_doc"), "left")
-    split = F.split(F.col(text).cast("string"), "\n")
-    keep = F.filter(split, lambda x: ~F.coalesce(F.array_contains("_gone", F.xxhash64(masked(x), F.lit(1))), F.lit(False)))
-    out = joined.withColumn("_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("_kept", keep)
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_lines") - F.size("_kept")).cast("long")
-    out = out.withColumn("_dropped", dropped).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    return out.drop("_doc", "_gone", "_kept")
+    names = docs.columns
+    joined = docs.join(per_doc, F.col(doc).cast("long") == F.col("_doc"), "left").drop("_doc")
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(at).cast(pa.large_string())
+            texts = column.to_pylist()
+            owner, code, _, _, _, n, _ = masked_lines(column)
+            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+            dropped = np.zeros(len(texts), np.int64)
+            for i, g in enumerate(b.column(len(names)).to_pylist()):
+                if g is not None and texts[i]:
+                    s = slice(bounds[i], bounds[i + 1])
+                    off = np.isin(code[s].view(np.int64), np.array(g, np.int64)) & (n[s] > 0)
+                    dropped[i] = off.sum()
+                    texts[i] = "\n".join(t for t, x in zip(texts[i].split("\n"), off, strict=True) if not x)
+            count = np.where(np.array(column.is_null()), 0, np.diff(bounds))
+            columns = [*b.columns[: len(names)]]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(dropped)], names=[*names, "_lines", "_dropped"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {'string' if c == text else kinds[c]}" for c in names), "_lines long, _dropped long"])
+    return joined.mapInArrow(run, schema)
