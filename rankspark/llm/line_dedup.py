@@ -6,7 +6,7 @@ few words. A group's template has a field wherever its lines differ. Lines whose
 dropped, except in the template's first document (the smallest id), so no content vanishes. Lines of fewer than LEAST tokens
 go only if their template is in MANY documents: short sentences meet by chance. Blank lines stay.
 
-One scan writes a row for each distinct line of each document: hashes of its leaf and of its masked words, and 16 bits of each
+One scan writes a row for each distinct line of each document: hashes of its leaf and of its masked words, and 8 bits of each
 word for the comparison within leaves. A leaf that one document alone reaches, or that holds one masked line, needs no
 grouping. In others, distinct masked lines are grouped by similarity, most frequent first; a leaf of more than LEAF of them
 is cut by its next two words. Texts move once, to meet the list of lines that they lose.
@@ -70,7 +70,7 @@ def document_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
             order = order[n[order] > 0]
             o, c = owner[order], code[order]
             order = order[np.concatenate(([True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])))] if len(order) else order
-            small = (h >> np.uint64(48)).astype(np.uint16)
+            small = (h >> np.uint64(56)).astype(np.uint8)
             words = [small[a : a + m].tobytes() for a, m in zip(first[order].tolist(), n[order].tolist(), strict=True)]
             ids = b.column(0).take(pa.array(owner[order]))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[order].view(np.int64)) for x in (code, leaf, deeper)], pa.array(n[order].astype(np.int32)), pa.array(words, pa.binary())], names=["doc", "h", "leaf", "deeper", "tokens", "words"])
@@ -107,7 +107,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         h, docs = table.column("h").to_numpy(), table.column("docs").to_numpy()
-        words = [np.frombuffer(x.as_py(), np.uint16) for x in table.column("words")]
+        words = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("words")]
         order = np.lexsort((h, -docs))
         size = np.bincount([len(w) for w in words]).argmax()
         order = [i for i in order if len(words[i]) == size]  # leaves hold one token count, but for a collision of hashes
@@ -119,7 +119,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     grouped = sketch.groupBy("leaf", "deeper").applyInArrow(run, "h long, template long")
     own = live.filter("kinds = 1").select("h", F.col("h").alias("template"))
-    of = live.select("h", "tokens", "first", "last", "docs").join(own.unionByName(grouped), "h")
+    of = K.cut(live.select("h", "tokens", "first", "last", "docs").join(own.unionByName(grouped), "h"))
     total = of.groupBy("template").agg(F.min("first").alias("t_first"), F.max("last").alias("t_last"), F.sum("docs").alias("t_docs"))
     need = F.when(F.col("tokens") >= LEAST, min_docs).otherwise(MANY)
     recur = (F.col("t_first") != F.col("t_last")) & (F.col("t_docs") >= need)
