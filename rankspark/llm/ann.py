@@ -5,12 +5,14 @@ label propagation under a capacity; a softmax classifier learns each vector's pa
 row goes to its most probable part. Search: a query goes to as many of its most probable parts as reached TARGET_RECALL on
 held-out sample queries, and is compared there with every row, in double precision.
 
-Parts grow in number with the rows (PER_PART each, a power of two). A part is dealt out in blocks of BLOCK rows, and a block
-meets CHUNK queries at a time, so a third of all rows in one part, or of equal vectors, is many tasks. Each task returns its
-k best for each query; ties go to smaller ids.
+Parts grow in number with the rows (PER_PART each, a power of two). A task takes CELL parts with about BLOCK rows, meets CHUNK
+queries at a time with the parts each of them probes, and returns one list of k best for each query, not one per part. Parts
+that hold more are dealt out in blocks, so a third of all rows in one part, or of equal vectors, is many tasks. Ties go to
+smaller ids.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers take no part. A query
-never finds rows of its own id. Rows that repeat an id are found once, at their best.
+never finds rows of its own id. Rows that repeat an id are found once, at their best; a query id that repeats asks once, with
+the smallest of its vectors.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from . import vectors as V
 
 SAMPLE, NEIGHBOURS, PER_PART, MOST_PARTS = 4_096, 10, 1_024, 4_096
 TARGET_RECALL, BLOCK, CHUNK = 0.95, 20_000, 20_000
+CELL = BLOCK // PER_PART
 SEED = 3
 
 
@@ -118,8 +121,9 @@ def fit(x: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, int]:
 
 
 def block_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows of a block: score down, then id up. Sums of a pair don't depend on its place."""
+    """(query, row, score) of each query's k best ids of a block: score down, then id up. Sums of a pair don't depend on its place."""
     out = [[], [], []]
+    k *= int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1  # repeated ids must not push others out
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
         s[q_ids[a : a + 256][:, None] == ids[None, :]] = -np.inf
@@ -137,43 +141,71 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
+def merged(a: tuple, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of two lists of (query, row, score), each id once."""
+    q, ids, score = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((-score, ids, q))
+    q, ids, score = q[order], ids[order], score[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], score[keep]
+
+
 def search(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k nearest rows found, by inner product. Both frames have key and vector."""
     spark = base.sparkSession
     schema = "query_id long, rank int, id long, score double"
     rows = base.filter(V.usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id", "v"])
-    asked = queries.filter(V.usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"])
+    asked = queries.filter(V.usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     d = V.dimension(rows, "v")
     if d is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
-    rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d)
+    rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     n_rows = rows.count()
     w, probes = fit(V.sample(rows, "id", "v", SAMPLE, d), n_rows, k)
 
-    def assign(m: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                parts = route(V.matrix(b.column(1), d), w, m)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, parts.shape[1], dtype=np.int32)), pa.array(parts.ravel().astype(np.int32)))], names=["id", "v", "parts"])
-        return run
-
-    placed = rows.mapInArrow(assign(1), "id long, v array<double>, parts array<int>").select("id", "v", F.col("parts")[0].alias("part"))
-    routed = asked.mapInArrow(assign(probes), "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part"))
-    # how many blocks of rows and chunks of queries a part makes: one small row per part
-    blocks = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    chunks = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    plan = blocks.join(chunks, "part")
-    left = placed.join(plan, "part").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "v")
-    right = routed.join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "v")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = route(V.matrix(b.column(1), d), w, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((part // CELL).astype(np.int32)), pa.array(part.astype(np.int32))], names=["id", "v", "cell", "part"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = route(V.matrix(b.column(1), d), w, probes)
+            for cell in np.unique(parts // CELL):
+                here = parts // CELL == cell
+                some = np.flatnonzero(here.any(axis=1))
+                ends = np.concatenate(([0], np.cumsum(here[some].sum(axis=1)))).astype(np.int32)
+                probed = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts[some][here[some]].astype(np.int32)))
+                q = b.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*q.columns, pa.array(np.full(len(some), cell, np.int32)), probed], names=["id", "v", "cell", "parts"])
+
+    placed = rows.mapInArrow(place, "id long, v array<double>, cell int, part int")
+    routed = asked.mapInArrow(ask, "id long, v array<double>, cell int, parts array<int>")
+    # how many blocks of rows and chunks of queries a cell makes: one small row per cell
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    chunks = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    plan = blocks.join(chunks, "cell")
+    left = placed.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "v", "part")
+    right = routed.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "v", "parts")
 
     def best(x: pa.Table, q: pa.Table) -> pa.Table:
-        if not x.num_rows or not q.num_rows:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        else:
-            found = block_best(q.column("id").to_numpy(), V.matrix(q.column("v"), d), x.column("id").to_numpy(), V.matrix(x.column("v"), d), k)
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if x.num_rows and q.num_rows:
+            ids, v, part = x.column("id").to_numpy(), V.matrix(x.column("v"), d), x.column("part").to_numpy()
+            q_ids, asking, lists = q.column("id").to_numpy(), V.matrix(q.column("v"), d), q.column("parts").combine_chunks()
+            probed, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q_ids)), lists.value_lengths().to_numpy())
+            for p in np.unique(part):
+                mine, rows_here = who[probed == p], np.flatnonzero(part == p)
+                if len(mine):
+                    found = merged(found, block_best(q_ids[mine], asking[mine], ids[rows_here], v[rows_here], k), k)
         return pa.Table.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "id", "score"])
 
-    keys = ("part", "block", "chunk")
+    keys = ("cell", "block", "chunk")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

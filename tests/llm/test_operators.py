@@ -122,6 +122,20 @@ def test_itq_and_search_against_brute_force(spark):
     assert good >= 0.9 * 100 and {r.query_id for r in hits} == set(range(0, 400, 20))
 
 
+def test_repeated_ids_do_not_push_others_out():
+    rng = np.random.default_rng(4)
+    x, ids = rng.standard_normal((60, 8)), np.array([7] * 30 + list(range(100, 130)))
+    q = rng.standard_normal((3, 8))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    half = [ann.block_best(np.arange(3), q, ids[a::2], x[a::2], 5) for a in (0, 1)]
+    got = ann.merged(ann.merged(none, half[0], 5), half[1], 5)
+    for i in range(3):
+        best = {}
+        for d, s in zip(ids.tolist(), (q[i] * x).sum(1).tolist(), strict=True):
+            best[d] = max(s, best.get(d, s))
+        assert got[1][got[0] == i].tolist() == sorted(best, key=lambda d: (-best[d], d))[:5]
+
+
 def test_lines(spark):
     rows = [(1, "GET page 17 took 5 ms\nfirst words of one text alone", 7), (2, "GET page 99 took 8 ms\nother words of a second text", 7), (3, None, 7), (4, "", 7), (None, "GET page 1 took 1 ms", 7)]
     got = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, words int")).collect()}
