@@ -176,6 +176,21 @@ def test_grades_learned():
     assert z[0] < cut[0] < z[2] < cut[1] < z[1] and (np.diff(cut) > 0).all()
 
 
+def test_grades_on_texts_not_seen():
+    rng = random.Random(6)
+    vocab, foul = [f"w{i}" for i in range(2000)], ["vile", "nasty", "rotten"]
+
+    def text(grade, n):
+        w = [rng.choice(vocab) for _ in range(n)]
+        return " ".join([*w[: n // 2], *([rng.choice(foul)] * (grade == 0)), *w[n // 2 :]]) if grade != 1 else " | ".join(w)
+
+    seen = [(g, text(g, rng.randrange(5, 200))) for g in (0, 1, 2, 2, 2) * 200]
+    w, cut = quality.fit(pa.array([t for _, t in seen]), np.array([g for g, _ in seen]))
+    new = [(g, text(g, n)) for g in (0, 1, 2) * 30 for n in (20, 3000)]
+    z = [float(w[s] @ v) for s, v in quality.features(pa.array([t for _, t in new]))]
+    assert np.mean([(x >= cut[1]) == (g == 2) for x, (g, _) in zip(z, new, strict=True)]) >= 0.95
+
+
 def test_word_kernel_cuts_pieces(monkeypatch):
     from rankspark.llm import kernels as K
 
