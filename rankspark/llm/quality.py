@@ -2,8 +2,8 @@
 
 P(grade >= k) = sigmoid(w . x - t_k) with one weight vector for all grades and ordered thresholds t_1 < t_2 < ... (kept in
 order by summing exponentials). x marks which of the text's words and word pairs occur, lower-cased and hashed into DIM slots,
-and which tenth its share of distinct words and of words said twice in a row fall into. Marks, not shares of the text: one
-telling word counts as much in a long text as in a short one. Only slots whose presence differs between lower and higher
+and which tenth its share of words said twice in a row falls into. Marks, not shares of the text: one telling word counts as
+much in a long text as in a short one. Only slots whose presence differs between lower and higher
 grades by EVIDENCE standard errors get a weight, so rare words that one grade has by chance say nothing. The expected grade is
 the sum of the tail probabilities; a document is selected if its tail probability at SELECT_GRADE is at least SELECT_AT.
 
@@ -40,8 +40,8 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b > a:
             words = np.unique(one[a:b])
-            tenths = (10 * len(words) // (b - a), 16 + 10 * (twice[b - 1] - twice[a]) // (b - a))
-            shape = (K.mix(np.array(tenths, np.uint64) + np.uint64(DIM)) % np.uint64(DIM)).astype(np.int64)
+            tenth = np.array([10 * (twice[b - 1] - twice[a]) // (b - a)], np.uint64)
+            shape = (K.mix(tenth + np.uint64(DIM)) % np.uint64(DIM)).astype(np.int64)
             slots = np.unique(np.concatenate((words, two[a : b - 1], shape)))
             yield slots, np.ones(len(slots))
         else:
