@@ -49,16 +49,20 @@ def set_key(s: np.ndarray) -> int:
         return int(K.mix(np.uint64((int(K.mix(s).sum(dtype=np.uint64)) ^ int(s.sum(dtype=np.uint64)) * 3) % (1 << 64)) + np.uint64(len(s))).astype(np.int64))
 
 
+def text_tag(text: str) -> F.Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def document_sets(docs: DataFrame, doc: str, text: str, n_words: int) -> DataFrame:
-    """(doc, n, key) of every row; key is null for an empty set."""
+    """(doc, n, key, tag) of every row; key is null for an empty set, tag is a hash of the text."""
     K.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(K.shingle_sets(b.column(1), n_words))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc", "n", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), b.column(2)], names=["doc", "n", "key", "tag"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc long, n long, key long")
+    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), text_tag(text).alias("tag")).mapInArrow(run, "doc long, n long, key long, tag long")
 
 
 def _pack(tok: np.ndarray, owner: np.ndarray, keys: np.ndarray, ns: np.ndarray, flags: np.ndarray) -> bytes:
@@ -352,11 +356,8 @@ def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("block", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc, n, component): every row's set size and the smallest id reachable by links of Jaccard >= percent / 100.
-
-    Documents with an empty set are alone. All rows and whole texts are compared; counts are exact on 56-bit n-gram hashes.
-    """
+def _grouped(docs: DataFrame, doc: str, text: str, n_words: int, percent: int) -> DataFrame:
+    """(doc, n, key, tag, group, name) of every row: the group's key and its smallest id; both null for an empty set."""
     rows = K.cut(document_sets(docs, doc, text, n_words))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(6, int(total // BUCKET_ROWS).bit_length())
@@ -365,17 +366,32 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     blocks = K.cut(K.components(prefix_edges(sets, percent)))
     links = K.components(block_links(sets, blocks, percent))
     per_key = rows.filter("key is not null").groupBy("key").agg(F.min("doc").alias("least"))
-    labelled = K.cut(per_key.join(links.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-    names = labelled.groupBy("component").agg(F.min("least").alias("name"))
-    named = labelled.join(names, "component").select("key", "name")
-    out = rows.join(named, "key", "left")
+    labelled = K.cut(per_key.join(links.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")))
+    names = labelled.groupBy("group").agg(F.min("least").alias("name"))
+    return rows.join(labelled.join(names, "group").select("key", "group", "name"), "key", "left")
+
+
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc, n, component): every row's set size and the smallest id reachable by links of Jaccard >= percent / 100.
+
+    Documents with an empty set are alone. All rows and whole texts are compared; counts are exact on 56-bit n-gram hashes.
+    """
+    out = _grouped(docs, doc, text, n_words, percent)
     return out.select("doc", "n", F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component"))
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of one document of each group: that of the smallest id. Rows that repeat this id and text are one document."""
-    groups = jaccard_components(docs, doc, text, n_words, percent)
-    keep = groups.filter("doc is null or doc = component").select(F.col("doc").alias("_kept")).distinct()
-    alone = docs.filter(F.col(doc).isNull())
-    first = docs.filter(F.col(doc).isNotNull()).join(keep, F.col(doc).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([doc])
-    return first.unionByName(alone)
+    """The rows of one document of each group: that of the smallest id; if this id has several texts in the group, the one
+    with the fewest n-grams, then of the smallest hash.
+
+    Rows that repeat an id and a text are one document. Rows with a null id and documents with an empty set stay. Extra
+    columns pass through.
+    """
+    groups = _grouped(docs, doc, text, n_words, percent).filter("doc is not null")
+    best = groups.filter("doc = name").groupBy("group").agg(F.min("doc").alias("doc"), F.min(F.struct("n", "tag"))["tag"].alias("tag"))
+    keep = best.select("doc", "tag").unionByName(groups.filter("key is null").select("doc", "tag")).distinct()
+    inner = docs.toDF(*[f"in{i}" for i in range(len(docs.columns))])  # no name of docs can clash
+    d, t = (f"in{docs.columns.index(c)}" for c in (doc, text))
+    tagged = inner.withColumns({"doc": F.col(d).cast("long"), "tag": text_tag(t)})
+    first = tagged.filter(F.col("doc").isNotNull()).join(keep, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    return first.select(*inner.columns).unionByName(inner.filter(F.col(d).isNull())).toDF(*docs.columns)
