@@ -127,13 +127,15 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with recurring lines dropped from text, plus _lines, _dropped: the lines of a row and those dropped."""
+    """docs with recurring lines dropped from text, plus _lines, _dropped (in place of columns so named): the lines of a row and those dropped."""
+    docs = docs.drop("_lines", "_dropped")
     lines = K.cut(document_lines(docs, doc, text))
     gone = templates(lines)
     hit = lines.select("doc", "h").join(gone, "h").filter("doc <> first")
     per_doc = hit.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_gone"))  # bounded by the document's own lines
     names = docs.columns
-    joined = docs.join(per_doc, F.col(doc).cast("long") == F.col("_doc"), "left").drop("_doc")
+    inner = docs.toDF(*[f"in{i}" for i in range(len(names))])  # no name of docs can clash
+    joined = inner.join(per_doc, F.col(f"in{names.index(doc)}").cast("long") == F.col("_doc"), "left").drop("_doc")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,7 +262,8 @@ def encoded(docs: DataFrame, model: str, doc: str = "doc_id", text: str = "text"
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_pieces long, pieces_sha256 string, lossless boolean", *["pieces array<int>"] * ids])
-    return docs.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("_text"), *names).mapInArrow(run, schema)
+    inner = docs.select(F.col(doc), F.col(text).cast("string"), *names)
+    return inner.toDF(*[f"in{i}" for i in range(len(inner.columns))]).mapInArrow(run, schema)  # no name of docs can clash
 
 
 def decoded(rows: DataFrame, model: str, pieces: str = "pieces", text: str = "text") -> DataFrame:
@@ -279,4 +280,5 @@ def decoded(rows: DataFrame, model: str, pieces: str = "pieces", text: str = "te
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], names=[*names, text])
 
     kinds = dict(rows.dtypes)
-    return rows.select(F.col(pieces).alias("_pieces"), *names).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{text}` string"]))
+    inner = rows.select(F.col(pieces), *names)
+    return inner.toDF(*[f"in{i}" for i in range(len(inner.columns))]).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{text}` string"]))

@@ -113,6 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     graded = labels.filter(F.col(doc).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).select(F.col(doc).alias("_id"), grade.alias("grade"), F.xxhash64(F.col(doc).cast("string"), F.lit(9)).alias("_h"))
     picked = graded.orderBy("_h", "_id", "grade").limit(SAMPLE)
+    docs = docs.select(F.col(doc), F.col(text))
     return docs.join(F.broadcast(picked), F.col(doc) == F.col("_id")).orderBy("_h", "_id").select(F.col(text).cast("string").alias("text"), "grade")  # at most SAMPLE rows of three numbers
 
 
