@@ -175,9 +175,9 @@ def rerank_missing_scores_audit(spark, d):
 
 @query(f"WITH {FULL} SELECT 'missing' AS rule, item_id, doc_id FROM ranked WHERE rank <= 5 AND rank = 3 UNION ALL SELECT 'ranks', item_id, NULL FROM ranked WHERE rank = 3")
 def rank_permutation_audit(spark, d):
-    """Rankings cut to five rows of which the third is lost, against an inventory of those five."""
-    top = full_ranking(spark, d).filter("rank <= 5")
-    return named(ranking.permutation_violations(top.filter("rank <> 3"), top.select("item", "doc"), ["item"], "doc"))
+    """Whole rankings of which the third row is lost, against every item's whole inventory."""
+    whole = items(spark, d).distinct().crossJoin(inventory(spark, d))
+    return named(ranking.permutation_violations(full_ranking(spark, d).filter("rank <> 3"), whole, ["item"], "doc"))
 
 
 @query(f"WITH {FULL} SELECT item_id, doc_id, rank, 'missing' AS rule FROM ranked WHERE rank = 2 UNION ALL SELECT item_id, doc_id, 2, 'extra' FROM ranked WHERE rank = {SHORT + 1}")
