@@ -8,8 +8,9 @@ go only if their template is in MANY documents: short sentences meet by chance.
 
 One scan writes a row for each distinct line of each document: hashes of its leaf and of its masked words, and 8 bits of each
 word for the comparison within leaves. A leaf that one document alone reaches, or that holds one masked line, needs no
-grouping. In others, distinct masked lines are grouped by similarity, most frequent first; a leaf of more than LEAF of them
-is cut by its next two words. Texts move once, to meet the list of lines that they lose.
+grouping. In others, distinct masked lines are grouped by similarity, most frequent first, by the same rule at every size: a
+leaf is never cut, so its cost grows with its masked lines times its templates. Texts move once, to meet the list of lines
+that they lose.
 
 Null texts stay null. Rows with a null id keep their lines and don't count. Extra columns pass through. Rows that repeat an
 id are one document: a line of theirs doesn't recur by them.
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-LEAD, SIMILAR, LEAST, MANY, MIN_DOCS, LEAF = 3, 0.7, 5, 10, 2, 2_000
+LEAD, SIMILAR, LEAST, MANY, MIN_DOCS = 3, 0.7, 5, 10, 2
 FIELD = np.uint64(0x5EED_F1E1D)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
 def masked_lines(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(document of each line, its hash, leaf, next-words hash, first word, tokens, masked word hashes) of all lines; blank lines have 0 tokens."""
+    """(document of each line, its hash, leaf, first word, tokens, masked word hashes) of all lines; blank lines have 0 tokens."""
     data, offsets = K.buffers(column)
     h, starts, _ = K.words(data, offsets, False)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
@@ -55,17 +56,16 @@ def masked_lines(column: pa.Array) -> tuple[np.ndarray, ...]:
         last = first + n
         code = span(first, last)
         leaf = K.mix(span(first, np.minimum(first + LEAD, last)) + n.astype(np.uint64) * np.uint64(K.STEP))
-        deeper = span(np.minimum(first + LEAD, last), np.minimum(first + LEAD + 2, last))
-    return owner, code, leaf, deeper, first, n, h
+    return owner, code, leaf, first, n, h
 
 
 def document_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, h, leaf, deeper, tokens, words): the distinct non-blank lines of every document."""
+    """(doc, h, leaf, tokens, words): the distinct non-blank lines of every document."""
     K.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, code, leaf, deeper, first, n, h = masked_lines(b.column(1))
+            owner, code, leaf, first, n, h = masked_lines(b.column(1))
             order = np.lexsort((code, owner))
             order = order[n[order] > 0]
             o, c = owner[order], code[order]
@@ -73,27 +73,30 @@ def document_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
             small = (h >> np.uint64(56)).astype(np.uint8)
             words = [small[a : a + m].tobytes() for a, m in zip(first[order].tolist(), n[order].tolist(), strict=True)]
             ids = b.column(0).take(pa.array(owner[order]))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[order].view(np.int64)) for x in (code, leaf, deeper)], pa.array(n[order].astype(np.int32)), pa.array(words, pa.binary())], names=["doc", "h", "leaf", "deeper", "tokens", "words"])
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[order].view(np.int64)) for x in (code, leaf)], pa.array(n[order].astype(np.int32)), pa.array(words, pa.binary())], names=["doc", "h", "leaf", "tokens", "words"])
 
     rows = docs.filter(F.col(doc).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, h long, leaf long, deeper long, tokens int, words binary")
+    return rows.mapInArrow(run, "doc long, h long, leaf long, tokens int, words binary")
 
 
 def group_leaf(words: list[np.ndarray], similar: float = SIMILAR) -> list[int]:
     """The group of each masked line of a leaf, in the order given: it joins the most similar template so far if enough words agree."""
-    patterns = np.zeros((0, len(words[0]) if words else 0), np.int64)
+    size = len(words[0]) if words else 0
+    patterns, used = np.zeros((16, size), np.int16), 0
     out = []
     for w in words:
-        w = w.astype(np.int64)
-        if len(patterns):
-            share = (patterns == w).mean(axis=1)
-            i = int(share.argmax())
-            if share[i] >= similar:
+        if used:
+            same = np.count_nonzero(patterns[:used] == w, axis=1)
+            i = int(same.argmax())
+            if same[i] / size >= similar:
                 patterns[i][patterns[i] != w] = -1  # a field from now on
                 out.append(i)
                 continue
-        patterns = np.vstack((patterns, w))
-        out.append(len(patterns) - 1)
+        if used == len(patterns):
+            patterns = np.concatenate((patterns, np.zeros_like(patterns)))
+        patterns[used] = w
+        out.append(used)
+        used += 1
     return out
 
 
@@ -103,7 +106,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaf = kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds")).filter("a <> b").select("leaf", "kinds")
     live = K.cut(kinds.join(leaf, "leaf"))
     several = live.filter("kinds > 1")
-    sketch = lines.join(several.select("h", "leaf", "docs", "first", "kinds"), ["h", "leaf"]).filter("doc = first").select("h", "leaf", "docs", "words", F.when(F.col("kinds") > LEAF, F.col("deeper")).otherwise(0).alias("deeper")).dropDuplicates(["h", "leaf"])
+    sketch = lines.join(several.select("h", "leaf", "docs", "first"), ["h", "leaf"]).filter("doc = first").select("h", "leaf", "docs", "words").dropDuplicates(["h", "leaf"])
 
     def run(table: pa.Table) -> pa.Table:
         h, docs = table.column("h").to_numpy(), table.column("docs").to_numpy()
@@ -117,7 +120,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             lead.setdefault(g, int(h[i]))
         return pa.Table.from_arrays([pa.array(h[order], pa.int64()), pa.array([lead[g] for g in group], pa.int64())], names=["h", "template"])
 
-    grouped = sketch.groupBy("leaf", "deeper").applyInArrow(run, "h long, template long")
+    grouped = sketch.groupBy("leaf").applyInArrow(run, "h long, template long")
     own = live.filter("kinds = 1").select("h", F.col("h").alias("template"))
     of = K.cut(live.select("h", "tokens", "first", "last", "docs").join(own.unionByName(grouped), "h"))
     total = of.groupBy("template").agg(F.min("first").alias("t_first"), F.max("last").alias("t_last"), F.sum("docs").alias("t_docs"))
@@ -142,7 +145,7 @@ def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             column = b.column(at).cast(pa.large_string())
             texts = column.to_pylist()
-            owner, code, _, _, _, n, _ = masked_lines(column)
+            owner, code, _, _, n, _ = masked_lines(column)
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             dropped = np.zeros(len(texts), np.int64)
             for i, g in enumerate(b.column(len(names)).to_pylist()):

@@ -1,0 +1,10 @@
+"""Operators do the whole job where tables, texts or sources are larger than those of the other tests."""
+
+from rankspark.llm import line_dedup
+
+
+def test_a_template_recurs_in_a_leaf_of_any_size(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"session opened for {name(i)} by the login service today\nline{name(i)}") for i in range(2_500)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
