@@ -5,7 +5,8 @@ learn the characters of accepted and of rejected URLs. A URL's score is the diff
 the threshold is calibrated on a held-out fifth of the labelled URLs, and balances the errors of both kinds.
 
 Labels come from the rules: URLs that a rule allows are accepted, those that one blocks are rejected. All of them count.
-Contexts are hashed into tables of fixed size, so the models' size (ORDERS x 3 x SLOTS numbers a class) doesn't grow with data.
+Counts are exact: a gram (a character and the ORDERS - 1 before it) is packed into one number, the table of gram counts grows
+with the labelled URLs, and the shorter orders' counts are sums of it. Grams of all URLs are joined to it, never the driver.
 Null urls, and urls without `://`, have an empty host and path and no rule; null urls are allowed with a null score. If a
 class has no URL to learn from, all urls without a rule are allowed with a null score.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-ORDERS, SLOTS, FOLDS = 6, 1 << 14, 5
+ORDERS, BITS, FOLDS = 6, 9, 5  # a byte + 1 takes 9 bits, 0 stands before the start
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,80 +48,64 @@ def matching_rule(h: Column, p: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def _contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, characters, context slot by order, context-and-character slot by order) of the texts' bytes."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, grams) of the texts' bytes: the lowest BITS bits hold the byte, the next the one before it, and so on."""
     data, offsets = K.buffers(column)
     n = len(data)
-    ctx, cell = np.zeros((ORDERS, n), np.uint64), np.zeros((ORDERS, n), np.uint64)
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(ORDERS):
-            if k:
-                before = np.zeros(n, np.uint64)
-                before[k:] = data[: n - k].astype(np.uint64) + np.uint64(1) if n > k else 0
-                before[place < k] = 0  # beyond the start
-                h = K.mix(h * np.uint64(K.STEP) + before + np.uint64(k))
-            ctx[k] = K.mix(h + np.uint64(k * 77 + 1)) % np.uint64(SLOTS)
-            cell[k] = K.mix(h * np.uint64(31) + data.astype(np.uint64) + np.uint64(1 + k * 1009)) % np.uint64(SLOTS)
-    return offsets, data, ctx, cell
-
-
-def learn(labelled: DataFrame, url: str, accepted: str) -> dict[bool, np.ndarray] | None:
-    """{accepted: counts[order, (context total, followers, cell), slot]}; sums are made by the tasks and by Spark."""
+    code, gram = data.astype(np.int64) + 1, np.zeros(n, np.int64)
+    for k in range(ORDERS):
+        before = np.zeros(n, np.int64)
+        before[k:] = code[: max(0, n - k)]
+        before[place < k] = 0  # beyond the start
+        gram |= before << (BITS * k)
+    return offsets, gram
+
+
+def gram_counts(rows: DataFrame, url: str, accepted: str) -> DataFrame:
+    """(gram, yes, no): every gram of the URLs, with its count in accepted and in rejected ones; a URL with null accepted counts in neither."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bool, int], list[np.ndarray]] = {}
         for b in batches:
-            yes = np.array(b.column(1).to_pylist(), bool)
-            offsets, _, ctx, cell = _contexts(b.column(0))
-            side = np.repeat(yes, np.diff(offsets))
-            for v in (False, True):
-                for k in range(ORDERS):
-                    pair, n = np.unique(ctx[k][side == v] * np.uint64(SLOTS) + cell[k][side == v], return_counts=True)
-                    old = held.get((v, k), [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
-                    u, at = np.unique(np.concatenate((old[0], pair)), return_inverse=True)
-                    held[v, k] = [u, np.bincount(at, np.concatenate((old[1], n)), len(u)).astype(np.int64)]
-        for (v, k), (pair, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), v)), pa.array(np.full(len(n), k, np.int64)), pa.array((pair // np.uint64(SLOTS)).astype(np.int64)), pa.array((pair % np.uint64(SLOTS)).astype(np.int64)), pa.array(n)], names=["accepted", "k", "ctx", "cell", "n"])
-
-    rows = labelled.select(F.col(url).alias("url"), F.col(accepted).alias("accepted")).mapInArrow(run, "accepted boolean, k long, ctx long, cell long, n long")
-    pairs = rows.groupBy("accepted", "k", "ctx", "cell").agg(F.sum("n").alias("n"))
-    by_ctx = pairs.groupBy("accepted", "k", F.col("ctx").alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("followers"))
-    by_cell = pairs.groupBy("accepted", "k", F.col("cell").alias("slot")).agg(F.sum("n").alias("n"))
-    out = {v: np.zeros((ORDERS, 3, SLOTS), np.float64) for v in (False, True)}
-    for r in by_ctx.toLocalIterator():  # at most 2 x ORDERS x SLOTS rows
-        out[r["accepted"]][r["k"], 0, r["slot"]], out[r["accepted"]][r["k"], 1, r["slot"]] = r["n"], r["followers"]
-    for r in by_cell.toLocalIterator():
-        out[r["accepted"]][r["k"], 2, r["slot"]] = r["n"]
-    return out if all(out[v].any() for v in out) else None
-
-
-def scores(column: pa.Array, models: dict[bool, np.ndarray]) -> list[float]:
-    """Log-likelihood of accepted minus rejected, per character."""
-    offsets, data, ctx, cell = _contexts(column)
-    total = np.zeros(len(data))
-    for v, sign in ((True, 1.0), (False, -1.0)):
-        p = np.full(len(data), 1 / 256)
-        for k in range(ORDERS):
-            n, followers, c = models[v][k, 0][ctx[k]], models[v][k, 1][ctx[k]], models[v][k, 2][cell[k]]
-            p = np.where(n > 0, (np.minimum(c, n) + followers * p) / np.maximum(n + followers, 1), p)
-        total += sign * np.log(p)
-    run = np.concatenate(([0.0], np.cumsum(total)))
-    return ((run[offsets[1:]] - run[offsets[:-1]]) / np.maximum(1, np.diff(offsets))).tolist()
-
-
-def scored(pages: DataFrame, models: dict[bool, np.ndarray], url: str, out: str = "score") -> DataFrame:
-    """Adds the score; null for a null or empty url. The other columns pass through."""
-    names = [c for c in pages.columns if c != out]
-
+            offsets, gram = _grams(b.column(0))
+            side = np.array([-1 if x is None else int(x) for x in b.column(1).to_pylist()], np.int64)
+            u, at = np.unique(gram, return_inverse=True)
+            counts = [np.bincount(at, np.repeat(side == v, np.diff(offsets)), len(u)).astype(np.int64) for v in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, *counts)], names=["gram", "yes", "no"])
+
+    out = rows.select(F.col(url).alias("url"), F.col(accepted).alias("accepted")).mapInArrow(run, "gram long, yes long, no long")
+    return out.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio): log-probability of the gram's character in accepted URLs minus that in rejected ones."""
+    seen = counts.filter("yes > 0 or no > 0")
+    out = counts.select("gram", F.lit(1 / 256).alias("p_yes"), F.lit(1 / 256).alias("p_no"))
+    for k in range(ORDERS):
+        cell = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("cell")
+        cells = seen.groupBy(cell).agg(F.sum("yes").alias("c_yes"), F.sum("no").alias("c_no"))
+        of = [f(x).alias(n + x[1:]) for x in ("c_yes", "c_no") for n, f in (("n", F.sum), ("f", lambda c: F.count_if(F.col(c) > 0)))]
+        contexts = cells.groupBy(F.shiftright("cell", BITS).alias("ctx")).agg(*of)
+        if k < 2:  # at most 257 contexts of 256 characters
+            cells, contexts = F.broadcast(cells), F.broadcast(contexts)
+        out = out.withColumn("cell", cell).withColumn("ctx", F.shiftright("cell", BITS)).join(cells, "cell", "left").join(contexts, "ctx", "left")
+        p = []
+        for v in ("yes", "no"):
+            c, n, f = F.coalesce(f"c_{v}", F.lit(0)), F.col(f"n_{v}"), F.col(f"f_{v}")
+            p.append(F.when(n > 0, (c + f * F.col(f"p_{v}")) / (n + f)).otherwise(F.col(f"p_{v}")).alias(f"p_{v}"))
+        out = out.select("gram", *p)
+    return out.select("gram", (F.log("p_yes") - F.log("p_no")).alias("ratio"))
+
+
+def scores(pages: DataFrame, ratio: DataFrame, url: str) -> DataFrame:
+    """(url, score): log-likelihood of accepted minus rejected per character, of each distinct URL that isn't null or empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(b.schema.names.index(url))
-            s = [x if t else None for x, t in zip(scores(column, models), column.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, out])
+            offsets, gram = _grams(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(offsets)))), pa.array(gram)], names=["u", "gram"])
 
-    kinds = dict(pages.dtypes)
-    return pages.select(*names).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{out}` double"]))
+    each = K.cut(pages.select(F.col(url).alias("url")).filter("length(url) > 0").distinct().withColumn("u", F.monotonically_increasing_id()))
+    sums = each.select("u", "url").mapInArrow(run, "u long, gram long").join(ratio, "gram").groupBy("u").agg(F.avg("ratio").alias("score"))
+    return each.join(sums, "u").select("url", F.round("score", 9).alias("score"))  # rounded: sums in any order agree
 
 
 def calibrate(held: DataFrame, score: str, accepted: str) -> float:
@@ -142,13 +127,14 @@ def judged(pages: DataFrame, page: str = "page_id", url: str = "url", rules: tup
     u = F.col(url).cast("string")
     frame = pages.select(F.col(page).alias("page"), u.alias("url"), host(u).alias("host"), path(u).alias("path"))
     frame = frame.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))
-    labelled = frame.filter("r is not null").select("url", (F.col("r.verdict") == "allow").alias("accepted"))
+    frame = frame.select("page", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
+    accepted = F.when(F.col("ruled").isNotNull(), F.col("ruled") == "allow")
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    models = learn(labelled.filter(~held), "url", "accepted")
-    out = frame.select("page", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
-    if models is None:
-        return out.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    threshold = calibrate(scored(labelled.filter(held), models, "url"), "score", "accepted")
-    out = scored(out, models, "url")
+    counts = K.cut(gram_counts(frame.select("url", F.when(~held, accepted).alias("accepted")), "url", "accepted"))
+    row = counts.agg(F.sum("yes"), F.sum("no")).first()
+    if not row[0] or not row[1]:
+        return frame.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    out = frame.join(K.cut(scores(frame, K.cut(ratios(counts)), "url")), "url", "left")
+    threshold = calibrate(out.filter(held).select("score", accepted.alias("accepted")).filter("accepted is not null"), "score", "accepted")
     own = F.when(F.col("score").isNull() | (F.col("score") >= threshold), "allow").otherwise("block")
     return out.select("page", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")

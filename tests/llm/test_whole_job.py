@@ -1,6 +1,13 @@
 """Operators do the whole job where tables, texts or sources are larger than those of the other tests."""
 
-from rankspark.llm import line_dedup
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankspark.llm import line_dedup, urls
 
 
 def test_a_template_recurs_in_a_leaf_of_any_size(spark):
@@ -8,3 +15,42 @@ def test_a_template_recurs_in_a_leaf_of_any_size(spark):
     rows = [(i, f"session opened for {name(i)} by the login service today\nline{name(i)}") for i in range(2_500)]
     got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
+
+
+def plain_url_score(url, seen):
+    """Log-likelihood ratio per byte by dictionaries of exact counts, orders 0 to 5."""
+    total = 0.0
+    padded = lambda u: b"\0" * 5 + u.encode()
+    for sign, label in ((1, "allow"), (-1, "block")):
+        cells = Counter()
+        for u in seen[label]:
+            t = padded(u)
+            cells.update((k, t[i - k : i], t[i]) for i in range(5, len(t)) for k in range(6))
+        n, followers = Counter(), Counter()
+        for (k, context, _), c in cells.items():
+            n[k, context] += c
+            followers[k, context] += 1
+        t = padded(url)
+        for i in range(5, len(t)):
+            p = 1 / 256
+            for k in range(6):
+                key = (k, t[i - k : i])
+                if n[key]:
+                    p = (cells[*key, t[i]] + followers[key] * p) / (n[key] + followers[key])
+            total += sign * math.log(p)
+    return total / len(url.encode())
+
+
+def test_url_scores_come_from_exact_counts(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(n))
+    rows = [(i, f"http://{word(8)}.{['com/en/', 'example.net/de/8', 'io/'][i % 3]}{word(40)}") for i in range(900)]
+    rows += [(900, None), (901, ""), (902, rows[2][1])]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    held = {r.url for r in frame.filter(F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)) == 0).collect()}
+    got = {r.page: r for r in urls.judged(frame).collect()}
+    rules = {"com/en/": "block", "example.net/de/8": "allow"}
+    seen = {v: [u for i, u in rows if got[i].rule and rules[got[i].rule] == v and u not in held] for v in ("allow", "block")}
+    for i in (0, 1, 2, 5, 8, 11, 902):
+        assert got[i].score == pytest.approx(plain_url_score(rows[i][1], seen), abs=1e-6)
+    assert got[900].score is None and got[901].score is None and len(got) == len(rows)
