@@ -8,7 +8,8 @@ grades by EVIDENCE standard errors get a weight, so rare words that one grade ha
 the sum of the tail probabilities; a document is selected if its tail probability at SELECT_GRADE is at least SELECT_AT.
 
 Grades of the labels: 0 toxic, 1 neither good nor toxic, 2 good. The model is fitted on the driver on at most SAMPLE labelled
-documents, those of the smallest hash of their id: SAMPLE is the documented bound. Scoring reads every whole text.
+documents, those of the smallest hash of their id, of about SAMPLE_WORDS words: these are the documented bounds. A text that
+doesn't fit is gone past; one of them is taken only where its grade has no other. Scoring reads every whole text.
 Null and empty texts have no features: expected grade and tail follow from the thresholds alone. Without labels every
 document has a null grade and is selected. Labels that contradict each other count each.
 """
@@ -120,12 +121,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, expected_grade, tail, selected)."""
     K.small_batches(docs.sparkSession)
-    texts, grades, words = [], [], 0
+    texts, grades, words, spare = [], [], 0, {}
     for row in training_rows(docs, labels, doc, text).limit(SAMPLE).toLocalIterator():
-        words += len(row["text"] or "") // 6
-        if words <= SAMPLE_WORDS or not texts:
+        size = len(row["text"] or "") // 6
+        if words + size <= SAMPLE_WORDS:
+            words += size
             texts.append(row["text"])
             grades.append(row["grade"])
+        else:
+            spare.setdefault(row["grade"], row["text"])  # at most one a grade
+    for grade in sorted(set(spare) - set(grades)):
+        texts.append(spare[grade])
+        grades.append(grade)
     model = fit(pa.array(texts, pa.string()), np.array(grades, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

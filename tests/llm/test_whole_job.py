@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.llm import line_dedup, urls
+from rankspark.llm import line_dedup, quality, urls
 
 
 def test_a_template_recurs_in_a_leaf_of_any_size(spark):
@@ -54,3 +54,14 @@ def test_url_scores_come_from_exact_counts(spark):
     for i in (0, 1, 2, 5, 8, 11, 902):
         assert got[i].score == pytest.approx(plain_url_score(rows[i][1], seen), abs=1e-6)
     assert got[900].score is None and got[901].score is None and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("long_grade", [None, 0])
+def test_a_very_long_labelled_text_does_not_end_training(spark, monkeypatch, long_grade):
+    monkeypatch.setattr(quality, "SAMPLE_WORDS", 3_000)
+    t = ["bad awful words here " * 3, "plain junk junk junk " * 3, "good fine text there " * 3]
+    ids = spark.range(120).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(9))).first()[0]  # the first of the sample
+    rows = [(i, t[i % 3] * (500 if i == ids or i % 3 == long_grade else 1)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r.doc: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert all(got[i].expected_grade is not None and got[i].selected == (i % 3 == 2) for i in range(120))
