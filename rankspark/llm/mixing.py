@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's documents, shuffled by a seeded hash, form one stream of words, cut into blocks of equal length. Slot i of the
-mix has the golden-ratio point frac((i + 1/2) / phi), taken exactly in integers; mapped through the cumulative targets it
-names a source, and the slot's rank among its source's slots names the block: rank r takes block r mod (number of blocks).
-So blocks are used in turn, and a document's words are taken as often as its blocks come up. Ranks are counts, so what a
-document gives follows from its place in the stream and the number of its source's slots; no slot is moved to a row.
+Each source's documents, shuffled by a seeded hash, form one stream of words. The mix has a slot for each word, at every size
+of the table. Slot i has the golden-ratio point frac((i + 1/2) / phi), taken exactly in integers; mapped through the cumulative
+targets it names a source, and the slot's rank among its source's slots names the word: rank r takes word r mod (words of the
+source). So words are used in turn. Ranks are counts, so what a document gives follows from its place in the stream and the
+number of its source's slots; that number is found arithmetically (a floor sum for each source), so no slot is made.
+After PERIOD slots the points repeat; whole periods are shifted against each other by equal parts of a point's width, so
+that a source has its share of them to a word.
 
 Sizes are words `[^\\x20\\x09-\\x0D]+`; null texts have none. Null sources are a source of their own, the last. A table without
 words has targets and takes of 0. Repeated rows count each by itself.
@@ -12,13 +14,15 @@ words has targets and takes of 0. Repeated rows count each by itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 17
-SLOTS = 1 << 22  # at most so many slots: blocks hold words / SLOTS words, one at least
+SLOTS = 1 << 22  # up to so many words the SQL of op7 counts slots as this module does; beyond, it takes coarser blocks
 PERIOD, GOLDEN = 1 << 31, 1_327_217_885  # 2^31 / phi, made odd
-CELLS = 4096
 SHUFFLE_BUCKETS = 4096
 
 
@@ -48,25 +52,40 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return per.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("target")).drop("level", "cap")
 
 
-def block_words(total) -> F.Column:
-    return F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(float(SLOTS))).cast("long"))
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """Sum of floor((a i + b) / m) over 0 <= i < n."""
+    out = 0
+    while True:
+        out += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        if top < m:
+            return out
+        n, b, m, a = top // m, top % m, a, m
+
 
+def slots_below(place: float, total: int, period: int = PERIOD, golden: int = GOLDEN) -> int:
+    """How many of the schedule's `total` slots have a point below a place in 0..total."""
+    point = lambda turn: (turn + 0.5) / float(period) * float(total)
+    turns = min(max(int(place / total * period), 0), period)  # turns with a point below the place
+    while turns < period and point(turns) < place:
+        turns += 1
+    while turns and point(turns - 1) >= place:
+        turns -= 1
+    cycles, rest = divmod(total, period)
+    whole = min(max(round(place / total * cycles * period), 0), cycles * period)
+    return whole + rest + floor_sum(rest, period, golden, 0) - floor_sum(rest, period, golden, period - turns)
 
-def slot_points(spark, n_slots: int, total: float) -> DataFrame:
-    """(slot, point): golden-ratio points of the schedule, as places in 0..total."""
-    turn = F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD))
-    return spark.range(n_slots).select(F.col("id").alias("slot"), turn.alias("turn"), ((turn + 0.5) / float(PERIOD) * float(total)).alias("point"))
 
+def slot_counts(targets: DataFrame) -> DataFrame:
+    """(position, slots): the number of slots of every source."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, lo, hi, total = (c.to_pylist() for c in b.columns)
+            n = [max(0, slots_below(y, t) - slots_below(x, t)) for x, y, t in zip(lo, hi, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["position", "slots"])
 
-def schedule(spark, targets: DataFrame) -> DataFrame:
-    """(slot, source, position): the source of every slot. Cells of the unit line make the range join an equi-join."""
-    row = targets.agg(F.max("total").alias("t")).first()
-    total = int(row["t"] or 0)
-    block = max(1, -(-total // SLOTS))
-    points = slot_points(spark, -(-total // block) if total else 0, total).withColumn("cell", F.shiftright("turn", 19))
-    cell = lambda x: F.least(F.greatest(F.floor(x / F.col("total") * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-    spans = targets.filter("target > 0").select("source", "position", "lo", "hi", F.explode(F.sequence(F.greatest(cell(F.col("lo")) - 1, F.lit(0)), F.least(cell(F.col("hi")) + 1, F.lit(CELLS - 1)))).alias("cell"))
-    return points.join(spans, points["cell"].cast("int") == spans["cell"]).filter("point >= lo and point < hi").select("slot", "source", "position")
+    return targets.filter("target > 0").select("position", "lo", "hi", "total").mapInArrow(run, "position int, slots long")
 
 
 def taken(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,16 +93,13 @@ def taken(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
 
     taken = copies x size + part: whole turns through the stream, and the words of the last, unfinished turn.
     """
-    spark = docs.sparkSession
     sized = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc).cast("string"))).alias("h"), *keep)
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key")  # null is a source too
     targets = source_targets(sized, weights, max_epochs)
-    slots = schedule(spark, targets).groupBy("position").agg(F.count(F.lit(1)).alias("slots"))
-    plan = targets.join(slots, "position", "left").withColumn("block", block_words(F.col("total")))
-    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    used = F.least(F.coalesce("slots", F.lit(0)), F.col("blocks") * max_epochs)
-    plan = plan.withColumn("turns", F.when(F.col("blocks") > 0, F.floor(used / F.col("blocks"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("upto", F.when(F.col("blocks") > 0, (used - F.col("turns") * F.col("blocks")) * F.col("block")).otherwise(0).cast("long"))
+    plan = targets.join(slot_counts(targets), "position", "left")
+    used = F.least(F.coalesce("slots", F.lit(0)), F.col("source_size") * max_epochs)
+    plan = plan.withColumn("turns", F.when(F.col("source_size") > 0, F.floor(used / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = plan.withColumn("upto", F.when(F.col("source_size") > 0, used - F.col("turns") * F.col("source_size")).otherwise(0).cast("long"))
     plan = plan.select(key, "source_size", "target", "turns", "upto")
     # places in the stream: sums of hash buckets first, then a window within each bucket, so that no source is one task;
     # the plan goes by the same keys, so rows with their texts move once

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.llm import line_dedup, quality, urls
+from rankspark.llm import line_dedup, mixing, quality, urls
 
 
 def test_a_template_recurs_in_a_leaf_of_any_size(spark):
@@ -65,3 +65,24 @@ def test_a_very_long_labelled_text_does_not_end_training(spark, monkeypatch, lon
     labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
     got = {r.doc: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
     assert all(got[i].expected_grade is not None and got[i].selected == (i % 3 == 2) for i in range(120))
+
+
+def test_every_source_of_a_large_mix_gets_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # a table of far more words than this
+    rows = [(i, " ".join(["w"] * 100), "big") for i in range(300)] + [(1000, " ".join(["w"] * 9), "tiny"), (1001, " ".join(["w"] * 90), "small"), (1002, " ".join(["w"] * 495), "odd")]
+    per = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    for r in per.collect():
+        assert abs(r.taken - r.target) <= 4, r
+
+
+@pytest.mark.parametrize("total", [1, 40, 127, 128, 129, 1000, 128 * 50 + 3])
+def test_slots_are_counted_as_if_they_were_made(total):
+    period, golden = 128, 79
+    cycles, rest = divmod(total, period)
+    turns = [i * golden % period for i in range(rest)]
+    last = 0
+    for place in [0.0, 0.3, total / 3, total / 2, total * 0.99, float(total)]:
+        got = mixing.slots_below(place, total, period, golden)
+        assert got == sum((t + 0.5) / period * total < place for t in turns) + round(place / total * cycles * period) and got >= last
+        last = got
+    assert last == total
