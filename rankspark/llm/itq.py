@@ -1,9 +1,10 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 Fit, on a bounded sample of SAMPLE vectors: principal directions, then a rotation that brings the projections close to their
-signs, which makes balanced bits. Every distinct vector gets a code of up to 64 bits. The index has one table per byte of the
-code: vectors with an equal byte meet there, so a pair with fewer differing bits than bytes can't be missed. Pairs that meet
-and differ in at most MAX_BITS bits are reranked by cosine on the original vectors, in double precision. A pair that meets in
+signs. Vectors aren't centred, as their cosine isn't. Every distinct vector gets a code of 64 bits; fewer than 64 dimensions
+are filled up by independent random rotations. The index has one table per byte of the
+code: vectors with an equal byte meet there, so a pair with fewer differing bits than bytes can't be missed. All pairs
+that meet are compared by cosine on the original vectors, in double precision. A pair that meets in
 several tables counts in the first only.
 
 Equal vectors are one entry with a weight. A bucket of more than BLOCK entries is dealt out as pairs of blocks. Tasks return
@@ -25,23 +26,23 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import vectors as V
 
-SAMPLE, ROUNDS, MAX_BITS, BLOCK, SEED = 20_000, 50, 24, 2_048, 1
-THRESHOLD = 0.9
+SAMPLE, ROUNDS, BITS, BLOCK, SEED = 20_000, 50, 64, 2_048, 1
+THRESHOLD, SLACK = 0.9, 1e-9
 
 
-def fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection d x bits) of unit vectors."""
-    mean = x.mean(axis=0)
-    y = x - mean
-    bits = min(64, x.shape[1])
-    axes = np.linalg.eigh(y.T @ y)[1][:, ::-1][:, :bits]
-    z = y @ axes
-    r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((bits, bits)))[0]
+def fit(x: np.ndarray) -> np.ndarray:
+    """Projection d x BITS of unit vectors."""
+    bits = min(BITS, x.shape[1])
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :bits]
+    z = x @ axes
+    rng = np.random.default_rng(SEED)
+    turn = lambda: np.linalg.qr(rng.standard_normal((bits, bits)))[0]
+    r = turn()
     for _ in range(ROUNDS):
         b = np.where(z @ r >= 0, 1.0, -1.0)
         u, _, vt = np.linalg.svd(b.T @ z)
         r = (u @ vt).T
-    return mean, axes @ r
+    return axes @ np.hstack([r, *[turn() for _ in range(-(-BITS // bits) - 1)]])[:, :BITS]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -50,21 +51,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """64-bit codes of unit vectors; spare bits are 0."""
-    bits = (x - mean) @ projection >= 0
+def codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """64-bit codes of unit vectors."""
+    bits = x @ projection >= 0
     return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def block_pairs(table: int, a: np.ndarray, b: np.ndarray, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two lists of codes with at most MAX_BITS differing bits and no earlier table in common."""
+def block_pairs(table: int, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, within: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two lists of codes a, b with vectors x, y whose product reaches the threshold, but for rounding, with no earlier table in common."""
     for at in range(0, len(a), 512):
-        x = a[at : at + 512, None] ^ b[None, :]
-        ok = np.bitwise_count(x) <= MAX_BITS
+        ok = x[at : at + 512] @ y.T >= threshold - SLACK
         if within:
-            ok &= np.arange(len(b))[None, :] > np.arange(at, at + len(x))[:, None]
+            ok &= np.arange(len(b))[None, :] > np.arange(at, at + len(ok))[:, None]
         i, j = np.nonzero(ok)
-        d = x[i, j]
+        d = a[i + at] ^ b[j]
         for t in range(table):
             keep = (d >> np.uint64(8 * t)) & np.uint64(255) != 0
             i, j, d = i[keep], j[keep], d[keep]
@@ -83,13 +83,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     every = every.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v")))
     classes = every.filter("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
     classes = K.cut(classes)
-    mean, projection = fit(unit(V.sample(classes, "k1", "v", SAMPLE, d)))
+    projection = fit(unit(V.sample(classes, "k1", "v", SAMPLE, d)))
     tables = -(-projection.shape[1] // 8)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = unit(V.matrix(b.column(3), d))
-            c = codes(x, mean, projection)
+            c = codes(x, projection)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c.view(np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], names=["k1", "k2", "w", "code", "x"])
 
     entries = classes.select("k1", "k2", "w", "v").mapInArrow(index, "k1 long, k2 long, w long, code long, x binary")
@@ -109,7 +109,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         left = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
         right = left if within else np.flatnonzero(side == 1)
         links, up, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-        for i, j in block_pairs(group.column("t")[0].as_py(), code[left], code[right], within):
+        for i, j in block_pairs(group.column("t")[0].as_py(), code[left], code[right], x[left], x[right], within, threshold):
             i, j = left[i], right[j]
             near = (x[i] * x[j]).sum(axis=1) >= threshold
             i, j = i[near], j[near]

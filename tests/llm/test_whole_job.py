@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.llm import line_dedup, mixing, quality, urls
+from rankspark.llm import itq, line_dedup, mixing, quality, urls
 
 
 def test_a_template_recurs_in_a_leaf_of_any_size(spark):
@@ -86,3 +87,19 @@ def test_slots_are_counted_as_if_they_were_made(total):
         assert got == sum((t + 0.5) / period * total < place for t in turns) + round(place / total * cycles * period) and got >= last
         last = got
     assert last == total
+
+
+@pytest.mark.parametrize("d", [16, 64])
+def test_links_near_the_threshold_are_found_under_a_strong_common_mean(spark, d):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    own = unit(rng.standard_normal((600, d)))
+    x = unit(np.sqrt(0.8) * unit(np.ones(d)) + np.sqrt(0.2) * own)
+    off = rng.standard_normal((600, d))
+    off = unit(off - (off * x).sum(1)[:, None] * x)
+    c = rng.uniform(0.9, 0.95, (600, 1))
+    x = np.vstack((x, c * x + np.sqrt(1 - c * c) * off))
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.9 * links.sum() and all(got[i] <= links[i] for i in got)
+    print(d, sum(got.values()), links.sum())
