@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+HOT_SHARE, SALTS = 1_000, 256
 PIECE = 1 << 21  # bytes handled at once; longer texts go piece by piece, cut at white space
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,12 +49,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null is an empty text."""
+def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column without nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = column.cast(pa.large_string()).fill_null("")
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
@@ -60,6 +64,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return d, o - o[0]
 
 
+def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column; a null is an empty text."""
+    return raw(column.cast(pa.large_string()).fill_null(""))
+
+
 def _words_of_piece(data: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of a piece; no word crosses a cut."""
     inside = ~SPACES[data]
@@ -135,9 +144,21 @@ def hash_text(s: str) -> int:
     return int(words(raw, np.array([0, len(raw)]), False)[0][0]) if len(raw) else 0
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of few rows: texts can be long, and workers hold a batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch; row counts stay as they are. sliced() does the rest."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: int, rows: int = BATCH_ROWS, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of at most `rows` rows and `size` bytes of the column numbered `text`; a longer text is a run of its own."""
+    for b in batches:
+        total = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        at = 0
+        while at < b.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1), b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -161,15 +182,46 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _CUTS.append(out)
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a frame made by cut(); no later plan may read it."""
-    if path := getattr(df, "_cut_path", None):
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+_CUTS: list[DataFrame] = []
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by cut(); no later plan may read them."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _CUTS[:] = [x for x in _CUTS if x is not df]
+
+
+def cuts_since(mark: int) -> list[DataFrame]:
+    """The frames cut since cut_mark() gave that number and not dropped; a job that has its result drops them."""
+    return _CUTS[mark:]
+
+
+def cut_mark() -> int:
+    return len(_CUTS)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of rows with a table of few rows a key, in which no key is one task.
+
+    Keys that more than one in HOT_SHARE of all rows hold are hot: fewer than HOT_SHARE keys, so they can be named in the plan.
+    Their rows are dealt over SALTS parts by the column `spread`, and the table's rows repeated for each part. rows must be
+    cheap to read and have no null keys.
+    """
+    least = max(HOT_SHARE, rows.count() // HOT_SHARE)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key).collect()]  # fewer than HOT_SHARE keys
+    if not hot:
+        return rows.join(table, key)
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    is_hot, none = F.col(key).isin(hot), F.lit(0).cast("long")
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long"))).otherwise(none))
+    return dealt.join(table.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(F.array(none)))), [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -178,8 +230,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Every round is a pair of grouped minima and joins on written tables; hubs are aggregated map-side before any shuffle.
     Ids without an edge have no row. Null ends are ignored.
     """
-    from pyspark.sql import functions as F
-
     hi, lo = F.greatest(a, b), F.least(a, b)
     e = cut(edges.filter(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
     state = None

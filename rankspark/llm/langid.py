@@ -83,7 +83,7 @@ def learn(labelled: DataFrame, text: str, lang: str, size: int = PROFILE) -> Dat
             c = np.concatenate([v[1] for v in sums.values()]) if sums else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(g.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "gram", "n"])
 
-        for b in batches:
+        for b in K.sliced(batches, 0):
             held: dict[str, list] = {}
             for name, got in zip(b.column(1).to_pylist(), counted(b.column(0)), strict=True):
                 held.setdefault(name, []).append(got)
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, text: str, profiles: DataFrame, keep: list) -> Data
     langs, known, ranks = load_profiles(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 0):
             names, scores = [], []
             for g, c in counted(b.column(0)):
                 if not len(g) or not langs:

@@ -58,7 +58,7 @@ def document_sets(docs: DataFrame, doc: str, text: str, n_words: int) -> DataFra
     K.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 1):
             sets = list(K.shingle_sets(b.column(1), n_words))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), b.column(2)], names=["doc", "n", "key", "tag"])
 
@@ -148,7 +148,7 @@ def deal_ngrams(docs: DataFrame, text: str, n_words: int, buckets: int) -> DataF
         context = TaskContext.get()
         turn = context.partitionId() if context else 0
         sets, held = {}, 0
-        for b in batches:
+        for b in K.sliced(batches, 0):
             for s in K.shingle_sets(b.column(0), n_words):
                 if len(s) and (key := set_key(s)) not in sets:
                     sets[key] = s

@@ -241,12 +241,12 @@ def _numbers(column: pa.Array) -> np.ndarray:
 
 def encoded(docs: DataFrame, model: str, doc: str = "doc_id", text: str = "text", seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS, ids: bool = True) -> DataFrame:
     """docs without text, plus n_pieces, pieces_sha256 (of the ids as little-endian int32), lossless, and pieces (the ids)."""
-    K.small_batches(docs.sparkSession, ROWS)
+    K.small_batches(docs.sparkSession)
     v = load(model)
     names = [c for c in docs.columns if c not in (text, "n_pieces", "pieces_sha256", "lossless", "pieces")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 1, ROWS):
             column = b.column(1).cast(pa.large_string())
             data, offsets = K.buffers(column)
             texts = column.fill_null("").to_pylist()

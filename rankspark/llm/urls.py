@@ -65,7 +65,7 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(rows: DataFrame, url: str, accepted: str) -> DataFrame:
     """(gram, yes, no): every gram of the URLs, with its count in accepted and in rejected ones; a URL with null accepted counts in neither."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 0, 1 << 14):
             offsets, gram = _grams(b.column(0))
             side = np.array([-1 if x is None else int(x) for x in b.column(1).to_pylist()], np.int64)
             u, at = np.unique(gram, return_inverse=True)
@@ -99,7 +99,7 @@ def ratios(counts: DataFrame) -> DataFrame:
 def scores(pages: DataFrame, ratio: DataFrame, url: str) -> DataFrame:
     """(url, score): log-likelihood of accepted minus rejected per character, of each distinct URL that isn't null or empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 1, 1 << 14):
             offsets, gram = _grams(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(offsets)))), pa.array(gram)], names=["u", "gram"])
 
@@ -123,7 +123,7 @@ def calibrate(held: DataFrame, score: str, accepted: str) -> float:
 
 def judged(pages: DataFrame, page: str = "page_id", url: str = "url", rules: tuple = RULES) -> DataFrame:
     """(page, host, path, rule, verdict, score)."""
-    K.small_batches(pages.sparkSession, 2048)
+    K.small_batches(pages.sparkSession)
     u = F.col(url).cast("string")
     frame = pages.select(F.col(page).alias("page"), u.alias("url"), host(u).alias("host"), path(u).alias("path"))
     frame = frame.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))

@@ -83,28 +83,21 @@ def lines_by_hand(rows):
         for line in (text or "").split("\n") if i is not None else ():
             where.setdefault(mask(line), set()).add(i)
     where.pop((), None)
-    leaves = {}
-    for m in sorted(where, key=lambda m: (-len(where[m]), m)):
-        leaves.setdefault((len(m), m[:3]), []).append(m)
-    first = {}
-    for leaf in leaves.values():
-        groups = []
-        for m in leaf:
-            best = max(groups, key=lambda g: sum(a == b for a, b in zip(g[0], m)), default=None)
-            if best and sum(a == b for a, b in zip(best[0], m)) >= line_dedup.SIMILAR * len(m):
-                best[0] = [a if a == b else None for a, b in zip(best[0], m)]
-                best[1].append(m)
-            else:
-                groups.append([list(m), [m]])
-        for _, members in groups:
-            docs = set().union(*(where[m] for m in members))
-            need = line_dedup.MIN_DOCS if len(members[0]) >= line_dedup.LEAST else line_dedup.MANY
-            if len(docs) > 1 and sum(len(where[m]) for m in members) >= need:
-                first |= dict.fromkeys(members, min(docs))
+    keep = {}  # the document that keeps a masked line; None: an earlier one holds its template
+    for m, docs in where.items():
+        leaf = [x for x in where if len(x) == len(m) and x[:3] == m[:3]]
+        if len(m) < line_dedup.LEAST:
+            docs = set().union(*(where[x] for x in leaf))
+            if len(docs) >= line_dedup.MANY:
+                keep[m] = min(docs)
+        elif any(min(where[x]) < min(docs) and sum(a == b for a, b in zip(x, m)) >= line_dedup.SIMILAR * len(m) - 1e-9 for x in leaf):
+            keep[m] = None
+        elif len(docs) > 1:
+            keep[m] = min(docs)
     out = []
     for i, text, lang, source, _ in rows:
         if i is not None and text:
-            text = "\n".join(s for s in text.split("\n") if first.get(mask(s), i) == i)
+            text = "\n".join(s for s in text.split("\n") if keep.get(mask(s), i) == i)
         out.append((i, text, lang, source, None if text is None else len(text)))
     return out
 

@@ -18,6 +18,36 @@ def test_a_template_recurs_in_a_leaf_of_any_size(spark):
     assert {r.doc_id: r.text for r in got} == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
 
 
+def random_lines(seed, n):
+    """Lines of few leaves that share segments, agree in part or come again; several to a document."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            m = rng.choice([4, 5, 6, 7, 10, 13])
+            lines.append(" ".join(["aa", "bb", "cc", *(rng.choice("xyzuvw"[: rng.choice([2, 6])]) for _ in range(m - 3))]))
+        out.append((i % (n - 5), "\n".join(lines)))  # the last five repeat ids
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 2_048])
+def test_lines_against_all_pairs_of_their_leaves(spark, monkeypatch, block):
+    from test_pipeline import lines_by_hand
+
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rows = [(i, t, "en", "s", 0) for i, t in random_lines(block, 150)]
+    got = line_dedup.deduplicated(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in lines_by_hand(rows))
+
+
+def test_recurring_means_in_other_documents(spark):
+    short = "a b\nc d\ne f\ng h\ni j"
+    rows = [(1, short), (2, short), *[(3, "one line of six words here")] * 5, *[(4, "five times in 2 rows")] * 2]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and all(r._dropped == 0 for r in got)
+
+
 def plain_url_score(url, seen):
     """Log-likelihood ratio per byte by dictionaries of exact counts, orders 0 to 5."""
     total = 0.0
