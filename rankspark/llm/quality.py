@@ -8,10 +8,10 @@ grades by EVIDENCE standard errors get a weight, so rare words that one grade ha
 the sum of the tail probabilities; a document is selected if its tail probability at SELECT_GRADE is at least SELECT_AT.
 
 Grades of the labels: 0 toxic, 1 neither good nor toxic, 2 good. The model is fitted on the driver on at most SAMPLE labelled
-documents, those of the smallest hash of their id, of about SAMPLE_WORDS words: these are the documented bounds. A text that
-doesn't fit is gone past; one of them is taken only where its grade has no other. Scoring reads every whole text.
-Null and empty texts have no features: expected grade and tail follow from the thresholds alone. Without labels every
-document has a null grade and is selected. Labels that contradict each other count each.
+documents, those of the smallest hash of their id: the documented bound, whatever the length of their texts. Tasks read the
+texts; the driver gets the slots of each, as a list or as DIM bits, whichever is shorter. Scoring reads every whole text.
+Null and empty texts have no features: expected grade and tail follow from the thresholds alone. Without labels, or with
+labels of one grade only, every document has a null grade and is selected. Labels that contradict each other count each.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-DIM, GRADES, SAMPLE, SAMPLE_WORDS = 1 << 18, 3, 6_000, 4_000_000
+DIM, GRADES, SAMPLE = 1 << 18, 3, 6_000
 STEPS, RATE, DECAY, EVIDENCE = 200, 0.05, 1e-4, 4.5
 SELECT_GRADE, SELECT_AT = 2, 0.5
 
 
-def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per text (slots, values): the slots that occur, each with value 1."""
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """Per text the slots that occur."""
     data, offsets = K.buffers(column)
     h, _, bounds = K.words(data, offsets)
     with np.errstate(over="ignore"):
@@ -44,21 +44,36 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             tenth = np.array([10 * (twice[b - 1] - twice[a]) // (b - a)], np.uint64)
             shape = (K.mix(tenth + np.uint64(DIM)) % np.uint64(DIM)).astype(np.int64)
             slots = np.unique(np.concatenate((words, two[a : b - 1], shape)))
-            yield slots, np.ones(len(slots))
+            yield slots
         else:
-            yield np.zeros(0, np.int64), np.zeros(0)
+            yield np.zeros(0, np.int64)
 
 
-def telling(r: np.ndarray, c: np.ndarray, grades: np.ndarray) -> np.ndarray:
+def packed(slots: np.ndarray) -> bytes:
+    if len(slots) * 32 < DIM:
+        return slots.astype("<i4").tobytes()
+    bits = np.zeros(DIM, bool)
+    bits[slots] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4").astype(np.int64) if len(raw) < DIM // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
+def telling(slots: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     """Whether each slot's presence differs between the grades below and from k on, for some k, by EVIDENCE standard errors."""
-    n, total, out = len(grades), np.bincount(c, minlength=DIM), np.zeros(DIM, bool)
+    n, by_grade, out = len(grades), np.zeros((GRADES, DIM)), np.zeros(DIM, bool)
+    for s, g in zip(slots, grades.tolist(), strict=True):
+        by_grade[g, s] += 1
+    total = by_grade.sum(axis=0)
     for k in range(1, GRADES):
-        high = grades >= k
-        if 0 < high.sum() < n:
-            up = np.bincount(c[high[r]], minlength=DIM)
+        high = int((grades >= k).sum())
+        if 0 < high < n:
+            up = by_grade[k:].sum(axis=0)
             share = (total + 1) / (n + 2)
-            error = np.sqrt(share * (1 - share) * (1 / high.sum() + 1 / (n - high.sum())))
-            out |= np.abs(up / high.sum() - (total - up) / (n - high.sum())) >= EVIDENCE * error
+            error = np.sqrt(share * (1 - share) * (1 / high + 1 / (n - high)))
+            out |= np.abs(up / high - (total - up) / (n - high)) >= EVIDENCE * error
     return out
 
 
@@ -71,37 +86,34 @@ def thresholds(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate((raw[:1], np.exp(raw[1:]))))
 
 
-def fit(texts: pa.Array, grades: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray] | None:
+def loss(w: np.ndarray, raw: np.ndarray, r: np.ndarray, c: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(weighted negative log-likelihood and decay, its gradient by w, by raw); text r[i] holds slot c[i]."""
+    n, t = len(grades), thresholds(raw)
+    z = np.bincount(r, w[c], n)
+    upper = np.concatenate((np.ones((n, 1)), _sigmoid(z[:, None] - t), np.zeros((n, 1))), 1)  # P(grade >= k), k = 0..GRADES
+    a, b = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
+    p = np.maximum(a - b, 1e-9)
+    da, db = a * (1 - a), b * (1 - b)
+    dz = -weight * (da - db) / p
+    dt = np.array([(weight * ((grades == k + 1) * da - (grades == k) * db) / p).sum() for k in range(GRADES - 1)])
+    draw = np.array([dt.sum(), *[dt[k:].sum() * np.exp(raw[k]) for k in range(1, GRADES - 1)]])
+    return float(-(weight * np.log(p)).sum() + DECAY / 2 * (w @ w)), np.bincount(c, dz[r], DIM) + DECAY * w, draw
+
+
+def fit(slots: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray] | None:
     """(weights, thresholds) by Adam on the cumulative-link likelihood; grades weigh by the inverse of their share."""
     if not len(grades) or len(np.unique(grades)) < 2:
         return None
-    rows, cols, vals = [], [], []
-    for i, (s, v) in enumerate(features(texts)):
-        rows.append(np.full(len(s), i))
-        cols.append(s)
-        vals.append(v)
-    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    known = telling(r, c, grades)[c]
-    r, c, v = r[known], c[known], v[known]
-    n = len(grades)
-    share = np.bincount(grades, minlength=GRADES) / n
-    weight = (1 / np.maximum(share, 1e-9))[grades]
+    known = telling(slots, grades)
+    kept = [s[known[s]] for s in slots]
+    r, c = np.repeat(np.arange(len(kept)), [len(s) for s in kept]), np.concatenate(kept)
+    weight = (1 / np.maximum(np.bincount(grades, minlength=GRADES), 1))[grades]
     weight /= weight.sum()
     w, raw = np.zeros(DIM), np.concatenate(([-1.0], np.zeros(GRADES - 2)))
     m, s2 = np.zeros(DIM + GRADES - 1), np.zeros(DIM + GRADES - 1)
     for step in range(1, steps + 1):
-        t = thresholds(raw)
-        z = np.bincount(r, v * w[c], n)
-        upper = np.concatenate((np.ones((n, 1)), _sigmoid(z[:, None] - t), np.zeros((n, 1))), 1)  # P(grade >= k), k = 0..GRADES
-        a, b = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
-        p = np.maximum(a - b, 1e-9)
-        da, db = a * (1 - a), b * (1 - b)
-        dz = -weight * (da - db) / p
-        dt = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            dt[k] = (weight * ((grades == k + 1) * da - (grades == k) * db) / p).sum()
-        draw = np.array([dt.sum(), *[dt[k:].sum() * np.exp(raw[k]) for k in range(1, GRADES - 1)]])
-        g = np.concatenate((np.bincount(c, v * dz[r], DIM) + DECAY * w, draw))
+        _, dw, draw = loss(w, raw, r, c, grades, weight)
+        g = np.concatenate((dw, draw))
         m, s2 = 0.9 * m + 0.1 * g, 0.999 * s2 + 0.001 * g * g
         move = RATE * 10 * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.999**step)) + 1e-8)
         w -= move[:DIM]
@@ -110,39 +122,35 @@ def fit(texts: pa.Array, grades: np.ndarray, steps: int = STEPS) -> tuple[np.nda
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, grade) of the bounded sample."""
+    """(grade, slots) of the bounded sample: at most SAMPLE rows."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     graded = labels.filter(F.col(doc).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).select(F.col(doc).alias("_id"), grade.alias("grade"), F.xxhash64(F.col(doc).cast("string"), F.lit(9)).alias("_h"))
     picked = graded.orderBy("_h", "_id", "grade").limit(SAMPLE)
-    docs = docs.select(F.col(doc), F.col(text))
-    return docs.join(F.broadcast(picked), F.col(doc) == F.col("_id")).orderBy("_h", "_id").select(F.col(text).cast("string").alias("text"), "grade")  # at most SAMPLE rows of three numbers
+    joined = docs.select(F.col(doc), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), F.col(doc) == F.col("_id"))  # at most SAMPLE rows of three numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.sliced(batches, 2):
+            slots = pa.array([packed(s) for s in features(b.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slots], names=["h", "grade", "slots"])
+
+    found = joined.select("_h", "grade", "text").mapInArrow(run, "h long, grade int, slots binary")
+    return found.orderBy("h", "grade", "slots").limit(SAMPLE).select("grade", "slots")
 
 
 def score(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, expected_grade, tail, selected)."""
     K.small_batches(docs.sparkSession)
-    texts, grades, words, spare = [], [], 0, {}
-    for row in training_rows(docs, labels, doc, text).limit(SAMPLE).toLocalIterator():
-        size = len(row["text"] or "") // 6
-        if words + size <= SAMPLE_WORDS:
-            words += size
-            texts.append(row["text"])
-            grades.append(row["grade"])
-        else:
-            spare.setdefault(row["grade"], row["text"])  # at most one a grade
-    for grade in sorted(set(spare) - set(grades)):
-        texts.append(spare[grade])
-        grades.append(grade)
-    model = fit(pa.array(texts, pa.string()), np.array(grades, np.int64))
+    sample = training_rows(docs, labels, doc, text).toArrow()
+    model = fit([unpacked(x.as_py()) for x in sample.column("slots")], sample.column("grade").to_numpy().astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.sliced(batches, 1):
             if model is None:
                 e = t = [None] * b.num_rows
                 chosen = [True] * b.num_rows
             else:
                 w, cut = model
-                z = np.array([w[s] @ v for s, v in features(b.column(1))])
+                z = np.array([w[s].sum() for s in features(b.column(1))])
                 tails = _sigmoid(z[:, None] - cut)
                 e, t = tails.sum(axis=1), tails[:, SELECT_GRADE - 1]
                 chosen = t >= SELECT_AT
