@@ -79,11 +79,69 @@ def test_pieces_agree_with_the_library_and_decode():
     ids, b = pieces.encode(v, t, np.arange(len(t), dtype=np.uint64), rate=0.0)
     for i, s in enumerate(t[:-1]):
         assert ids[b[i] : b[i + 1]].tolist() == sp.encode(s)
-    for variants in (1, 8):
-        ids, b = pieces.encode(v, t, np.arange(len(t), dtype=np.uint64), variants=variants)
+    for rate in (0.1, 0.5, 1.0):
+        ids, b = pieces.encode(v, t, np.arange(len(t), dtype=np.uint64), rate=rate)
         assert pieces.decode(v, ids, b) == t
 
 
+def plain_pieces(v, text, doc, seed, rate):
+    """Every occurrence of a word by itself: the best candidate that its hash doesn't skip is merged until none is left."""
+    merge = dict(zip(v.pairs[v.pairs >= 0].tolist(), v.merged[v.pairs >= 0].tolist(), strict=True))
+    with np.errstate(over="ignore"):
+        base = pieces.K.mix(pieces.K.mix(np.uint64([doc + seed])) ^ np.uint64(pieces.K.STEP))
+    out = []
+    for place, word in enumerate(plain_words(v, " " + text)):
+        key = pieces.K.mix(base + np.uint64(place))
+        if v.by_char[ord(word[0])] < 0:
+            out += [int(v.byte_ids[b]) for b in word.encode()]
+            continue
+        sym = [(i, int(v.by_char[ord(c)])) for i, c in enumerate(word)]
+        while True:
+            found = []
+            for k in range(len(sym) - 1):
+                piece = merge.get(sym[k][1] << 32 | sym[k + 1][1])
+                if piece is not None and not (rate and pieces.dropped(key, np.array([sym[k][0]]), np.array([piece]), rate)[0]):
+                    found.append((int(v.rank[piece]), k, piece))
+            if not found:
+                break
+            _, k, piece = min(found)
+            sym[k : k + 2] = [(sym[k][0], piece)]
+        out += [p for _, p in sym]
+    return out
+
+
+def plain_words(v, text):
+    """Spaces and the characters behind them; unknown characters alone."""
+    out = []
+    for i, c in enumerate(text):
+        odd = v.by_char[ord(c)] < 0
+        if i == 0 or odd or (c == " " and text[i - 1] != " ") or v.by_char[ord(text[i - 1])] < 0:
+            out.append(c)
+        else:
+            out[-1] += c
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.4])
+def test_dropout_follows_the_agenda_of_every_occurrence(monkeypatch, rate):
+    v = pieces.load(MODEL)
+    t = ["the responsibilities of the internationalization of the the the", "a" * 30 + " counterproductive  counterproductive " + "ab" * 150, "", "日本 x☃y the", "counterproductive"]
+    want = [plain_pieces(v, x, i, 3, rate) if x else [] for i, x in enumerate(t)]
+    for chunk in (pieces.CHUNK, 16):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        ids, b = pieces.encode(v, t, np.arange(len(t), dtype=np.uint64), 3, rate)
+        assert [ids[x:y].tolist() for x, y in zip(b[:-1], b[1:], strict=True)] == want
+        assert pieces.decode(v, ids, b) == t
+
+
+def test_segmentations_vary_as_they_would_without_shared_work():
+    v = pieces.load(MODEL)
+    ids, b = pieces.encode(v, ["internationalization"] * 200, np.arange(200, dtype=np.uint64))
+    got = {tuple(ids[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)}
+    plain = {tuple(plain_pieces(v, "internationalization", i, pieces.SEED, pieces.DROPOUT)) for i in range(200)}
+    assert got == plain and len(got) > 30
+
+
 def test_secrets_against_the_patterns(spark):
     t = ['API_KEY = "abc123def456" token:abc', "AKIA" + "A1" * 9 + " " + "0f" * 13, "x " + "Zq8vT3mK9pL2xW7rB4nY" + " y", None, "", "password:token:abcdefgh", "ünï pässword=abcdefgh"]
     got = {r.doc: r for r in secrets.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
@@ -171,8 +229,8 @@ def test_url_rules(spark):
 
 def test_grades_learned():
     t = ["bad awful words here " * 3, "good fine text there " * 3, "plain junk junk junk " * 3] * 40
-    w, cut = quality.fit(pa.array(t), np.array([0, 2, 1] * 40))
-    z = [float(w[s] @ v) for s, v in quality.features(pa.array(t[:3]))]
+    w, cut = quality.fit(list(quality.features(pa.array(t))), np.array([0, 2, 1] * 40))
+    z = [float(w[s].sum()) for s in quality.features(pa.array(t[:3]))]
     assert z[0] < cut[0] < z[2] < cut[1] < z[1] and (np.diff(cut) > 0).all()
 
 
@@ -185,12 +243,41 @@ def test_grades_on_texts_not_seen():
         return " ".join([*w[: n // 2], *([rng.choice(foul)] * (grade == 0)), *w[n // 2 :]]) if grade != 1 else " | ".join(w)
 
     seen = [(g, text(g, rng.randrange(5, 200))) for g in (0, 1, 2, 2, 2) * 200]
-    w, cut = quality.fit(pa.array([t for _, t in seen]), np.array([g for g, _ in seen]))
+    w, cut = quality.fit(list(quality.features(pa.array([t for _, t in seen]))), np.array([g for g, _ in seen]))
     new = [(g, text(g, n)) for g in (0, 1, 2) * 30 for n in (20, 3000)]
-    z = [float(w[s] @ v) for s, v in quality.features(pa.array([t for _, t in new]))]
+    z = [float(w[s].sum()) for s in quality.features(pa.array([t for _, t in new]))]
     assert np.mean([(x >= cut[1]) == (g == 2) for x, (g, _) in zip(z, new, strict=True)]) >= 0.95
 
 
+def test_the_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    grades = rng.integers(0, 3, 40)
+    r, c = np.repeat(np.arange(40), 6), rng.integers(0, 30, 240)
+    weight = rng.random(40)
+    w, raw = np.zeros(quality.DIM), np.array([-0.4, 0.3])
+    w[:30] = rng.standard_normal(30)
+    value, dw, draw = quality.loss(w, raw, r, c, grades, weight)
+    plain = 0.0  # the cumulative-link likelihood by its definition
+    cut = [raw[0], raw[0] + np.exp(raw[1])]
+    for i in range(40):
+        z = w[c[r == i]].sum()
+        above = [1.0, *[1 / (1 + np.exp(t - z)) for t in cut], 0.0]
+        plain -= weight[i] * np.log(above[grades[i]] - above[grades[i] + 1])
+    assert value == pytest.approx(plain + quality.DECAY / 2 * (w @ w))
+    for at in (0, 7, 29):
+        e = np.zeros(quality.DIM)
+        e[at] = 1e-6
+        assert dw[at] == pytest.approx((quality.loss(w + e, raw, r, c, grades, weight)[0] - quality.loss(w - e, raw, r, c, grades, weight)[0]) / 2e-6, abs=1e-5)
+    for at in (0, 1):
+        e = np.eye(2)[at] * 1e-6
+        assert draw[at] == pytest.approx((quality.loss(w, raw + e, r, c, grades, weight)[0] - quality.loss(w, raw - e, r, c, grades, weight)[0]) / 2e-6, abs=1e-5)
+
+
+def test_slots_come_back_from_lists_and_bits():
+    for slots in (np.zeros(0, np.int64), np.array([0, 5, quality.DIM - 1]), np.arange(0, quality.DIM, 3)):
+        assert (quality.unpacked(quality.packed(slots)) == slots).all() and len(quality.packed(slots)) <= quality.DIM // 8
+
+
 def test_word_kernel_cuts_pieces(monkeypatch):
     from rankspark.llm import kernels as K
 

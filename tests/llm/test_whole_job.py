@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,15 +88,20 @@ def test_url_scores_come_from_exact_counts(spark):
     assert got[900].score is None and got[901].score is None and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("long_grade", [None, 0])
-def test_a_very_long_labelled_text_does_not_end_training(spark, monkeypatch, long_grade):
-    monkeypatch.setattr(quality, "SAMPLE_WORDS", 3_000)
-    t = ["bad awful words here " * 3, "plain junk junk junk " * 3, "good fine text there " * 3]
-    ids = spark.range(120).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(9))).first()[0]  # the first of the sample
-    rows = [(i, t[i % 3] * (500 if i == ids or i % 3 == long_grade else 1)) for i in range(120)]
-    labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
-    got = {r.doc: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
-    assert all(got[i].expected_grade is not None and got[i].selected == (i % 3 == 2) for i in range(120))
+def test_scores_are_those_of_a_plain_model_fitted_on_all_labels(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    t = {i: " ".join([rng.choice(words) for _ in range(30)] + [["vile"], ["junk", "junk"], ["fine"]][i % 3]) for i in range(150)}
+    t[1], t[2] = t[1] * 20_000, None  # 1: longer than all others together
+    labels = [(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(120)] + [(5, 0, 1), (None, 1, 0), (500, 1, 0), (6, None, None)]
+    got = {r.doc: r for r in quality.score(spark.createDataFrame(list(t.items()), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    known = [(i, 0 if x == 1 else 2 if q == 1 else 1) for i, q, x in labels if i in t and q is not None]
+    slots = {i: s for i, s in zip(t, quality.features(pa.array(list(t.values()), pa.string())), strict=True)}
+    w, cut = quality.fit([slots[i] for i, _ in known], np.array([g for _, g in known]))
+    for i in t:
+        tails = [1 / (1 + math.exp(c - w[slots[i]].sum())) for c in cut]
+        assert got[i].tail == pytest.approx(tails[1], abs=1e-6) and got[i].expected_grade == pytest.approx(sum(tails), abs=1e-6) and got[i].selected == (got[i].tail >= 0.5)
+    assert sum(got[i].selected == (i % 3 == 2) for i in range(3, 150)) >= 140
 
 
 def test_every_source_of_a_large_mix_gets_its_target(spark, monkeypatch):
