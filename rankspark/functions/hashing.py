@@ -27,7 +27,7 @@ def digest_terminated(ids: Column, terminator: str = "\n") -> Column:
 
 def order_hash(seed: int, *keys: Column) -> Column:
     """A seeded pseudo-random order that any SQL engine can repeat."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.md5(F.concat(F.lit(str(seed)), *[F.concat(F.lit(":"), F.coalesce(k.cast("string"), F.lit(""))) for k in keys]))
 
 
 def private_fields(columns: list[str], denied: frozenset[str] = frozenset({"positive_classes", "trigger_methods", "labels"})) -> list[str]:

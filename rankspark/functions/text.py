@@ -13,6 +13,9 @@ QUALIFIED_ID = r"^([A-Za-z][A-Za-z0-9]*)-([1-9][0-9]*)$"
 PATCH_CAP = 12_000
 TRUNCATION_MARKER = "\n...[truncated]...\n"
 MISSING_SOURCE = "[source missing]"
+HTTP_STATUS = r"(?i)HTTP\s+(\d{3})"
+RETRY_AFTER = r"""(?i)Retry-After['"=\s:]+(\d+(?:\.\d+)?)"""
+RETRYABLE = (429, 500, 502, 503, 529)
 
 
 def tokenize(text: Column) -> Column:
@@ -119,11 +122,12 @@ def compose_sections(*sections: tuple[str, Column]) -> Column:
 
 
 def http_status(message: Column) -> Column:
-    return F.regexp_extract(message, r"(?i)http[ /:]*(?:error[ :]*)?([1-5][0-9]{2})", 1).try_cast("int")
+    """The three digits behind `HTTP` and white space; null where there are none."""
+    return F.regexp_extract(message, HTTP_STATUS, 1).try_cast("int")
 
 
 def retry_after_seconds(message: Column) -> Column:
-    return F.regexp_extract(message, r"(?i)retry-after[ :=]*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    return F.regexp_extract(message, RETRY_AFTER, 1).try_cast("double")
 
 
 def is_timeout(message: Column) -> Column:
@@ -131,7 +135,9 @@ def is_timeout(message: Column) -> Column:
 
 
 def is_retryable(message: Column) -> Column:
-    return F.coalesce(http_status(message).isin(429, 500, 502, 503, 529), F.lit(False)) | is_timeout(message)
+    """A retryable status, or a timeout of a message without any status."""
+    status = http_status(message)
+    return F.when(status.isNull(), is_timeout(message)).otherwise(status.isin(*RETRYABLE))
 
 
 def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
@@ -153,3 +159,7 @@ def format_rate(x: Column) -> Column:
 
 def format_usd(x: Column) -> Column:
     return F.when(x.isNull(), "—").otherwise(F.format_string("%.6f", x))
+
+
+def format_percent(x: Column) -> Column:
+    return F.when(x.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", x * 100), F.lit("%")))

@@ -40,3 +40,37 @@ def require_empty(bad: DataFrame, context: str) -> None:
     """Fails closed with a few of the offending rows."""
     if rows := bad.limit(5).collect():
         raise ValueError(f"{context}: {rows}")
+
+
+def lifecycle(artifacts: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
+    """(keys, state, missing, broken): complete with every artifact there, in error where one that is there breaks its rule, else incomplete.
+
+    artifacts: a column for each name in rules, null where the artifact is not there.
+    """
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in rules]))
+    broken = F.array_compact(F.array(*[F.when(F.col(n).isNotNull() & ~F.coalesce(ok, F.lit(True)), F.lit(n)) for n, ok in rules.items()]))
+    state = F.when(F.size("broken") > 0, "error").when(F.size("missing") > 0, "incomplete").otherwise("complete")
+    return artifacts.select(*keys, missing.alias("missing"), broken.alias("broken")).withColumn("state", state)
+
+
+def drift(expected: DataFrame, observed: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """(keys, expected, observed, status): facts of a locked manifest against those of today's source."""
+    a = expected.select(*keys, F.struct(*facts).alias("expected"))
+    b = observed.select(*keys, F.struct(*facts).alias("observed"))
+    status = F.when(F.col("observed").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("expected") == F.col("observed"), "same").otherwise("changed")
+    return a.join(b, keys, "full_outer").withColumn("status", status)
+
+
+def score_entry_rules(version: str) -> dict[str, Column]:
+    """Rules of a cached score: schema_version, status, score, input_tokens, cached_tokens, output_tokens, cache_key, recomputed."""
+    count = lambda c: F.col(c).isNull() | (F.col(c) >= 0)
+    return {
+        "schema version": F.col("schema_version") == version, "status": F.col("status") == "ok", "score": F.col("score").between(0, 1) & ~F.isnan("score"),
+        "tokens": count("input_tokens") & count("cached_tokens") & count("output_tokens"), "cached tokens": F.coalesce("cached_tokens", F.lit(0)) <= F.coalesce("input_tokens", F.lit(0)), "key": F.col("cache_key") == F.col("recomputed"),
+    }
+
+
+def embedding_entry_rules(version: str, dimension: int) -> dict[str, Column]:
+    """Rules of a cached vector: schema_version, embedding; not zero, all numbers finite."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return {"schema version": F.col("schema_version") == version, "dimension": F.size("embedding") == dimension, "finite": ~bad, "not zero": F.exists("embedding", lambda x: x != 0)}

@@ -28,10 +28,10 @@ def classify_misses(df: DataFrame, detected: Column, in_shortlist: Column, item:
     return df.withColumn("class", label).groupBy("class").agg(F.count(F.lit(1)).alias("n_items"), F.min(item).alias("first_item"), F.max(item).alias("last_item"))
 
 
-def practical_success(df: DataFrame, fdr_a: Column, fdr_b: Column, cost_ratio: Column) -> DataFrame:
-    """Alternative 1: a leads by 5 points; alternative 2: within 2 points at 30 % of the cost. The first wins."""
-    one = fdr_a >= fdr_b + 0.05
-    two = (F.abs(fdr_a - fdr_b) <= 0.02) & (cost_ratio <= 0.30)
+def practical_success(df: DataFrame, fdr: Column, baseline: Column, peer: Column, cost_ratio: Column) -> DataFrame:
+    """Alternative 1: 5 points ahead of the baseline; alternative 2: within 2 points of the peer at 30 % of its cost. The first wins."""
+    one = fdr >= baseline + 0.05
+    two = (F.abs(fdr - peer) <= 0.02) & (cost_ratio <= 0.30)
     return df.withColumn("success", one | two).withColumn("via", F.when(one, "alternative_1").when(two, "alternative_2").otherwise("none"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +48,35 @@ def rolling_count(ledger: DataFrame, by: list[str], ts: str, seconds: int) -> Da
     return ledger.withColumn("micros", micros).withColumn("in_window", F.count(F.lit(1)).over(w)).drop("micros")
 
 
-def running_spend(ledger: DataFrame, by: list[str], order: str, usd: str, ceiling: float) -> DataFrame:
-    """Reserved spend after each call and whether the call still fits under the ceiling."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.round(F.sum(usd).over(w), 4)
-    return ledger.withColumn("spent", run).withColumn("allowed", run <= ceiling + 1e-12)
+def running_spend(ledger: DataFrame, by: str, order: str, usd: str, ceiling: float, digits: int = 9) -> DataFrame:
+    """(by, order, spent, allowed): reserved spend after each call, and whether it fitted under the ceiling; a refused call reserves nothing.
+
+    Whether a call fits depends on all before it, so a key's calls are read in order by one task; it holds one sum, not the calls.
+    Null and negative costs reserve nothing.
+    """
+    kinds = dict(ledger.dtypes)
+    rows = ledger.select(by, order, F.greatest(F.coalesce(F.col(usd), F.lit(0.0)), F.lit(0.0)).alias("usd")).repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, spent = object(), 0.0
+        for pdf in batches:
+            out = []
+            for key, cost in zip(pdf[by], pdf["usd"], strict=True):
+                if key != last:
+                    last, spent = key, 0.0
+                fits = spent + cost <= ceiling + 1e-12
+                spent += cost if fits else 0.0
+                out.append((round(spent, digits), fits))
+            pdf["spent"], pdf["allowed"] = [x[0] for x in out], [x[1] for x in out]
+            yield pdf[[by, order, "spent", "allowed"]]
+
+    return rows.mapInPandas(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, spent double, allowed boolean")
+
+
+def settled_spend(calls: DataFrame, by: str, estimate: str, actual: str) -> DataFrame:
+    """(by, reserved, spent): estimates of allowed calls, and what is left once actual costs replace them; without an actual cost the reservation stays."""
+    kept = F.coalesce(F.when(F.col(actual) >= 0, F.col(actual)), F.col(estimate))
+    return calls.filter("allowed").groupBy(by).agg(F.round(F.sum(estimate), 6).alias("reserved"), F.round(F.sum(kept), 6).alias("spent"))
 
 
 def cost_breakdown(ledger: DataFrame, tokens: Column, rate: Column, fee: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """BM25 over one corpus or over a corpus per query group.
 
 Only postings of query terms leave the tokenizer: document length comes from the token array itself, so the shuffle
-holds one row per (document, query term) rather than one per token.
+holds one row per (document, query term) rather than one per token. Statistics, scores and ranks all come from the postings.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ def token_frame(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return tokens.withColumn("dl", F.size("tokens").cast("long"))
 
 
-def query_terms(queries: DataFrame, item: str, text: str, first: int | None = None) -> DataFrame:
-    """Distinct (item, term); `first` keeps the leading tokens only."""
-    tokens = tokenize(F.col(text))
-    tokens = F.slice(tokens, 1, first) if first else tokens
-    return queries.select(F.col(item).alias("item"), F.explode(F.array_distinct(tokens)).alias("term"))
+def query_terms(queries: DataFrame, item: str, text: str) -> DataFrame:
+    """Distinct (item, term) of the whole texts."""
+    return queries.select(F.col(item).alias("item"), F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -32,35 +30,63 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, dl, term, tf) of query terms."""
-    wanted = terms.select("term").distinct()
-    return tokens.select("doc", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, dl, term, tf) of query terms, and one row with an empty term for every document: all that ranking needs from one scan."""
+    wanted = terms.select("term").unionByName(tokens.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = tokens.select("doc", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    return each.join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def scores(tokens: DataFrame, terms: DataFrame, digits: int = 9) -> DataFrame:
-    """(item, doc, score) of documents that share a term with the query, rounded so that sums in any order agree."""
-    found = postings(tokens, terms)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = found.join(df, "term").crossJoin(F.broadcast(corpus_stats(tokens)))  # one row of statistics
+def documents_of(posted: DataFrame) -> DataFrame:
+    """(doc, dl) of all documents."""
+    return posted.filter("term = ''").select("doc", "dl")
+
+
+def document_frequency(posted: DataFrame) -> DataFrame:
+    return posted.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def scores(posted: DataFrame, terms: DataFrame, digits: int = 9, docs: DataFrame | None = None) -> DataFrame:
+    """(item, doc, score) of documents that share a term with the query, rounded so that sums in any order agree.
+
+    docs: score these documents only, with the statistics of all.
+    """
+    found = posted.filter("term <> ''")
+    some = found if docs is None else found.join(docs.select("doc").distinct(), "doc", "left_semi")
+    weighted = some.join(document_frequency(posted), "term").crossJoin(F.broadcast(corpus_stats(documents_of(posted))))  # one row of statistics
     part = weighted.select("doc", "term", S.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), S.bm25_idf(F.col("n_docs"), F.col("df"))).alias("part"))
     return part.join(terms, "term").groupBy("item", "doc").agg(F.round(F.sum("part"), digits).alias("score"))
 
 
-def first_positive_rank(scored: DataFrame, positives: DataFrame, inventory: DataFrame) -> DataFrame:
+def containing(posted: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, doc) of documents whose body contains the item's text. items: item, text; docs: doc, body.
+
+    A document that contains a text has all tokens of its inner words, so candidates come from the rarest of them: an equi-join.
+    Texts of fewer than three words, or without a token inside, have no such token and are looked for in every document.
+    """
+    words = F.split(F.trim("text"), r"\s+")
+    inner = items.withColumn("inner", F.array_distinct(tokenize(F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " "))))
+    rare = inner.select("item", F.explode("inner").alias("term")).join(document_frequency(posted), "term", "left")
+    anchor = rare.groupBy("item").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    near = posted.filter("term <> ''").join(anchor, "term").select("item", "doc")
+    hits = near.join(docs, "doc").join(items, "item").filter(F.contains("body", "text")).select("item", "doc")
+    bare = inner.filter((F.size("inner") == 0) & F.col("text").isNotNull()).select("item", "text")
+    return hits if bare.isEmpty() else hits.unionByName(docs.join(bare, F.contains("body", "text")).select("item", "doc"))
+
+
+def first_positive_rank(posted: DataFrame, terms: DataFrame, positives: DataFrame) -> DataFrame:
     """(item, first_rank): rank of the best positive in the full ranking, zero-score tail included.
 
     The tail is counted, not sorted: rank = 1 + matched documents ahead, plus unmatched ids ahead if no positive matched.
     """
-    hits = positives.join(scored, ["item", "doc"], "left")
+    hits = positives.join(scores(posted, terms, docs=positives), ["item", "doc"], "left")
     best = hits.groupBy("item").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("doc")).alias("neg"))).alias("b"))
     best = best.select("item", F.col("b.score").alias("best_score"), (-F.col("b.neg")).alias("best_doc"))
-    ahead = scored.join(best, "item").groupBy("item").agg(
+    ahead = scores(posted, terms).join(best, "item").filter("doc <> best_doc").groupBy("item").agg(
         F.count_if((F.col("score") > F.col("best_score")) | ((F.col("score") == F.col("best_score")) & (F.col("doc") < F.col("best_doc")))).alias("ahead"),
-        F.count_if((F.col("score") <= 0) | (F.col("doc") >= F.col("best_doc"))).alias("not_before"), F.count(F.lit(1)).alias("matched"))
+        F.count_if((F.col("score") > 0) & (F.col("doc") < F.col("best_doc"))).alias("matched_before"))
     zero = best.filter("best_score = 0")
-    ids_before = zero.join(inventory.select(F.col("doc").alias("other")), F.col("other") < F.col("best_doc")).groupBy("item").agg(F.count(F.lit(1)).alias("ids_before"))
+    ids_before = zero.join(documents_of(posted).select(F.col("doc").alias("other")), F.col("other") < F.col("best_doc")).groupBy("item").agg(F.count(F.lit(1)).alias("ids_before"))
     out = best.join(ahead, "item", "left").join(ids_before, "item", "left")
-    matched_before = F.coalesce(F.col("matched") - F.col("not_before"), F.lit(0))
-    tail = F.coalesce("ids_before", F.lit(0)) - matched_before
+    tail = F.coalesce("ids_before", F.lit(0)) - F.coalesce("matched_before", F.lit(0))
     rank = F.lit(1) + F.coalesce("ahead", F.lit(0)) + F.when(F.col("best_score") == 0, tail).otherwise(0)
     return out.select("item", rank.cast("long").alias("first_rank"))

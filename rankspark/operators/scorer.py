@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RETRYABLE, BACKOFF = (429, 500, 502, 503, 529), (1.0, 2.0, 4.0)  # fixed values
+BACKOFF = (1.0, 2.0, 4.0)  # fixed values
 
 
 class ScoringError(Exception):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, ledger, retrieval, text
+from . import contracts, evaluation, ledger, retrieval, text
 
-MODULES = (retrieval, evaluation, ledger, text)
+MODULES = (retrieval, evaluation, ledger, text, contracts)
 
 
 def queries() -> dict:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.hashing import order_hash
 from ..operators import audit, cohort, metrics, randomized, stats
-from ..sources.tables import spread, table
+from ..operators import lexical as L
+from ..sources.tables import table
 from . import retrieval as R
 
 QUERIES: dict = {}
@@ -34,12 +35,13 @@ GRID = "g AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS b
 AGG = "count(*) AS n_items, round(avg(rr), 6) AS mrr, round(avg(nftr), 6) AS mean_nftr, round(quantile_cont(nftr, 0.5), 6) AS median_nftr, round(avg(apfd), 6) AS mean_apfd"
 
 
-def first_ranks(spark, d) -> DataFrame:
+def first_ranks(spark, d, post: DataFrame | None = None, pos: DataFrame | None = None) -> DataFrame:
     """(method, item, project, first_rank, n) of both methods."""
-    lexical = R.first_ranks(spark, d).select(F.lit("BM25").alias("method"), "item", "first_rank")
-    pos = R.positives(spark, d)
+    post = R.posted(spark, d) if post is None else post
+    pos = R.positives(spark, d, post) if pos is None else pos
+    lexical = L.first_positive_rank(post, R.terms(spark, d), pos).select(F.lit("BM25").alias("method"), "item", "first_rank")
     best = pos.groupBy("item").agg(F.min(F.struct(order_hash(RANDOM_SEED, F.col("item"), F.col("doc")).alias("h"), "doc")).alias("b"))
-    docs = spread(R.inventory(spark, d))
+    docs = L.documents_of(post).select("doc")
     ahead = docs.join(best, F.struct(order_hash(RANDOM_SEED, F.col("item"), docs["doc"]).alias("h"), docs["doc"]) < F.col("b")).groupBy("item").agg(F.count(F.lit(1)).alias("ahead"))
     hashed = best.join(ahead, "item", "left").select(F.lit("Random").alias("method"), "item", (F.coalesce("ahead", F.lit(0)) + 1).alias("first_rank"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -118,7 +120,7 @@ def point_deltas(spark, d):
     return pairs(spark, d).agg(mean("detected").alias("fdr_delta"), mean("rr").alias("mrr_delta"), mean("apfd").alias("apfd_delta"), F.round(F.median("nftr_a") - F.median("nftr_b"), 6).alias("median_nftr_delta"))
 
 
-SAMPLES, SEED = 200, 20260922
+SAMPLES, SEED = 10_000, 20260922
 
 
 def numbered(spark, d) -> DataFrame:
@@ -145,7 +147,7 @@ def bootstrap_ci_mt(spark, d):
     n = p.count()
     if not n:
         return spark.createDataFrame([], "lo double, hi double, n_samples long")
-    return stats.percentile_interval(stats.bootstrap_delta(stats.mersenne_draws(spark, n, 1000, SEED), p, "detected_a", "detected_b"), "delta")
+    return stats.percentile_interval(stats.bootstrap_delta(stats.mersenne_draws(spark, n, SAMPLES, SEED), p, "detected_a", "detected_b"), "delta")
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT item_id, rb - ra AS delta, CAST(sign(rb - ra) AS INTEGER) AS sign FROM p), g AS (SELECT * FROM x ORDER BY delta DESC, item_id LIMIT 10),
@@ -173,12 +175,15 @@ def impute_worst_case(spark, d):
     return metrics.impute_worst(m).select(F.col("item").alias("item_id"), "imputed", "first_rank", F.round("nftr", 9).alias("nftr"), F.round("rr", 9).alias("rr"), "detected_10")
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (0.80, 0.70, 0.9), (0.90, 0.88, 0.5), (0.90, 0.91, 0.25)) t(fdr_a, fdr_b, cost_ratio))
-SELECT fdr_a::DOUBLE AS fdr_a, fdr_b::DOUBLE AS fdr_b, cost_ratio::DOUBLE AS cost_ratio, fdr_a::DOUBLE >= fdr_b::DOUBLE + 0.05::DOUBLE OR (abs(fdr_a - fdr_b) <= 0.02 AND cost_ratio <= 0.3) AS success,
-CASE WHEN fdr_a::DOUBLE >= fdr_b::DOUBLE + 0.05::DOUBLE THEN 'alternative_1' WHEN abs(fdr_a - fdr_b) <= 0.02 AND cost_ratio <= 0.3 THEN 'alternative_2' ELSE 'none' END AS via FROM c""")
+CASES = ((0.80, 0.70, 0.90, 0.25), (0.90, 0.88, 0.91, 0.50), (0.90, 0.88, 0.91, 0.25), (0.90, 0.91, 0.70, 0.25), (0.50, 0.48, 0.90, 0.10))
+
+
+@query(f"""WITH c AS (SELECT fdr::DOUBLE AS fdr, baseline::DOUBLE AS baseline, peer::DOUBLE AS peer, cost_ratio::DOUBLE AS cost_ratio FROM (VALUES {', '.join(map(str, CASES))}) t(fdr, baseline, peer, cost_ratio)),
+x AS (SELECT *, fdr >= baseline + 0.05::DOUBLE AS one, abs(fdr - peer) <= 0.02::DOUBLE AND cost_ratio <= 0.3::DOUBLE AS two FROM c)
+SELECT fdr, baseline, peer, cost_ratio, one OR two AS success, CASE WHEN one THEN 'alternative_1' WHEN two THEN 'alternative_2' ELSE 'none' END AS via FROM x""")
 def practical_success(spark, d):
-    cases = spark.createDataFrame([(0.80, 0.70, 0.9), (0.90, 0.88, 0.5), (0.90, 0.91, 0.25)], "fdr_a double, fdr_b double, cost_ratio double")
-    return cohort.practical_success(cases, F.col("fdr_a"), F.col("fdr_b"), F.col("cost_ratio"))
+    cases = spark.createDataFrame(list(CASES), "fdr double, baseline double, peer double, cost_ratio double")
+    return cohort.practical_success(cases, *[F.col(c) for c in cases.columns])
 
 
 @query(f"WITH {FIRST2}, s AS (SELECT method, round(avg(rr), 6) AS mrr FROM m GROUP BY 1) SELECT method, mrr, abs(mrr - max(mrr) OVER ()) < 1e-12 AS best FROM s")
@@ -186,15 +191,6 @@ def headline_best_ties(spark, d):
     return cohort.mark_best(metrics.summary(item_metrics(spark, d), ["method"]).select("method", "mrr"), "mrr")
 
 
-@query(f"""WITH {FIRST2} SELECT method, item_id, project, first_rank, true AS available, round(rr, 6) AS rr, first_rank <= greatest(1, ceil(0.05 * n)) AS detected_05, first_rank <= greatest(1, ceil(0.1 * n)) AS detected_10,
-CASE WHEN method = 'Random' THEN 0.0 END AS usd, printf('%.4f', rr) AS rr_text FROM m""")
-def metrics_wide(spark, d):
-    from ..functions.text import format_rate
-
-    k = lambda f: F.col("first_rank") <= S.budget_k(F.lit(f), F.col("n"))
-    return item_metrics(spark, d).select("method", F.col("item").alias("item_id"), "project", "first_rank", "available", F.round("rr", 6).alias("rr"), k(0.05).alias("detected_05"), k(0.10).alias("detected_10"), F.when(F.col("method") == "Random", 0.0).alias("usd"), format_rate(F.col("rr")).alias("rr_text"))
-
-
 @query(f"WITH {FIRST2} SELECT method, count(*) AS n_items, round(avg(rr), 6) AS mrr FROM m WHERE item_id % {MISSING_EVERY} <> 0 GROUP BY 1")
 def cohort_exclusion(spark, d):
     gaps = R.items(spark, d).filter(F.col("item") % MISSING_EVERY == 0)
@@ -228,7 +224,7 @@ def random_rank_hash(spark, d):
     return randomized.hash_ranks(table(spark, d, "embeddings").select("label", "vec_id"), ["label"], "vec_id", RANDOM_SEED)
 
 
-REPS = 20
+REPS = 1_000
 REPL = f"""WITH x AS (SELECT s AS replicate, label, vec_id, row_number() OVER (PARTITION BY s, label ORDER BY md5(s || ':' || label || ':' || vec_id), vec_id) AS rank, count(*) OVER (PARTITION BY s, label) AS n FROM embeddings CROSS JOIN range({REPS}) r(s)),
 f AS (SELECT replicate, label, min(rank) AS r, any_value(n) AS n FROM x WHERE vec_id % 9 = 0 GROUP BY 1, 2)"""
 
@@ -273,12 +269,12 @@ def label_groups(spark, d):
 
 @query()
 def random_permutations_mt(spark, d):
-    return randomized.permutations(label_groups(spark, d), "label", "vec_id", 1337, 20)
+    return randomized.permutations(label_groups(spark, d), "label", "vec_id", 1337, REPS)
 
 
 @query()
 def random_metrics_mt(spark, d):
-    return randomized.permutation_metrics(label_groups(spark, d), "label", "vec_id", "good", 1001337, 200)
+    return randomized.permutation_metrics(label_groups(spark, d), "label", "vec_id", "good", 1001337, REPS)
 
 
 @query(f"WITH {R.FULL} SELECT item_id, doc_id, 'quality_label' AS leaked FROM ranked WHERE rank <= 3 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")

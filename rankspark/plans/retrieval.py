@@ -9,11 +9,12 @@ from ..functions import hashing as H
 from ..functions import scoring as S
 from ..functions.text import tokenize
 from ..operators import cohort, lexical, ranking, vectors
+from ..sources.scratch import cut
 from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-QUERY_TOKENS, TOPK, SHORT = 3, 20, 50
+TOPK, SHORT = 20, S.SHORTLIST_CAP
 
 
 def query(sql: str | None = None):
@@ -31,7 +32,7 @@ def tok_sql(x: str) -> str:
 
 
 TOK = f"tok AS (SELECT doc_id, {tok_sql('text')} AS toks FROM documents), dl AS (SELECT doc_id, len(toks) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
-BM25 = f"""{TOK}, q AS (SELECT DISTINCT item_id, unnest({tok_sql('text')}[1:{QUERY_TOKENS}]) AS term FROM benchmark),
+BM25 = f"""{TOK}, q AS (SELECT DISTINCT item_id, unnest({tok_sql('text')}) AS term FROM benchmark),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT q.item_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
@@ -52,11 +53,16 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.query_terms(table(spark, d, "benchmark"), "item_id", "text", QUERY_TOKENS)
+    return lexical.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+
+
+def posted(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all query terms, written once: the only reading and tokenizing of the documents."""
+    return cut(lexical.postings(tokens(spark, d), terms(spark, d)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.scores(tokens(spark, d), terms(spark, d))
+    return lexical.scores(posted(spark, d), terms(spark, d))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +73,15 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"))
 
 
-def positives(spark: SparkSession, d: str) -> DataFrame:
+def positives(spark: SparkSession, d: str, post: DataFrame) -> DataFrame:
     """(item, doc): documents that contain the item's passage. The stated query set goes against all documents."""
-    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body")))
-    return docs.join(table(spark, d, "benchmark"), F.contains("body", "text")).select(F.col("item_id").alias("item"), "doc")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
+    return cut(lexical.containing(post, table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"), docs))
 
 
 def first_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.first_positive_rank(scored(spark, d), positives(spark, d), inventory(spark, d))
+    post = posted(spark, d)
+    return lexical.first_positive_rank(post, terms(spark, d), positives(spark, d, post))
 
 
 def full_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -102,9 +109,8 @@ def bm25_corpus_stats(spark, d):
 
 @query(f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM dfq CROSS JOIN st")
 def bm25_idf(spark, d):
-    t = tokens(spark, d)
-    df = lexical.postings(t, terms(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(lexical.corpus_stats(t))).select("term", "df", F.round(S.bm25_idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
+    post = posted(spark, d)
+    return lexical.document_frequency(post).crossJoin(F.broadcast(lexical.corpus_stats(lexical.documents_of(post)))).select("term", "df", F.round(S.bm25_idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {TOPK}")

@@ -136,14 +136,18 @@ def compose_document(spark, d):
     return documents(spark, d, "doc_id", "source", "text").select("doc_id", F.md5(T.compose_document(F.col("source"), body)).alias("doc_md5"), F.md5(T.compose_sections(("CLASS", F.col("source")), ("SOURCE", body))).alias("repr_md5"))
 
 
-MSG = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'HTTP Error 429: Retry-After: ' || user_id WHEN 1 THEN 'http 503 unavailable' WHEN 2 THEN 'request timed out' WHEN 3 THEN 'HTTP 404' ELSE 'ok' END AS msg FROM events)"
+MESSAGES = (
+    "HTTP 400 bad request", "HTTP 429 rate limit", "HTTP 503", "http  500 Retry-After: 7.5", "HTTP Error 429", "HTTP 999 odd", "HTTP 404: gateway timed out",
+    "read timed out", "Timeout while reading; Retry-After=\"12\"", "HTTP\t529 'retry-after': '3'", "HTTP/1.1 502", "ok", "HTTP 5021", "retry-after 4",
+)
+MSG = "(SELECT event_id, [" + ", ".join("'" + m.replace("'", "''") + "'" for m in MESSAGES) + f"][event_id % {len(MESSAGES)} + 1] AS msg FROM events)"
 
 
-@query(f"""WITH x AS (SELECT event_id, try_cast(nullif(regexp_extract(msg, '(?i)http[ /:]*(?:error[ :]*)?([1-5][0-9]{{2}})', 1), '') AS INTEGER) AS status, try_cast(nullif(regexp_extract(msg, '(?i)retry-after[ :=]*([0-9]+)', 1), '') AS DOUBLE) AS retry_after, contains(msg, 'timed out') AS late FROM {MSG})
-SELECT event_id, status, retry_after, coalesce(status IN (429, 500, 502, 503, 529), false) OR late AS retryable, greatest([1.0, 2.0, 4.0][least(event_id % 4, 2) + 1], coalesce(retry_after, 0))::DOUBLE AS backoff FROM x""")
+@query(rf"""WITH x AS (SELECT event_id, try_cast(nullif(regexp_extract(msg, '(?i)HTTP\s+([0-9]{{3}})', 1), '') AS INTEGER) AS status,
+try_cast(nullif(regexp_extract(msg, '(?i)Retry-After[''"=\s:]+([0-9]+([.][0-9]+)?)', 1), '') AS DOUBLE) AS retry_after, lower(msg) LIKE '%timed out%' OR lower(msg) LIKE '%timeout%' AS late FROM {MSG})
+SELECT event_id, status, retry_after, CASE WHEN status IS NULL THEN late ELSE status IN (429, 500, 502, 503, 529) END AS retryable, greatest([1.0, 2.0, 4.0][least(event_id % 4, 2) + 1], coalesce(retry_after, 0))::DOUBLE AS backoff FROM x""")
 def http_status_parse(spark, d):
-    e = F.col("event_id") % 5
-    msg = F.when(e == 0, F.concat(F.lit("HTTP Error 429: Retry-After: "), "user_id")).when(e == 1, "http 503 unavailable").when(e == 2, "request timed out").when(e == 3, "HTTP 404").otherwise("ok")
+    msg = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
     df = table(spark, d, "events").select("event_id", msg.alias("msg"))
     m, wait = F.col("msg"), T.retry_after_seconds(F.col("msg"))
     return df.select("event_id", T.http_status(m).alias("status"), wait.alias("retry_after"), T.is_retryable(m).alias("retryable"), T.backoff_seconds(F.col("event_id") % 4, wait).alias("backoff"))
@@ -156,12 +160,12 @@ def redaction(spark, d):
     return documents(spark, d, "doc_id", "text").select("doc_id", (clean != F.col("text")).alias("redacted"), F.md5(clean).alias("text_md5"))
 
 
-@query("SELECT lang, count(*) AS n, sha256(string_agg(doc_id, chr(10) ORDER BY doc_id)) AS joined, sha256(string_agg(doc_id || chr(10), '' ORDER BY doc_id)) AS terminated FROM documents WHERE doc_id < 500 GROUP BY 1".replace(" WHERE doc_id < 500", ""))
+@query("SELECT conv_id, count(*) AS n, sha256(string_agg(turn || ':' || role, chr(10) ORDER BY turn)) AS joined, sha256(string_agg(turn || ':' || role || chr(10), '' ORDER BY turn)) AS terminated FROM conversations GROUP BY 1")
 def list_digests(spark, d):
-    """Digests of id lists per language, with the two terminator rules."""
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    g = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
-    return g.select("lang", "n", H.digest_joined(F.col("ids")).alias("joined"), H.digest_terminated(F.col("ids")).alias("terminated"))
+    """Digests of each conversation's list of turns, with the two terminator rules; a list is bounded by its conversation."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"]))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+    return g.select("conv_id", "n", H.digest_joined(F.col("ids")).alias("joined"), H.digest_terminated(F.col("ids")).alias("terminated"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes, len(string_split(text, chr(10))) AS n_lines FROM documents")
@@ -177,24 +181,45 @@ def reproduction_compare(spark, d):
     return audit.compare_digests(p.filter("path % 11 <> 0"), after).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(*) FILTER (n_chars <> length(text)) AS BIGINT) AS bad_length, CASE WHEN count(*) FILTER (n_chars <> length(text)) > 0 THEN 'error' WHEN count(*) < 10 THEN 'incomplete' ELSE 'complete' END AS state FROM documents GROUP BY 1")
+@query("""WITH a AS (SELECT d.doc_id, d.text IS NOT NULL AS has_text, d.n_chars = length(d.text) AS length_ok, l.doc_id IS NOT NULL AS has_label, l.quality IN (0, 1) AND l.toxic IN (0, 1) AS label_ok FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, CASE WHEN NOT coalesce(length_ok, true) OR NOT coalesce(label_ok, true) THEN 'error' WHEN has_text AND has_label THEN 'complete' ELSE 'incomplete' END AS state,
+array_to_string(list_filter([CASE WHEN NOT has_text THEN 'text' END, CASE WHEN NOT has_label THEN 'label' END], lambda x: x IS NOT NULL), ',') AS missing FROM a""")
 def example_lifecycle(spark, d):
-    g = documents(spark, d, "source", "n_chars", "text").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("n_chars") != F.length("text")).alias("bad_length"))
-    return g.withColumn("state", F.when(F.col("bad_length") > 0, "error").when(F.col("n_docs") < 10, "incomplete").otherwise("complete"))
+    """A document is complete with its text and its label, and in error where one of them breaks its rule."""
+    docs = documents(spark, d, "doc_id", "text", "n_chars").withColumn("text", F.struct("text", "n_chars"))
+    artifacts = docs.select("doc_id", F.when(F.col("text.text").isNotNull(), F.col("text")).alias("text")).join(table(spark, d, "labels").select("doc_id", F.struct("quality", "toxic").alias("label")), "doc_id", "left")
+    rules = {"text": F.col("text.n_chars") == F.length("text.text"), "label": F.col("label.quality").isin(0, 1) & F.col("label.toxic").isin(0, 1)}
+    return audit.lifecycle(artifacts, ["doc_id"], rules).select("doc_id", "state", F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT e.s AS source, e.n AS expected, coalesce(o.n, 0) AS observed, e.n = coalesce(o.n, 0) AS same FROM (SELECT 'src' || i AS s, 50 AS n FROM range(22) t(i)) e LEFT JOIN (SELECT source AS s, count(*) AS n FROM documents GROUP BY 1) o USING (s)")
+@query("""WITH want AS (SELECT source, count(*) AS n, sum(CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END) AS seen, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
+got AS (SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE doc_id % 5 <> 0 AND source IS NOT NULL GROUP BY 1)
+SELECT source, w.n AS expected, coalesce(g.n, 0) AS observed, CASE WHEN g.source IS NULL THEN 'missing' WHEN w.n = g.n AND w.size = g.size THEN 'same' ELSE 'changed' END AS status FROM want w LEFT JOIN got g USING (source)""")
 def manifest_drift(spark, d):
-    want = spark.range(22).select(F.concat(F.lit("src"), "id").alias("source"), F.lit(50).alias("expected"))
-    got = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    out = want.join(got, "source", "left").select("source", "expected", F.coalesce("n", F.lit(0)).alias("observed"))
-    return out.withColumn("same", F.col("expected") == F.col("observed"))
+    """A manifest of counts and sizes per source, against a table that lost every fifth document."""
+    docs = table(spark, d, "documents").filter("source is not null").select("doc_id", "source", "n_chars")
+    facts = lambda t: t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("size"))
+    out = audit.drift(facts(docs), facts(docs.filter("doc_id % 5 <> 0")), ["source"], ["n", "size"])
+    return out.select("source", F.col("expected.n").alias("expected"), F.coalesce(F.col("observed.n"), F.lit(0)).alias("observed"), "status")
+
+
+@query(f"""WITH cls AS (SELECT doc_id, lang, source, 'org/' || lang || '/' || source || '/C' || (doc_id % 97) || '.java' AS path, 'C' || (doc_id % 97) || '.java' AS name FROM documents),
+files AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN 'src/' ELSE '' END || path AS path, name, lang FROM cls WHERE doc_id % 5 <> 0),
+byname AS (SELECT name, lang, count(*) AS n, min(path) AS path FROM files GROUP BY 1, 2),
+r AS (SELECT CASE WHEN f.path IS NOT NULL THEN 'direct' WHEN b.n = 1 THEN 'fallback' WHEN b.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM cls c LEFT JOIN files f USING (path) LEFT JOIN byname b ON c.name = b.name AND c.lang = b.lang)
+SELECT count(*) AS total, count(*) FILTER (status = 'direct') AS direct, count(*) FILTER (status = 'fallback') AS fallback, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'missing') AS missing FROM r""")
+def resolution_counts(spark, d):
+    return source_resolution(spark, d).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("direct", "fallback", "ambiguous", "missing")])
 
 
 @query()
 def compact_greedy(spark, d):
-    df = documents(spark, d, "doc_id", "text", "lang")
-    return windows.compact_greedy(df.withColumn("terms", F.array(F.lit("the"), F.lit("der"), F.lit("les"))), "doc_id", "text", "terms")
+    """Every text over 240 lines long against the words of its first benchmark item by id, header and windows as lines; shorter ones whole."""
+    df = documents(spark, d, "doc_id", "text")
+    item = table(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("query"))
+    df = df.crossJoin(F.broadcast(item)).select("doc_id", "text", T.tokenize(F.col("query")).alias("terms"))  # one row
+    out = windows.compact_sources(df, "doc_id", "text", "terms")
+    return out.select("doc_id", "mode", "n_lines", "windows_total", "windows_selected", "ranges", F.sha2("compact", 256).alias("sha256"))
 
 
 @query()

@@ -96,8 +96,10 @@ def json_field(column: Column, name: str, kind: str = "string") -> Column:
     return F.get_json_object(column, f"$.{name}").try_cast(kind)
 
 
-def markdown_table(df: DataFrame) -> str:
-    """A bounded report table (methods x metrics) as Markdown; for results of a few rows."""
-    rows = df.limit(1000).collect()
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A report table (methods x metrics) as Markdown; an error beyond `most` rows, which are no report."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*out, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
