@@ -1,14 +1,17 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 Fit, on a bounded sample of SAMPLE vectors: principal directions, then a rotation that brings the projections close to their
-signs. Vectors aren't centred, as their cosine isn't. Every distinct vector gets a code of 64 bits; fewer than 64 dimensions
-are filled up by independent random rotations. The index has one table per byte of the
-code: vectors with an equal byte meet there, so a pair with fewer differing bits than bytes can't be missed. All pairs
-that meet are compared by cosine on the original vectors, in double precision. A pair that meets in
-several tables counts in the first only.
+signs; directions beyond the dimension, or beyond WIDTH of them, come from further rotations, each learned from a random
+start. Vectors aren't centred, as their cosine isn't. Every distinct vector gets a code; the index has one table for each key,
+a piece of the code. Vectors with an equal key meet, and all pairs that meet are compared by cosine on the original vectors,
+in double precision. A pair that meets in several tables counts in the first only.
+
+Keys grow with the rows, by one bit as they double, so that buckets keep their size. A pair at an angle has a bit equal with
+probability 1 - angle / pi; there are as many tables as leave a share of MISS of pairs right at the threshold without any
+equal key. That share holds at every size and in every dimension; closer pairs are missed less.
 
 Equal vectors are one entry with a weight. A bucket of more than BLOCK entries is dealt out as pairs of blocks. Tasks return
-counts of links and a forest of connecting links, never the pairs.
+counts of links and a forest of connecting links, never the pairs. Vectors travel as they are given, floats as floats.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers link with nothing and stay.
 A null id has null component and kept true if alone.
@@ -26,23 +29,36 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import vectors as V
 
-SAMPLE, ROUNDS, BITS, BLOCK, SEED = 20_000, 50, 64, 2_048, 1
+SAMPLE, ROUNDS, MORE_ROUNDS, WIDTH, BLOCK, BUCKET, SEED = 20_000, 50, 3, 64, 2_048, 20_000, 1
+AIM, LEAST_BITS, MOST_BITS, MISS = 512, 8, 24, 0.005
 THRESHOLD, SLACK = 0.9, 1e-9
 
 
-def fit(x: np.ndarray) -> np.ndarray:
-    """Projection d x BITS of unit vectors."""
-    bits = min(BITS, x.shape[1])
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :bits]
-    z = x @ axes
-    rng = np.random.default_rng(SEED)
-    turn = lambda: np.linalg.qr(rng.standard_normal((bits, bits)))[0]
-    r = turn()
-    for _ in range(ROUNDS):
-        b = np.where(z @ r >= 0, 1.0, -1.0)
-        u, _, vt = np.linalg.svd(b.T @ z)
-        r = (u @ vt).T
-    return axes @ np.hstack([r, *[turn() for _ in range(-(-BITS // bits) - 1)]])[:, :BITS]
+def layout(n_rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bits a key, tables): buckets of about AIM rows, and tables enough for the share of MISS."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, n_rows) / AIM)), LEAST_BITS, MOST_BITS))
+    same = (1 - np.arccos(threshold) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-same)))
+
+
+def fit(x: np.ndarray, bits: int) -> np.ndarray:
+    """Projection d x bits of unit vectors."""
+    d, rng, out = x.shape[1], np.random.default_rng(SEED), []
+    basis, rounds, held = np.linalg.eigh(x.T @ x)[1][:, ::-1], ROUNDS, 0
+    while held < bits:
+        for at in range(0, d, WIDTH):
+            axes = basis[:, at : at + WIDTH]
+            z = x @ axes
+            r = np.linalg.qr(rng.standard_normal((axes.shape[1], axes.shape[1])))[0]
+            for _ in range(rounds):
+                u, _, vt = np.linalg.svd(np.where(z @ r >= 0, 1.0, -1.0).T @ z)
+                r = (u @ vt).T
+            out.append(axes @ r)
+            held += axes.shape[1]
+            if held >= bits:
+                break
+        basis, rounds = np.linalg.qr(rng.standard_normal((d, d)))[0], MORE_ROUNDS
+    return np.hstack(out)[:, :bits]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -51,84 +67,104 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """64-bit codes of unit vectors."""
-    bits = x @ projection >= 0
-    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def keys(x: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
+    """The keys of unit vectors, a column for each table."""
+    on = (x @ projection >= 0).reshape(len(x), -1, bits)
+    return (on.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
 
 
-def block_pairs(table: int, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, within: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two lists of codes a, b with vectors x, y whose product reaches the threshold, but for rounding, with no earlier table in common."""
-    for at in range(0, len(a), 512):
+def block_pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, within: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two lists of vectors x, y whose product reaches the threshold, but for rounding, and whose keys a, b of earlier tables all differ."""
+    for at in range(0, len(x), 512):
         ok = x[at : at + 512] @ y.T >= threshold - SLACK
         if within:
-            ok &= np.arange(len(b))[None, :] > np.arange(at, at + len(ok))[:, None]
+            ok &= np.arange(len(y))[None, :] > np.arange(at, at + len(ok))[:, None]
         i, j = np.nonzero(ok)
-        d = a[i + at] ^ b[j]
-        for t in range(table):
-            keep = (d >> np.uint64(8 * t)) & np.uint64(255) != 0
-            i, j, d = i[keep], j[keep], d[keep]
+        for t in range(a.shape[1]):
+            keep = a[i + at, t] != b[j, t]
+            i, j = i[keep], j[keep]
         for s in range(0, len(i), 100_000):
             yield i[s : s + 100_000] + at, j[s : s + 100_000]
 
 
+def bucket_links(ids: np.ndarray, w: np.ndarray, earlier: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each entry by weight, connecting links) of one bucket or pair of blocks."""
+    links, up, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+    for i, j in block_pairs(earlier[left], earlier[right], x[left], x[right], within, threshold):
+        i, j = left[i], right[j]
+        near = (x[i] * x[j]).sum(axis=1) >= threshold
+        i, j = i[near], j[near]
+        np.add.at(links, i, w[j])
+        np.add.at(links, j, w[i])
+        while len(i):  # connect what isn't yet, one vectorised round at a time
+            a, b = up[i], up[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                break
+            forest.append((int(ids[i[0]]), int(ids[j[0]])))
+            up[up == max(a[0], b[0])] = min(a[0], b[0])
+    return links, forest
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id, kept): one row per input row."""
     v = F.col(vector).cast("array<double>")
-    every = rows.select(F.col(key).cast("long").alias("id"), F.when(V.usable(v), v).alias("v"))
+    own = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    kind, number = ("float", np.float32) if dict(rows.dtypes)[vector] == "array<float>" else ("double", np.float64)
+    every = rows.select(F.col(key).cast("long").alias("id"), F.when(V.usable(own), own).alias("v"))
     d = V.dimension(every.filter("v is not null"), "v")
     if d is None:
         return every.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    every = every.withColumn("v", F.when(F.size("v") == d, F.col("v")))
+    every = every.withColumn("v", F.when(F.size("v") == d, F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))  # -0 is 0
     every = every.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v")))
     classes = every.filter("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
     classes = K.cut(classes)
-    projection = fit(unit(V.sample(classes, "k1", "v", SAMPLE, d)))
-    tables = -(-projection.shape[1] // 8)
+    bits, tables = layout(classes.count(), threshold)
+    projection = fit(unit(V.sample(classes, "k1", "v", SAMPLE, d)), bits * tables)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = unit(V.matrix(b.column(3), d))
-            c = codes(x, projection)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c.view(np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], names=["k1", "k2", "w", "code", "x"])
-
-    entries = classes.select("k1", "k2", "w", "v").mapInArrow(index, "k1 long, k2 long, w long, code long, x binary")
-    table = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
-    placed = entries.select("k1", "k2", "w", "code", "x", table).withColumn("byte", F.expr("shiftrightunsigned(code, t * 8) & 255L").cast("int"))
-    size = entries.select("code", table).withColumn("byte", F.expr("shiftrightunsigned(code, t * 8) & 255L").cast("int")).groupBy("t", "byte").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))  # at most 8 x 256 rows
-    placed = placed.join(F.broadcast(size), ["t", "byte"]).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
+            for at in range(0, b.num_rows, 1024):
+                c = b.slice(at, 1024)
+                m = V.matrix(c.column(2), d)
+                k = keys(unit(m), projection, bits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * tables), pa.array(k.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([r.tobytes() for r in m.astype(number)], pa.binary()), lists, pa.array([r.tobytes() for r in k], pa.binary())], names=["k1", "w", "x", "each", "keys"])
+
+    # one row a table; buckets of more than BLOCK entries become pairs of blocks, small ones share a task with others
+    placed = classes.select("k1", "w", "v").mapInArrow(index, "k1 long, w long, x binary, each array<int>, keys binary").select("k1", "w", "x", "keys", F.posexplode("each").alias("t", "key"))
+    size = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    placed = placed.join(size, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("t", "byte", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "k1", "w", "code", "x")
-
-    def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("k1").to_numpy(), kind="stable")
-        group = group.take(pa.array(order))
-        ids, w, side = group.column("k1").to_numpy(), group.column("w").to_numpy(), group.column("side").to_numpy()
-        code, x = group.column("code").to_numpy().view(np.uint64), np.frombuffer(b"".join(group.column("x").to_pylist()), np.float64).reshape(-1, d)
-        within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        left = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
-        right = left if within else np.flatnonzero(side == 1)
-        links, up, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-        for i, j in block_pairs(group.column("t")[0].as_py(), code[left], code[right], x[left], x[right], within, threshold):
-            i, j = left[i], right[j]
-            near = (x[i] * x[j]).sum(axis=1) >= threshold
-            i, j = i[near], j[near]
-            np.add.at(links, i, w[j])
-            np.add.at(links, j, w[i])
-            while len(i):  # connect what isn't yet, one vectorised round at a time
-                a, b = up[i], up[j]
-                apart = a != b
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                if not len(i):
-                    break
-                forest.append((ids[i[0]], ids[j[0]]))
-                up[up == max(a[0], b[0])] = min(a[0], b[0])
-        some = np.flatnonzero(links)
-        out = [np.concatenate((ids[some], np.array([f[0] for f in forest], np.int64))), np.concatenate((links[some], np.zeros(len(forest), np.int64)))]
-        other = [None] * len(some) + [int(f[1]) for f in forest]
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(other, pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b", "links"])
-
-    found = K.cut(dealt.groupBy("t", "byte", "i", "j").applyInArrow(run, "a long, b long, links long"))
+    dealt = dealt.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "k1", "w", "x", "keys")
+    buckets = max(16, classes.count() * tables // BUCKET)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(buckets).cast("long")))
+
+    def run(table: pa.Table) -> pa.Table:
+        t, key_, i, j, side, ids, w = (table.column(c).to_numpy() for c in ("t", "key", "i", "j", "side", "k1", "w"))
+        x, _ = K.raw(table.column("x"))
+        raw, _ = K.raw(table.column("keys"))
+        x, ks = np.frombuffer(x.tobytes(), number).reshape(-1, d), np.frombuffer(raw.tobytes(), np.uint32).reshape(len(t), -1)
+        order = np.lexsort((ids, j, i, key_, t))
+        groups = [c[order] for c in (t, key_, i, j)]
+        cuts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([g[1:] != g[:-1] for g in groups]), [True]))) if len(order) else [0]
+        out: list[list] = [[], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            some = order[a:b]
+            within = i[some[0]] == j[some[0]]
+            left = np.arange(len(some)) if within else np.flatnonzero(side[some] == 0)
+            right = left if within else np.flatnonzero(side[some] == 1)
+            if len(some) < 2 or not len(left) or not len(right):
+                continue
+            links, forest = bucket_links(ids[some], w[some], ks[some, : t[some[0]]], unit(x[some].astype(np.float64)), left, right, within, threshold)
+            has = np.flatnonzero(links)
+            out[0] += [*ids[some][has].tolist(), *(f[0] for f in forest)]
+            out[1] += [*[None] * len(has), *(f[1] for f in forest)]
+            out[2] += [*links[has].tolist(), *[0] * len(forest)]
+        return pa.Table.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b", "links"])
+
+    found = K.cut(dealt.groupBy("bucket").applyInArrow(run, "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
     label = K.components(found.filter("b is not null")).withColumnRenamed("id", "k1")
     per = classes.select("k1", "k2", "rep", "w").join(links, "k1", "left").join(label, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
