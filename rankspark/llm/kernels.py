@@ -6,7 +6,6 @@ so a document is never handled word by word in Python.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, cut_mark, cuts_since, drop_cut, shared_folder  # noqa: F401
+
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 HOT_SHARE, SALTS = 1_000, 256
 PIECE = 1 << 21  # bytes handled at once; longer texts go piece by piece, cut at white space
@@ -161,52 +162,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int, rows: int = BATCH_ROWS,
             at = end
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in local tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        folder = _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="rankspark-"))
-    return folder.rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again: lineage ends in files that outlive any executor."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    _CUTS.append(out)
-    return out
-
-
-_CUTS: list[DataFrame] = []
-
-
-def drop_cut(*frames: DataFrame) -> None:
-    """Deletes the files of frames made by cut(); no later plan may read them."""
-    for df in frames:
-        if path := getattr(df, "_cut_path", None):
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-            _CUTS[:] = [x for x in _CUTS if x is not df]
-
-
-def cuts_since(mark: int) -> list[DataFrame]:
-    """The frames cut since cut_mark() gave that number and not dropped; a job that has its result drops them."""
-    return _CUTS[mark:]
-
-
-def cut_mark() -> int:
-    return len(_CUTS)
-
-
 def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
     """Inner join of rows with a table of few rows a key, in which no key is one task.
 
