@@ -4,9 +4,11 @@
    key, so exact copies are one set from the first task on. A task sends an n-gram that many of its own sets hold as one
    flag, and passes those rows on by another way, so no bucket gathers a common passage.
 2. A bucket keeps the n-grams that at least two sets hold and deals them out by set. In the global order, n-grams that one
-   set alone holds come first; a pair that links must share a prefix n-gram, so a set with enough n-grams of its own has no
-   partner and goes. Links cost nothing but shared n-grams, so what is left decides them exactly.
-3. Sets that share a prefix n-gram and can match by size fall into one block; blocks are components of that graph.
+   set alone holds come first and those of HOT_HERE sets or more last; a pair that links must share a prefix n-gram, so a set
+   with enough n-grams of its own has no partner and goes. Links cost nothing but shared n-grams, so what is left decides them
+   exactly, on 63-bit hashes.
+3. Sets that share a prefix n-gram and can match by size fall into one block; blocks are components of that graph. Common
+   n-grams come last, so few prefixes reach them.
 4. In a block, sets go into a trie in one order, common n-grams first. Each set walks the trie with its partial overlaps;
    a subtree ends as soon as the n-grams left on either side can't reach the threshold. Subtrees whose sets are all
    connected with the walker already are passed over, so a dense group costs one walk, and no pair list exists.
@@ -123,16 +125,16 @@ def deal_ngrams(docs: DataFrame, text: str, n_words: int, buckets: int) -> DataF
 
     def flush(sets: dict[int, np.ndarray], turn: int) -> pa.RecordBatch:
         keys, ns = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
-        tok, owner = np.concatenate(list(sets.values())) >> np.uint64(8), np.repeat(np.arange(len(keys)), ns)
+        tok, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), ns)
         order = np.argsort(tok)
         tok, owner = tok[order], owner[order]
         new = np.concatenate(([True], tok[1:] != tok[:-1]))
         count = np.diff(np.append(np.flatnonzero(new), len(tok)))
         hot = np.repeat(count >= HOT_HERE, count)
         flags, parts = tok[new][count >= HOT_HERE], []
-        flag_to = (flags >> (np.uint64(56) - bits)).astype(np.int64)
+        flag_to = (flags >> (np.uint64(64) - bits)).astype(np.int64)
         cold, cold_owner = tok[~hot], owner[~hot]
-        to = (cold >> (np.uint64(56) - bits)).astype(np.int64)
+        to = (cold >> (np.uint64(64) - bits)).astype(np.int64)
         found = {b: s for b, s in _slices(to, buckets)}
         flagged = {b: s for b, s in _slices(flag_to, buckets)}
         for b in sorted(found.keys() | flagged.keys()):
@@ -163,24 +165,23 @@ def deal_ngrams(docs: DataFrame, text: str, n_words: int, buckets: int) -> DataF
 
 
 def shared_ngrams(dealt: DataFrame, buckets: int, set_buckets: int) -> DataFrame:
-    """(bucket, blob) by set: the n-grams that at least two sets hold."""
+    """(bucket, blob) by set: the n-grams that at least two sets hold, renumbered so that common ones come last."""
     def run(table: pa.Table) -> pa.Table:
         got = [_unpack(x.as_py()) for x in table.column("blob")]
         tok, keys, ns, flags = (np.concatenate([g[i] for g in got]) for i in range(4))
         del got
+        common = np.ones(len(tok), bool)  # what comes by the other way is
         if table.column("bucket")[0].as_py() < buckets and len(tok):
             order = np.lexsort((keys, tok))
             tok, keys, ns = tok[order], keys[order], ns[order]
             once = np.concatenate(([True], (tok[1:] != tok[:-1]) | (keys[1:] != keys[:-1])))
             tok, keys, ns = tok[once], keys[once], ns[once]
-            near = np.zeros(len(tok), bool)
-            near[1:] = tok[1:] == tok[:-1]
-            near[:-1] |= near[1:]
-            if len(flags):
-                flags = np.unique(flags)
-                at = np.minimum(np.searchsorted(flags, tok), len(flags) - 1)
-                near |= flags[at] == tok
-            tok, keys, ns = tok[near], keys[near], ns[near]
+            starts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+            count = np.diff(np.append(starts, len(tok)))
+            hot = np.isin(tok[starts], flags) | (count >= HOT_HERE)
+            near, common = np.repeat(hot | (count > 1), count), np.repeat(hot, count)
+            tok, keys, ns, common = tok[near], keys[near], ns[near], common[near]
+        tok = (tok >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
         return pa.Table.from_batches([_rows(_by_set(tok, keys, ns, set_buckets))])
 
     return dealt.groupBy("bucket").applyInArrow(run, "bucket long, blob binary")
@@ -208,7 +209,7 @@ def candidate_sets(shared: DataFrame, percent: int) -> DataFrame:
 def prefix_edges(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets with a common prefix n-gram, chained by size so that every pair that could link stays connected.
 
-    Each task first chains its own sets, then sends one row per n-gram and size step.
+    The sets of an n-gram and size step are chained to the smallest key, which is found by a partial minimum in each task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,11 +225,12 @@ def prefix_edges(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.mapInArrow(run, "ngram long, key long, n long")
     # steps of size: linked sizes differ by a factor of at most 100 / percent, so they lie in one step or in neighbours
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    cell = rows.groupBy("ngram", step.alias("step")).agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"))
+    rows = K.cut(rows.select("key", F.xxhash64("ngram", step).alias("cell"), F.xxhash64("ngram", step + 1).alias("next")))
+    cell = rows.groupBy("cell").agg(F.min("key").alias("rep"), F.min("next").alias("next"))
     # two stars: members to their step's smallest key, and that to the next step's
-    member = rows.withColumn("step", step).join(cell, ["ngram", "step"]).filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    following = cell.select("ngram", (F.col("step") - 1).alias("step"), F.col("rep").alias("b"))
-    across = cell.select("ngram", "step", F.col("rep").alias("a")).join(following, ["ngram", "step"]).filter("a <> b").select("a", "b")
+    member = K.join_hot(rows.select("cell", "key"), cell.select("cell", "rep"), "cell", "key").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    following = cell.select(F.col("cell").alias("next"), F.col("rep").alias("b"))
+    across = cell.select("next", F.col("rep").alias("a")).join(following, "next").filter("a <> b").select("a", "b")
     return member.unionByName(across).distinct()
 
 
@@ -364,7 +366,10 @@ def _grouped(docs: DataFrame, doc: str, text: str, n_words: int, percent: int) -
     dealt = deal_ngrams(docs, text, n_words, buckets)
     sets = K.cut(candidate_sets(shared_ngrams(dealt, buckets, buckets), percent))
     blocks = K.cut(K.components(prefix_edges(sets, percent)))
-    links = K.components(block_links(sets, blocks, percent))
+    found = K.cut(block_links(sets, blocks, percent))
+    K.drop_cut(sets, blocks)
+    links = K.components(found)
+    K.drop_cut(found)
     per_key = rows.filter("key is not null").groupBy("key").agg(F.min("doc").alias("least"))
     labelled = K.cut(per_key.join(links.withColumnRenamed("id", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")))
     names = labelled.groupBy("group").agg(F.min("least").alias("name"))
@@ -374,7 +379,7 @@ def _grouped(docs: DataFrame, doc: str, text: str, n_words: int, percent: int) -
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc, n, component): every row's set size and the smallest id reachable by links of Jaccard >= percent / 100.
 
-    Documents with an empty set are alone. All rows and whole texts are compared; counts are exact on 56-bit n-gram hashes.
+    Documents with an empty set are alone. All rows and whole texts are compared; counts are exact on 63-bit n-gram hashes.
     """
     out = _grouped(docs, doc, text, n_words, percent)
     return out.select("doc", "n", F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component"))
