@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +87,13 @@ def base_spans(text: str, keywords: bool = True, runs: bool = True) -> list[tupl
 def all_spans(text: str, allow: re.Pattern, keywords: bool = True, runs: bool = True) -> tuple[list, list]:
     """(base spans, base and entropy spans). An entropy span within a base span adds nothing and is left out."""
     base = base_spans(text, keywords, runs)
-    more = []
+    starts, reach, more = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max)), []
     for m in CANDIDATE.finditer(text) if runs else ():
         if not allow.fullmatch(m[0]):
             for a, b in entropy_spans(m[0]):
                 a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, _, y in base):
+                k = bisect_right(starts, a)
+                if not k or reach[k - 1] < b:
                     more.append((a, 3, b))
     return base, sorted(base + more)
 

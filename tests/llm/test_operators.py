@@ -150,6 +150,43 @@ def test_secrets_against_the_patterns(spark):
     assert [s.kind for s in got[2].spans] == ["entropy"] and got[0].n_assign == 1 and got[5].n_assign == 0
 
 
+def plain_spans(text):
+    """All spans by the rules as written: patterns, then every window of every candidate by its own entropy."""
+    import math
+
+    out = []
+    for kind, pattern, group, least in ((0, secrets.ASSIGN, 2, 6), (1, secrets.ACCESS, 0, 20), (2, secrets.HEX, 0, 24)):
+        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if not any(re.fullmatch(a, m[0]) for a in secrets.ALLOW):
+            least = secrets.THRESHOLDS["hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m[0]) else "alnum" if m[0].isalnum() else "base64"]
+            covered = [False] * len(m[0])
+            for i in range(len(m[0]) - 19):
+                w = m[0][i : i + 20]
+                if -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) >= least - 1e-9:
+                    covered[i : i + 20] = [True] * 20
+            edges = [i for i in range(len(covered) + 1) if (covered[i] if i < len(covered) else False) != (covered[i - 1] if i else False)]
+            more += [(m.start() + a, 3, m.start() + b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return sorted(out), sorted(out + [s for s in more if not any(x <= s[0] and s[2] <= y for x, _, y in out)])
+
+
+def test_secret_scan_against_every_window(spark):
+    rng = random.Random(12)
+    chars = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "abcABC0123456789xyzXYZ", "aZ3+/_=-9kQ", "ab"]
+    run = lambda: "".join(rng.choice(rng.choice(chars)) if rng.random() < 0.2 else rng.choice(chars[k]) for k in [rng.randrange(6)] for _ in range(rng.randrange(1, 70)))
+    word = lambda: rng.choice([run, run, lambda: "AKIA" + run(), lambda: f"api_key = '{run()}'", lambda: "Secret:" + run(), lambda: "é ünï", lambda: "EXAMPLE" + run()])()
+    t = [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", " ".join(f"token={run()}" for _ in range(3_000))]
+    got = {r.doc: r for r in secrets.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    missed = 0
+    for i, s in enumerate(t):
+        base, every = plain_spans(s or "")
+        assert got[i].base == secrets.written(base) and [(x.start, secrets.KINDS.index(x.kind), x.end) for x in got[i].spans] == every
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        missed += len(every) - len(base)
+    assert missed > 50
+
+
 def test_entropy_by_counts_is_the_entropy():
     import math
 

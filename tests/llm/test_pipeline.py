@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of the same rules, on rows with nulls, repeats, long texts and extra columns."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -156,25 +157,52 @@ def test_repeated_ids_with_other_texts_are_judged_by_their_texts(spark):
     assert out == near_by_hand(rows) and [(r[0], r[1]) for r in out] == [(1, a), (5, b), (5, c)]
 
 
+def mixed_by_hand(rows):
+    """The texts that the mix gives, by walking through each source's stream word by word."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    plan = {r["source"]: r for r in mixing.taken(FRAME[0](rows)).collect()}
+    out, h = [], lambda i: hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest()
+    for s in {r[3] for r in rows}:
+        mine = sorted((r for r in rows if r[3] == s), key=lambda r: (h(r[0]), len(words(r[1])), FRAME[1][r[1]]))
+        left = sum(p["taken"] for p in FRAME[2] if p["source"] == s)
+        out += [r for r in mine if not words(r[1])]
+        while left > 0:
+            for r in mine:
+                w = words(r[1])
+                if w and left > 0:
+                    text = r[1] if left >= len(w) else " ".join(w[:left])
+                    out.append((*r[:1], text, *r[2:4], len(text)))
+                    left -= min(left, len(w))
+        size = sum(len(words(r[1])) for r in mine)
+        assert plan[s]["target"] <= 3 * size
+    return out
+
+
+FRAME = [None, None, None]
+
+
 def test_mix_stage(spark, rows):
-    rows = [r for r in rows if r[0] is not None and r[0] != 7]
+    rows = [*rows, (7, "another text under an id that repeats", "en", rows[7][3], 37)]
+    FRAME[0] = lambda r: frame(spark, r)
+    FRAME[1] = {r.text: r.t for r in frame(spark, rows).select("text", P.F.xxhash64("text").alias("t")).collect()}
+    FRAME[2] = mixing.taken(frame(spark, rows)).collect()
     out = got(P.mix_sources(spark, frame(spark, rows), ""))
-    plan = {r["doc"]: r for r in mixing.taken(frame(spark, rows)).collect()}
-    by_id = {r[0]: r for r in rows}
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    for i, row in by_id.items():
-        mine = [r for r in out if r[0] == i]
-        whole = [r for r in mine if r[1] == row[1]]
-        cut = [r for r in mine if r[1] != row[1]]
-        assert len(cut) <= 1 and all(words(r[1]) == words(row[1])[: len(words(r[1]))] for r in cut) and all(r[2:4] == row[2:4] for r in mine)
-        if words(row[1]):
-            assert sum(len(words(r[1])) for r in mine) == plan[i]["taken"] <= 3 * len(words(row[1]))
-        else:
-            assert len(whole) == 1
+    assert out == sorted(mixed_by_hand(rows), key=order) == got(P.mix_sources(spark, frame(spark, rows[::-1]).repartition(5), ""))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     for s in {r[3] for r in rows}:
-        size = sum(len(words(r[1])) for r in rows if r[3] == s)
-        target = next(p["target"] for p in plan.values() if p["source"] == s)
-        assert target <= 3 * size and abs(sum(p["taken"] for p in plan.values() if p["source"] == s) - target) <= 0.01 * target + 3
+        size, target = sum(words(r[1]) for r in rows if r[3] == s), next(p["target"] for p in FRAME[2] if p["source"] == s)
+        assert target <= 3 * size and abs(sum(p["taken"] for p in FRAME[2] if p["source"] == s) - target) <= 3
+
+
+def test_the_mix_comes_in_the_order_of_its_slots(spark):
+    rows = [(i, f"a{i} " * 500, "en", f"s{i % 4}", 0) for i in range(400)]
+    out = mixing.mixed_documents(frame(spark, rows), slot="slot").collect()
+    slots = [r.slot for r in out]
+    assert slots == sorted(slots)
+    total = Counter(r.source for r in out)
+    for n in range(100, len(out), 100):  # every prefix has each source in its share
+        for s, c in Counter(r.source for r in out[:n]).items():
+            assert abs(c - n * total[s] / len(out)) <= 12
 
 
 def test_pieces_stage(spark, rows):
@@ -193,6 +221,22 @@ def test_run_chains_the_stages(spark, rows, tmp_path):
     assert {r["doc_id"] for r in out.collect()} == {r["doc"] for r in plan.collect()} and out.filter("not lossless").isEmpty()
 
 
+def test_copies_have_segmentations_of_their_own(spark, tmp_path):
+    text = " ".join(["internationalization", "responsibilities", "counterproductive"] * 20)
+    frame(spark, [(1, text, "en", "a", 0)] * 3).coalesce(1).write.parquet(f"{tmp_path}/mix")
+    out = P.encode_pieces(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
+    assert len({tuple(r.pieces) for r in out}) == 3 and all(r.lossless for r in out)
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, rows, tmp_path):
+    from rankspark.llm import kernels
+
+    frame(spark, rows[:20]).write.parquet(f"{tmp_path}/documents.parquet")
+    mark = kernels.cut_mark()
+    P.run(spark, str(tmp_path)).collect()
+    assert len(kernels.cuts_since(mark)) == 1
+
+
 def test_empty_tables_go_through(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).isEmpty()

@@ -125,17 +125,75 @@ def test_slots_are_counted_as_if_they_were_made(total):
     assert last == total
 
 
-@pytest.mark.parametrize("d", [16, 64])
-def test_links_near_the_threshold_are_found_under_a_strong_common_mean(spark, d):
-    rng = np.random.default_rng(5)
-    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
-    own = unit(rng.standard_normal((600, d)))
-    x = unit(np.sqrt(0.8) * unit(np.ones(d)) + np.sqrt(0.2) * own)
-    off = rng.standard_normal((600, d))
+def test_blocks_find_their_slots():
+    period, golden = 128, 79
+    for lo, hi in ((0, 128), (5, 6), (17, 90), (127, 128), (40, 40)):
+        hits = [i for i in range(period * 3) if lo <= i * golden % period < hi]
+        rank = np.arange(len(hits)) if hits else np.arange(3)
+        got = mixing.slot_of(rank, np.full(len(rank), lo), np.full(len(rank), hi), period, golden)
+        assert got.tolist() == (hits or [-1] * 3)
+    rng = np.random.default_rng(1)
+    lo = rng.integers(0, mixing.PERIOD - 1, 50)
+    hi = np.minimum(lo + rng.integers(1, mixing.PERIOD // 3, 50), mixing.PERIOD)
+    rank = (rng.random(50) * (hi - lo)).astype(np.int64)
+    for r, x, y, s in zip(rank.tolist(), lo.tolist(), hi.tolist(), mixing.slot_of(rank, lo, hi).tolist(), strict=True):
+        below = lambda n: mixing.floor_sum(n, mixing.PERIOD, mixing.GOLDEN, mixing.PERIOD - x) - mixing.floor_sum(n, mixing.PERIOD, mixing.GOLDEN, mixing.PERIOD - y)  # noqa: B023, E731
+        assert below(s) == r and below(s + 1) == r + 1
+
+
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 1, 1, 1, 1), (1000, 1)])
+def test_every_prefix_of_the_schedule_keeps_the_shares(weights):
+    n, total = 5_000, sum(weights)
+    ends = np.floor(np.cumsum(weights) / total * mixing.PERIOD).astype(np.int64)
+    order = []
+    for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        rank = np.arange(round(n * weights[k] / total))
+        order += [(s, k) for s in mixing.slot_of(rank, np.full(len(rank), lo), np.full(len(rank), hi)).tolist()]
+    order = np.array([k for _, k in sorted(order)])
+    for k, w in enumerate(weights):
+        seen = np.cumsum(order == k)
+        assert np.abs(seen - np.arange(1, len(order) + 1) * w / total).max() <= 4
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+def near(x, cosine, rng):
+    """Vectors at a cosine from those of x, in random directions."""
+    off = rng.standard_normal(x.shape)
     off = unit(off - (off * x).sum(1)[:, None] * x)
-    c = rng.uniform(0.9, 0.95, (600, 1))
-    x = np.vstack((x, c * x + np.sqrt(1 - c * c) * off))
+    return cosine * x + np.sqrt(1 - cosine * cosine) * off
+
+
+@pytest.mark.parametrize("d", [8, 16, 32, 64, 768])
+@pytest.mark.parametrize("rows", [1_000, 10_000_000])
+def test_pairs_at_the_threshold_share_a_key(d, rows):
+    rng = np.random.default_rng(d)
+    x = unit(rng.standard_normal((3_000, d)))
+    bits, tables = itq.layout(rows)
+    projection = itq.fit(x[:2_000], bits * tables)
+    a, b = (itq.keys(v, projection, bits) for v in (x, near(x, 0.9, rng)))
+    assert (a == b).any(axis=1).mean() >= 0.99
+    assert (a[:, 0] == a[::-1, 0]).mean() < 0.2  # keys tell others apart
+
+
+@pytest.mark.parametrize("d, mean", [(8, 0.0), (16, 0.8), (64, 0.0), (64, 0.8), (768, 0.0)])
+def test_links_near_the_threshold_are_found(spark, d, mean):
+    rng = np.random.default_rng(5)
+    x = unit(np.sqrt(mean) * unit(np.ones(d)) + np.sqrt(1 - mean) * unit(rng.standard_normal((600, d))))
+    x = np.vstack((x, near(x, rng.uniform(0.9, 0.95, (600, 1)), rng)))
     links = (x @ x.T >= 0.9).sum(1) - 1
     got = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    assert sum(got.values()) >= 0.9 * links.sum() and all(got[i] <= links[i] for i in got)
-    print(d, sum(got.values()), links.sum())
+    assert sum(got.values()) >= 0.99 * links.sum() and all(got[i] <= links[i] for i in got)
+
+
+def test_links_of_blocks_are_those_of_one_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.vstack((unit(rng.standard_normal((40, 12))), near(np.repeat(unit(rng.standard_normal((1, 12))), 200, 0), 0.97, rng))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, x[50].tolist())], "vec_id long, embedding array<float>")
+    want = sorted(itq.near_duplicates(df).collect())
+    monkeypatch.setattr(itq, "BLOCK", 16)
+    assert sorted(itq.near_duplicates(df).collect()) == want
+    u = unit(x.astype(np.float64))
+    assert [r.n_links for r in want[:240]] == [(u @ u[i] >= 0.9).sum() - 1 + (u[i] @ u[50] >= 0.9) for i in range(240)]
