@@ -1,13 +1,15 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate documents, mixing, pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
-documents. run() writes each stage's rows to the shared folder and reads them again for the next.
+documents. run() writes each stage's rows to the shared folder, reads them again for the next, and deletes what no stage needs
+any more.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from rankspark.llm import kernels, langid, line_dedup, mixing, ngram_join, pieces
 from rankspark.llm.query_op1 import MODEL
@@ -40,13 +42,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the schedule takes them."""
+    """Rows as often as the schedule takes them, in the order of its slots."""
     return _sized(mixing.mixed_documents(docs.select(*COLUMNS)))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as piece ids; copies of a document have different segmentations only if their texts differ."""
-    return pieces.encoded(docs.select(*COLUMNS), MODEL)
+    """The corpus as piece ids. Copies of a document have segmentations of their own, told apart by their rows' places in the files that hold the mix."""
+    try:
+        docs = docs.select(*COLUMNS, F.col("_metadata.row_index").alias("row_index"))
+    except AnalysisException:  # rows that come from no file have no place
+        docs = docs.select(*COLUMNS).withColumn("row_index", F.lit(None).cast("long"))
+    return pieces.encoded(docs, MODEL, copy=F.col("row_index")).drop("row_index")
 
 
 STAGES = [
@@ -63,5 +69,7 @@ ORACLE_SQL = None  # language profiles, template trees and pieces have no SQL fo
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        mark, before = kernels.cut_mark(), docs
         docs = kernels.cut(stage(spark, docs, sf_dir))
+        kernels.drop_cut(*[c for c in kernels.cuts_since(mark) if c is not docs], before)  # the stage's result is written
     return STAGES[-1][1](spark, docs, sf_dir)
