@@ -1,14 +1,16 @@
 """Nearest neighbours by learned partitions.
 
-Fit, on a bounded sample of SAMPLE vectors: their neighbour graph (NEIGHBOURS by inner product) is cut into balanced parts by
-label propagation under a capacity; a softmax classifier learns each vector's part and its neighbours' parts. Index: every
-row goes to its most probable part. Search: a query goes to as many of its most probable parts as reached TARGET_RECALL on
-held-out sample queries, and is compared there with every row, in double precision.
-
-Parts grow in number with the rows (PER_PART each, a power of two). A task takes CELL parts with about BLOCK rows, meets CHUNK
-queries at a time with the parts each of them probes, and returns one list of k best for each query, not one per part. Parts
-that hold more are dealt out in blocks, so a third of all rows in one part, or of equal vectors, is many tasks. Ties go to
-smaller ids.
+Fit, on a bounded sample: their neighbour graph (NEIGHBOURS by inner product) is cut into balanced parts by label propagation
+under a capacity; a softmax classifier learns each vector's part and its neighbours' parts. Index: every row goes to its most
+probable part. Search: a query goes to as many of its most probable parts as reached TARGET_RECALL on held-out sample queries,
+and is compared there with every row, in double precision. A query that finds fewer than k rows there, though there are more,
+is compared with every row of all parts.
+
+Parts grow in number with the rows (PER_PART each, a power of two), and the sample with the parts (PER_SAMPLE each), from
+SAMPLE to MOST_SAMPLE vectors: that bounds the parts by MOST_SAMPLE / PER_SAMPLE, beyond which they grow in size. A task takes
+CELL parts with about BLOCK rows, meets CHUNK queries at a time with the parts each of them probes, and returns one list of k
+best for each query, not one per part. Parts that hold more are dealt out in blocks, so a third of all rows in one part, or of
+equal vectors, is many tasks. Ties go to smaller ids.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers take no part. A query
 never finds rows of its own id. Rows that repeat an id are found once, at their best; a query id that repeats asks once, with
@@ -24,19 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from . import vectors as V
 
-SAMPLE, NEIGHBOURS, PER_PART, MOST_PARTS = 4_096, 10, 1_024, 4_096
+SAMPLE, MOST_SAMPLE, PER_SAMPLE, NEIGHBOURS, PER_PART = 4_096, 32_768, 8, 10, 1_024
+ROWS = 4_096  # of the sample at once: of a graph's rows, of votes, of a training step
 TARGET_RECALL, BLOCK, CHUNK = 0.95, 20_000, 20_000
 CELL = BLOCK // PER_PART
 SEED = 3
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
     k = min(k, len(x) - 1)
-    return np.argpartition(-s, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(x), 0), int)
+    if k < 1:
+        return np.zeros((len(x), 0), int)
+    out, step = np.zeros((len(x), k), int), max(1, ROWS * ROWS // len(x))
+    for at in range(0, len(x), step):
+        s = x[at : at + step] @ x.T
+        s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
+        out[at : at + step] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, sweeps: int = 12) -> np.ndarray:
@@ -54,17 +63,24 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, sweeps: int = 1
         groups += [order[: len(g) // 2], order[len(g) // 2 :]]
     for i, g in enumerate(groups):
         label[g] = i
-    src = np.repeat(np.arange(n), graph.shape[1])
+    # neighbours in both directions, by vector
+    ends = np.concatenate((np.repeat(np.arange(n), graph.shape[1]), graph.ravel()))
+    others = np.concatenate((graph.ravel(), np.repeat(np.arange(n), graph.shape[1])))
+    order = np.argsort(ends, kind="stable")
+    ends, others = ends[order], others[order]
     for _ in range(sweeps):
-        votes = np.zeros((n, parts))
-        np.add.at(votes, (src, label[graph.ravel()]), 1.0)
-        np.add.at(votes, (graph.ravel(), label[src]), 1.0)
-        gain = votes - votes[np.arange(n), label][:, None]
-        best = gain.argmax(axis=1)
+        best, gain = np.zeros(n, int), np.zeros(n)
+        for at in range(0, n, ROWS):
+            lo, hi = np.searchsorted(ends, [at, min(at + ROWS, n)])
+            own = np.arange(at, min(at + ROWS, n))
+            votes = np.zeros((len(own), parts))
+            np.add.at(votes, (ends[lo:hi] - at, label[others[lo:hi]]), 1.0)
+            best[own] = votes.argmax(axis=1)
+            gain[own] = votes.max(axis=1) - votes[np.arange(len(own)), label[own]]
         size, moved = np.bincount(label, minlength=parts), 0
-        for i in np.argsort(-gain.max(axis=1) + 1e-6 * rng.random(n)):
+        for i in np.argsort(-gain + 1e-6 * rng.random(n)):
             a, b = label[i], best[i]
-            if gain[i, b] <= 0:
+            if gain[i] <= 0:
                 break
             if size[b] < room * 1.05:
                 label[i], moved = b, moved + 1
@@ -77,20 +93,21 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, sweeps: int = 1
 
 def train_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int, steps: int = 200) -> np.ndarray:
     """Softmax weights (d + 1, parts): the target is a vector's own part and, as much again, its neighbours' parts."""
-    n = len(x)
-    y = np.zeros((n, parts))
-    y[np.arange(n), label] = 1.0
-    if graph.shape[1]:
-        np.add.at(y, (np.repeat(np.arange(n), graph.shape[1]), label[graph.ravel()]), 1.0 / graph.shape[1])
-    y /= y.sum(axis=1, keepdims=True)
+    n, rng = len(x), np.random.default_rng(SEED)
     scale = np.sqrt((x * x).mean()) or 1.0
-    z = np.hstack([x / scale, np.ones((n, 1))])
-    w, m, s = (np.zeros((z.shape[1], parts)) for _ in range(3))
+    w, m, s = (np.zeros((x.shape[1] + 1, parts)) for _ in range(3))
     for t in range(1, steps + 1):
+        some = np.arange(n) if n <= ROWS else rng.choice(n, ROWS, replace=False)
+        y = np.zeros((len(some), parts))
+        y[np.arange(len(some)), label[some]] = 1.0
+        if graph.shape[1]:
+            np.add.at(y, (np.repeat(np.arange(len(some)), graph.shape[1]), label[graph[some].ravel()]), 1.0 / graph.shape[1])
+        y /= y.sum(axis=1, keepdims=True)
+        z = np.hstack([x[some] / scale, np.ones((len(some), 1))])
         a = z @ w
         p = np.exp(a - a.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = z.T @ (p - y) / n + 1e-4 * w
+        g = z.T @ (p - y) / len(some) + 1e-4 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
     w[:-1] /= scale
@@ -102,10 +119,15 @@ def route(x: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
     return np.argsort(-(x @ w[:-1] + w[-1]), axis=1, kind="stable")[:, :m]
 
 
-def fit(x: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, int]:
+def layout(n_rows: int) -> tuple[int, int]:
+    """(parts, vectors to sample for their fit)."""
+    parts = 1 << int(np.clip(np.round(np.log2(max(1, n_rows / PER_PART))), 2, np.log2(MOST_SAMPLE // PER_SAMPLE)))
+    return parts, int(np.clip(PER_SAMPLE * parts, SAMPLE, MOST_SAMPLE))
+
+
+def fit(x: np.ndarray, parts: int, k: int) -> tuple[np.ndarray, int]:
     """(router weights, parts to probe)."""
-    parts = 1 << int(np.clip(np.round(np.log2(max(1, n_rows / PER_PART))), 2, np.log2(MOST_PARTS)))
-    parts = max(1, min(parts, len(x) // 8))
+    parts = max(1, min(parts, len(x) // PER_SAMPLE))
     held = len(x) // 8
     train, test = x[held:], x[:held]
     graph = neighbour_graph(train, NEIGHBOURS)
@@ -165,8 +187,23 @@ def search(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     if d is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
     rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
-    n_rows = rows.count()
-    w, probes = fit(V.sample(rows, "id", "v", SAMPLE, d), n_rows, k)
+    parts, size = layout(rows.count())
+    w, probes = fit(V.sample(rows, "id", "v", size, d), parts, k)
+    first = K.cut(_probe(rows, asked, w, probes, d, k))
+    # a query that found too few, though there are more rows, asks all parts
+    ids = rows.select("id").distinct()
+    total = ids.count()
+    need = F.least(F.lit(k), F.lit(total) - F.when(F.col("own"), 1).otherwise(0))
+    wanted = asked.join(ids.withColumn("own", F.lit(True)), "id", "left").join(first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("found")), "id", "left")
+    short = K.cut(wanted.filter(F.coalesce("found", F.lit(0)) < need).select("id", "v"))
+    if not short.isEmpty():
+        again = _probe(rows, short, w, w.shape[1], d, k)
+        first = first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return first.withColumnRenamed("id", key)
+
+
+def _probe(rows: DataFrame, asked: DataFrame, w: np.ndarray, probes: int, d: int, k: int) -> DataFrame:
+    """(query_id, rank, id, score): the k best of each query's most probable parts."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,4 +247,4 @@ def search(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    return ranked.select("query_id", "rank", "id", "score")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.llm import itq, line_dedup, mixing, quality, urls
+from rankspark.llm import ann, itq, langid, line_dedup, mixing, quality, urls
 
 
 def test_a_template_recurs_in_a_leaf_of_any_size(spark):
@@ -197,3 +197,26 @@ def test_links_of_blocks_are_those_of_one_bucket(spark, monkeypatch):
     assert sorted(itq.near_duplicates(df).collect()) == want
     u = unit(x.astype(np.float64))
     assert [r.n_links for r in want[:240]] == [(u @ u[i] >= 0.9).sum() - 1 + (u[i] @ u[50] >= 0.9) for i in range(240)]
+
+
+def test_a_query_whose_parts_hold_too_few_asks_all(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "fit", lambda *a, f=ann.fit: (f(*a)[0], 1))  # one part a query
+    hits = ann.search(df, df.filter("vec_id % 20 = 0"), "vec_id", "embedding", 60).collect()
+    for q in range(0, 120, 20):
+        order = [i for i in np.lexsort((np.arange(120), -(x @ x[q]))).tolist() if i != q][:60]
+        assert [r.vec_id for r in sorted((r for r in hits if r.query_id == q), key=lambda r: r["rank"])] == order
+
+
+def test_parts_and_their_sample_grow_with_the_rows():
+    assert [ann.layout(n) for n in (10, 50_000, 1_000_000, 10**9)] == [(4, 4_096), (64, 4_096), (1_024, 8_192), (4_096, 32_768)]
+
+
+def test_a_long_text_has_the_counts_of_its_parts(monkeypatch):
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcXYZéß  ,.12日") for _ in range(5_000))
+    whole = [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, c in langid.counted(pa.array([t, "x"]))]
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    assert [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, c in langid.counted(pa.array([t, "x"]))] == whole
