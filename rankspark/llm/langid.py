@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
-PROFILE, TEXT_LIST, LENGTHS = 300, 300, (1, 2, 3)
+PROFILE, TEXT_LIST, LENGTHS, CHUNK = 300, 300, (1, 2, 3), 1 << 20
 UNKNOWN = "und"
 _TABLES: list[np.ndarray] = []
 
@@ -60,8 +61,40 @@ def grams(text: np.ndarray) -> np.ndarray:
     return np.concatenate((one, two[(t[:-1] != 32) | (t[1:] != 32)], three[t[1:-1] != 32]))
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of about CHUNK characters that end with no letter, so that n-grams of all parts are those of the text."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = at + CHUNK
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def counted(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per text: its n-grams and their counts."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    long = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(column), CHUNK), False).to_numpy(zero_copy_only=False))
+    if len(long):  # each by itself, part by part
+        at = 0
+        for i in [*long.tolist(), len(column)]:
+            if i > at:
+                yield from counted(column.slice(at, i - at))
+            if i < len(column):
+                g, c = none
+                for part in _parts(column[i].as_py()):
+                    more, n = next(counted(pa.array([part]))) if len(part) <= CHUNK else next(_counted(pa.array([part])))
+                    g, where = np.unique(np.concatenate((g, more)), return_inverse=True)
+                    c = np.bincount(where, np.concatenate((c, n)), len(g)).astype(np.int64)
+                yield g, c
+            at = i + 1
+        return
+    yield from _counted(column)
+
+
+def _counted(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     text, bounds = letters(column)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a > 1:
@@ -105,7 +138,7 @@ def learn(labelled: DataFrame, text: str, lang: str, size: int = PROFILE) -> Dat
 
 
 def load_profiles(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages in order, known n-grams, ranks [language, n-gram] or the profile's length): size x languages rows."""
+    """(languages in order, known n-grams, ranks [language, n-gram] or the profile's length): size x languages rows, so lang must name languages, not rows."""
     rows = profiles.collect()
     langs = sorted({r["lang"] for r in rows})
     known = np.array(sorted({r["gram"] for r in rows}), np.int64)
