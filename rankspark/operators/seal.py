@@ -53,11 +53,11 @@ def seal_violations(pairs: DataFrame, ledger: DataFrame) -> DataFrame:
     return j.select(rule.alias("rule"), "cache_key").filter("rule is not null")
 
 
-def consistency_violations(metrics: DataFrame, ranks: DataFrame, summary: DataFrame, size: int | None = None) -> DataFrame:
+def consistency_violations(metrics: DataFrame, ranks: DataFrame, summary: DataFrame, size: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """(rule, method, item): per-bug ranks, rates and costs of the written tables against ones computed again.
 
     metrics: method, item, first_rank, detected, usd; ranks: method, item, first_rank; summary: method, fdr, usd_per_item.
-    Tolerances: ranks and rates 1e-9, costs 1e-4 in sum.
+    Tolerances: ranks 1e-9, rates `tolerance`, costs 1e-4 in sum.
     """
     none = F.lit(None).cast("string")
     row = lambda df, rule, item=none: df.select(F.lit(rule).alias("rule"), "method", item.cast("string").alias("item"))
@@ -66,7 +66,7 @@ def consistency_violations(metrics: DataFrame, ranks: DataFrame, summary: DataFr
     out = out.unionByName(row(j.filter(~F.coalesce(F.abs(F.col("first_rank") - F.col("again")) <= 1e-9, F.lit(False))), "rank", F.col("item")))
     again = metrics.groupBy("method").agg(F.avg(F.col("detected").cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("usd", F.lit(0.0))).alias("usd"))
     s = summary.join(again, "method", "full_outer")
-    out = out.unionByName(row(s.filter(~F.coalesce(F.abs(F.col("fdr") - F.col("rate")) <= 1e-9, F.lit(False))), "rate"))
+    out = out.unionByName(row(s.filter(~F.coalesce(F.abs(F.col("fdr") - F.col("rate")) <= tolerance, F.lit(False))), "rate"))
     out = out.unionByName(row(s.filter(F.col("usd_per_item").isNotNull() & ~F.coalesce(F.abs(F.col("usd_per_item") * F.col("n") - F.col("usd")) <= 1e-4, F.lit(False))), "cost"))
     return out if size is None else out.unionByName(row(s.filter(F.coalesce("n", F.lit(0)) != size), "cohort size"))
 

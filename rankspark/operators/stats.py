@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,9 +55,9 @@ def mersenne_draws(spark, n: int, n_samples: int, seed: int) -> DataFrame:
 
         for _ in batches:
             rng = random.Random(seed)
-            for s in range(n_samples):
-                got = pd.Series([rng.randrange(n) for _ in range(n)]).value_counts()
-                yield pd.DataFrame({"sample": s, "pos": got.index.astype("int64"), "times": got.to_numpy()})
+            for first in range(0, n_samples, 200):
+                rows = [(s, p, c) for s in range(first, min(first + 200, n_samples)) for p, c in Counter(rng.randrange(n) for _ in range(n)).items()]
+                yield pd.DataFrame(rows, columns=["sample", "pos", "times"])
 
     return spark.range(1, numPartitions=1).mapInPandas(draw, "sample long, pos long, times long")
 

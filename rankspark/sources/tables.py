@@ -40,6 +40,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """One JSON object in one file; the committer makes the write all-or-nothing. An error unless df has one row."""
+    if len(df.limit(2).collect()) != 1:
+        raise ValueError("a document is one row")
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """The column's texts as lines."""
+    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Compact JSON lines with keys in alphabetical order; the committer makes the write all-or-nothing."""
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -53,16 +65,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("file", (F.row_number().over(at) - 1).alias("position"), "value")
 
 
+def line_list_violations(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(rule, file, value) of read_lines(): values listed twice, and files (file) that list nothing."""
+    twice = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate").alias("rule"), "file", "value")
+    empty = files.select("file").join(lines.select("file").distinct(), "file", "left_anti").select(F.lit("empty").alias("rule"), "file", F.lit(None).cast("string").alias("value"))
+    return twice.unionByName(empty)
+
+
+ARTIFACTS = {  # fixed values: where an example's files lie, by name
+    "example": "data/bugs/{slug}/example.json", "patch": "data/patches/{slug}/patch.txt", "patch_meta": "data/patches/{slug}/meta.json", "test_inventory": "data/tests/{slug}/inventory.json", "labels": "data/tests/{slug}/labels.json",
+    "tests_all": "data/tests/{slug}/raw/tests.all", "representations": "data/representations/{slug}", "candidates": "data/candidates/{slug}.json", "ranking": "results/rankings/{slug}.json", "embedding": "results/embeddings/{slug}.json",
+    "random": "results/random/{slug}.json", "semantic": "results/semantic/{slug}.json",
+}
+
+
+def artifact_paths(examples: DataFrame, slug: str, root: str) -> DataFrame:
+    """(slug, name, path): where every example's artifacts lie."""
+    paths = F.array(*[F.struct(F.lit(n).alias("name"), F.replace(F.lit(f"{root}/{p}"), F.lit("{slug}"), F.col(slug)).alias("path")) for n, p in ARTIFACTS.items()])
+    return examples.select(F.col(slug).alias("slug"), F.explode(paths).alias("a")).select("slug", "a.name", "a.path")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of files, empty ones too, which the scan itself leaves out. The list of names is the one that the scan makes on the driver anyway."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    names = [(f.replace("file:///", "file:/"),) for f in raw.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(raw.select("path"), "path", "left_anti")
+    return raw.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
 def read_source_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) with LF line ends; text is null where the bytes aren't UTF-8."""
-    raw = spark.read.format("binaryFile").load(path)
-    good = F.expr("is_valid_utf8(decode(content, 'UTF-8'))") & (F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content"))
-    return raw.select("path", F.when(good, F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")).alias("text"))
+    raw = _files(spark, path)
+    return raw.select("path", F.regexp_replace(F.expr("try_validate_utf8(cast(content as string))"), "\r\n?", "\n").alias("text"))
 
 
 def probe_sources(spark: SparkSession, path: str) -> DataFrame:
     """(path, readable, encoding_error, line_count); bad files give a row, never an error."""
-    raw = spark.read.format("binaryFile").load(path)
+    raw = _files(spark, path)
     text = F.expr("try_validate_utf8(cast(content as string))")
     n = F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")))
     return raw.select("path", text.isNotNull().alias("readable"), text.isNull().alias("encoding_error"), F.when(text.isNotNull(), n).alias("line_count"))
@@ -70,7 +109,7 @@ def probe_sources(spark: SparkSession, path: str) -> DataFrame:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """The hash index of files: (path, sha256, bytes)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return _files(spark, path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:

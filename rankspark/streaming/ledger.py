@@ -7,28 +7,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A directory of event files as a stream; ts becomes an instant, as watermarks need one."""
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16, delay: str = "1 hour") -> DataFrame:
+    """A directory of event files as a stream; ts becomes an instant with the one watermark that all operators go by."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
+def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     """First arrival of each attempt; state is dropped once the watermark has passed."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    return events.dropDuplicatesWithinWatermark([key])
 
 
-def tumbling_cost(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    w = events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type")
+def tumbling_cost(events: DataFrame, size: str = "1 hour") -> DataFrame:
+    w = events.groupBy(F.window("ts", size), "event_type")
     return w.agg(F.count(F.lit(1)).alias("calls"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "calls", "value")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    w = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id")
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    w = events.groupBy(F.session_window("ts", gap), "user_id")
     return w.agg(F.count(F.lit(1)).alias("calls")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "calls")
 
 
@@ -51,16 +52,18 @@ def spend_gate(events: DataFrame, ceiling: float, key: str = "user_id", cost: st
     return events.groupBy(key).applyInPandasWithState(step, "key long, event_id long, spent double, allowed boolean", "spent double", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Append-only ledger sink: each micro-batch adds the keys that the table lacks."""
+def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str, buckets: int = 64):
+    """Append-only ledger sink: each micro-batch adds the keys that the table lacks. The table is split by the key's bucket, so a batch reads its own buckets only."""
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        new = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets).cast("long")).cast("int"))
         try:
-            known = spark.read.parquet(path).select(key)
-        except Exception as e:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            known = spark.read.parquet(path).select("bucket", key)
+            known = known.join(new.select("bucket").distinct(), "bucket", "left_semi").select(key)  # reads the batch's buckets
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # the first batch finds no table
                 raise
             known = batch.select(key).limit(0)
-        batch.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
+        new.join(known, key, "left_anti").write.mode("append").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

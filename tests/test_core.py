@@ -8,7 +8,9 @@ from rankspark.functions import text as T
 from rankspark.operators import metrics, ranking
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tok_documents", "bm25_scores_top20", "budget_k_grid", "practical_success", "ledger_dedupe_first", "ledger_equal_share", "ledger_wave_wall", "ledger_rolling_60s", "interval_islands", "id_parse", "source_resolution", "http_status_parse", "key_reconcile_full_outer"]
+FAST = ["manifest_split", "manifest_audit", "membership", "id_sort", "ordered_lookup", "ordered_lookup_audit", "annotation_audit", "tokenizer_fingerprint", "lexical_inputs", "ranking_cache_plan", "shortlist_persistence", "sealed_input_audit", "raw_seal_audit", "seal_hash_audit",
+        "consistency_audit", "score_entry_audit", "embedding_entry_audit", "formats", "workload_cost", "ledger_running_spend", "ledger_settled_spend", "ledger_usage_sets", "list_digests", "example_lifecycle", "manifest_drift", "resolution_counts", "prediction_audit", "bm25_first_positive_rank", "metrics_table",
+        "tok_documents", "bm25_scores_top20", "budget_k_grid", "practical_success", "ledger_dedupe_first", "ledger_equal_share", "ledger_wave_wall", "ledger_rolling_60s", "interval_islands", "id_parse", "source_resolution", "http_status_parse", "key_reconcile_full_outer"]
 
 
 @pytest.mark.parametrize("name", FAST)
