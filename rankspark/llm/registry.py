@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from . import query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10
 
-MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
-
-
-def _modules():
-    import importlib.util
-
-    for m in MODULES:
-        if importlib.util.find_spec(f"rankspark.llm.query_{m}"):
-            yield importlib.import_module(f"rankspark.llm.query_{m}")
+MODULES = (query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10)
 
 
 def queries() -> dict:
-    return {m.NAME: m.run for m in _modules()}
+    return {m.NAME: m.run for m in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.SQL for m in _modules() if getattr(m, "SQL", None)}
+    return {m.NAME: m.SQL for m in MODULES if getattr(m, "SQL", None)}
