@@ -100,3 +100,10 @@ def percentage_points(delta: Column) -> Column:
 def axis_ticks(lo: float, hi: float, n: int = 6) -> Column:
     """n even axis ticks."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(lo) + i * ((hi - lo) / (n - 1)))
+
+
+def response_score(response: Column, question: str) -> Column:
+    """The score of a response: `answers.<question>.noul`, or its text as JSON with the sole key `probability`; null otherwise."""
+    text = F.get_json_object(response, "$.text")
+    sole = F.json_object_keys(text) == F.array(F.lit("probability"))
+    return F.coalesce(F.get_json_object(response, f"$.answers.{question}.noul").try_cast("double"), F.when(sole, F.get_json_object(text, "$.probability").try_cast("double")))

@@ -29,6 +29,17 @@ def equal_share(use: DataFrame, cost: DataFrame, key: str, bug: str) -> DataFram
     return pairs.join(share, key).groupBy(bug).agg(F.round(F.sum("share"), 4).alias("usd"), F.count(F.lit(1)).alias("n_keys"))
 
 
+def share_violations(use: DataFrame, cost: DataFrame, shares: DataFrame, key: str, bug: str, tolerance: float = 1e-6) -> DataFrame:
+    """(rule, key): keys in use without a cost, costs of no use, and a total of shares that misses the total of costs."""
+    used = use.select(key).distinct().withColumn("used", F.lit(True))
+    j = used.join(cost.select(key, "cost"), key, "full_outer")
+    rule = F.when(F.col("cost").isNull(), "no cost").when(F.col("used").isNull(), "no use")
+    bad = j.select(rule.alias("rule"), key).filter("rule is not null")
+    paid = j.filter("used").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("paid")).crossJoin(shares.agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("shared")))  # one row each
+    off = paid.filter(F.abs(F.col("paid") - F.col("shared")) > tolerance).select(F.lit("total").alias("rule"), F.lit(None).cast("string").alias(key))
+    return bad.unionByName(off)
+
+
 def latency_summary(ledger: DataFrame, by: list[str], latency: str) -> DataFrame:
     x = F.col(latency).cast("double")
     return ledger.groupBy(*by).agg(F.count(latency).alias("n"), F.round(F.avg(x), 6).alias("mean_ms"), F.round(F.percentile(x, 0.5), 6).alias("p50_ms"), F.round(F.percentile(x, 0.95), 6).alias("p95_ms"))

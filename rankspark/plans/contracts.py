@@ -277,23 +277,26 @@ def costs(spark, d) -> DataFrame:
 
 
 WIDE_SQL = f"""{E.FIRST2}, ps AS (SELECT item_id, count(*) AS positives FROM pos GROUP BY 1), c AS (SELECT item_id, length(text) AS size FROM benchmark WHERE item_id % 10 <> 9),
-w AS (SELECT 'Cli' AS project, CAST(m.item_id AS VARCHAR) AS bug_id, 'evaluation' AS split, method, n AS num_test_classes, positives AS num_trigger_classes, m.first_rank AS first_trigger_rank, round(rr, 9) AS reciprocal_rank, round(nftr, 9) AS normalized_first_trigger_rank, round(apfd, 9) AS apfd,
+w AS (SELECT 'Cli' AS project, CAST(m.item_id AS VARCHAR) AS bug_id, 'evaluation' AS split, method, n AS num_test_classes, coalesce(positives, 0) AS num_trigger_classes, m.first_rank AS first_trigger_rank, round(rr, 9) AS reciprocal_rank, round(nftr, 9) AS normalized_first_trigger_rank, round(apfd, 9) AS apfd,
 {', '.join(f"m.first_rank <= greatest(1, CAST(ceil({b}::DOUBLE * n) AS BIGINT)) AS detected_at_{round(100 * b)}pct" for b in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0))}, m.first_rank <= {R.SHORT} AS candidate_trigger_in_top200,
 CASE WHEN method = 'Random' THEN size END AS reranker_input_tokens, CASE WHEN method = 'Random' THEN size % 7 END AS reranker_output_tokens, CASE WHEN method = 'Random' THEN round(size / 1000.0::DOUBLE, 6) ELSE 0.0 END AS reranker_cost_usd, CASE WHEN method = 'Random' THEN (size % 500)::DOUBLE END AS reranker_wall_ms,
-false AS patch_truncated, 0 AS missing_test_source_count, true AS available, '{COMMIT}' AS experiment_commit, '{RUN}' AS run_id, 'Cli-' || m.item_id AS qualified_id FROM m JOIN ps USING (item_id) LEFT JOIN c USING (item_id))"""
+false AS patch_truncated, 0 AS missing_test_source_count, m.first_rank IS NOT NULL AS available, '{COMMIT}' AS experiment_commit, '{RUN}' AS run_id, 'Cli-' || m.item_id AS qualified_id FROM (SELECT x.method, b.item_id, m.first_rank, st.n, m.rr, m.nftr, m.apfd FROM benchmark b CROSS JOIN (VALUES ('BM25'), ('Random')) x(method) CROSS JOIN st LEFT JOIN m ON m.item_id = b.item_id AND m.method = x.method) m LEFT JOIN ps USING (item_id) LEFT JOIN c USING (item_id))"""
 
 
 def wide(spark, d) -> DataFrame:
     post = R.posted(spark, d)
     pos = R.positives(spark, d, post)
-    m = E.first_ranks(spark, d, post, pos).join(pos.groupBy("item").agg(F.count(F.lit(1)).alias("positives")), "item")
+    ranks = E.first_ranks(spark, d, post, pos).select("method", "item", "first_rank")
+    n = R.lexical.documents_of(post).agg(F.count(F.lit(1)).alias("n"))
+    every = R.items(spark, d).crossJoin(F.broadcast(spark.createDataFrame([("BM25",), ("Random",)], "method string"))).crossJoin(F.broadcast(n))  # methods are two, n is one row
+    m = every.join(ranks, ["method", "item"], "left").join(pos.groupBy("item").agg(F.count(F.lit(1)).alias("positives")), "item", "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
     m = m.select(F.concat(F.lit("Cli-"), "item").alias("qualified_id"), "method", "first_rank", "n", "positives", (F.col("first_rank") <= R.SHORT).alias("in_shortlist"), F.lit(False).alias("patch_truncated"), F.lit(0).alias("source_missing"))
     return metrics.wide_metrics(m, costs(spark, d), ("BM25",), COMMIT, RUN)
 
 
 @query(f"WITH {WIDE_SQL} SELECT * FROM w")
 def metrics_table(spark, d):
-    """All 28 columns, with the hash order as if it were a paid method."""
+    """All 28 columns, with the hash order as if it were a paid method; items without a positive document have no ranking to judge."""
     return wide(spark, d)
 
 

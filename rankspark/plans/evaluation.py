@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.hashing import order_hash
-from ..operators import audit, cohort, metrics, randomized, stats
+from ..operators import audit, cohort, manifest, metrics, randomized, stats
 from ..operators import lexical as L
 from ..sources.tables import table
 from . import retrieval as R
@@ -120,6 +120,34 @@ def point_deltas(spark, d):
     return pairs(spark, d).agg(mean("detected").alias("fdr_delta"), mean("rr").alias("mrr_delta"), mean("apfd").alias("apfd_delta"), F.round(F.median("nftr_a") - F.median("nftr_b"), 6).alias("median_nftr_delta"))
 
 
+LISTED = f"{FIRST2}, li AS (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) AS rank FROM documents d), lf AS (SELECT item_id, min(rank) AS first_rank FROM pos JOIN li USING (doc_id) GROUP BY 1), m3 AS (SELECT method, item_id, first_rank, n, rr FROM m UNION ALL SELECT 'Listing', item_id, first_rank, n, 1.0 / first_rank FROM lf CROSS JOIN st)"
+
+
+@query(f"""WITH {LISTED}, c AS (SELECT * FROM (VALUES ('BM25', 'Random'), ('BM25', 'Listing'), ('Random', 'Listing')) t(a, b)),
+j AS (SELECT c.a, c.b, CAST(x.first_rank <= greatest(1, CAST(ceil(0.1::DOUBLE * x.n) AS BIGINT)) AS INTEGER) AS da, CAST(y.first_rank <= greatest(1, CAST(ceil(0.1::DOUBLE * y.n) AS BIGINT)) AS INTEGER) AS db, x.rr - y.rr AS d FROM c JOIN m3 x ON x.method = c.a JOIN m3 y ON y.method = c.b AND y.item_id = x.item_id),
+t AS (SELECT a, b, count(*) AS n_items, count(*) FILTER (da = 1 AND db = 0) AS a_only, count(*) FILTER (da = 0 AND db = 1) AS b_only, round(avg(da - db), 6) AS fdr_delta, round(avg(d), 6) AS mrr_delta FROM j GROUP BY 1, 2), z AS (SELECT *, a_only + b_only AS k0, greatest(a_only, b_only) AS k FROM t)
+SELECT a, b, n_items, a_only, b_only, fdr_delta, mrr_delta, round(CASE WHEN k0 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(k0 + 1) - lgamma(i + 1) - lgamma(k0 - i + 1) - k0 * ln(2))) FROM range(0, 100000) r(i) WHERE i >= k AND i <= k0)) END, 9) AS p_value FROM z""")
+def contrasts(spark, d):
+    """One primary and two further contrasts, with the documents' listing as a third method."""
+    post = R.posted(spark, d)
+    pos = R.positives(spark, d, post)
+    docs = L.documents_of(post).select("doc")
+    first = pos.groupBy("item").agg(F.min("doc").alias("first"))
+    listed = docs.join(first, docs["doc"] <= F.col("first")).groupBy("item").agg(F.count(F.lit(1)).alias("first_rank"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    ranks = first_ranks(spark, d, post, pos).select("method", "item", "first_rank", "n")
+    m = metrics.item_metrics(ranks.unionByName(listed.crossJoin(F.broadcast(n)).select(F.lit("Listing").alias("method"), "item", "first_rank", "n")))
+    m = R.cut(m.withColumn("detected", (F.col("first_rank") <= S.budget_k(F.lit(0.10), F.col("n"))).cast("double")))
+    out = None
+    for a, b in (("BM25", "Random"), ("BM25", "Listing"), ("Random", "Listing")):
+        p = stats.paired(m, a, b, ["item"], ["detected", "rr"])
+        t = stats.mcnemar(stats.table_2x2(p)).select("a_only", "b_only", "p_value")
+        one = p.agg(F.count(F.lit(1)).alias("n_items"), F.round(F.avg(F.col("detected_a") - F.col("detected_b")), 6).alias("fdr_delta"), F.round(F.avg(F.col("rr_a") - F.col("rr_b")), 6).alias("mrr_delta")).crossJoin(t)
+        one = one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n_items", "a_only", "b_only", "fdr_delta", "mrr_delta", "p_value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 SAMPLES, SEED = 10_000, 20260922
 
 
@@ -151,9 +179,12 @@ def bootstrap_ci_mt(spark, d):
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT item_id, rb - ra AS delta, CAST(sign(rb - ra) AS INTEGER) AS sign FROM p), g AS (SELECT * FROM x ORDER BY delta DESC, item_id LIMIT 10),
-l AS (SELECT * FROM x WHERE item_id NOT IN (SELECT item_id FROM g) ORDER BY delta, item_id LIMIT 10) SELECT *, 'gain' AS arm FROM g UNION ALL SELECT *, 'loss' FROM l""")
+l AS (SELECT * FROM x WHERE item_id NOT IN (SELECT item_id FROM g) ORDER BY delta, item_id LIMIT 10)
+SELECT *, 'gain' AS arm, row_number() OVER (ORDER BY delta DESC, item_id) AS arm_rank FROM g UNION ALL SELECT *, 'loss', row_number() OVER (ORDER BY delta, item_id) FROM l""")
 def rank_delta_top10(spark, d):
-    return cohort.rank_deltas(pairs(spark, d), "first_rank_b", "first_rank_a", "item", 10).select(F.col("item").alias("item_id"), "delta", "sign", "arm")
+    rows = cohort.rank_deltas(pairs(spark, d), "first_rank_b", "first_rank_a", "item", 10)
+    rows = manifest.arm_ranks(rows, "arm", F.when(F.col("arm") == "gain", -F.col("delta")).otherwise(F.col("delta")), F.col("item"))
+    return rows.select(F.col("item").alias("item_id"), "delta", "sign", "arm", "arm_rank")
 
 
 @query(f"WITH {PAIRS} SELECT CAST(sign(rb - ra) AS INTEGER) AS sign, count(*) AS n_items FROM p GROUP BY 1")

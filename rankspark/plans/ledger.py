@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_key
+from ..functions.scoring import response_score
 from ..operators import audit, ledger, scorer
 from ..sources.tables import cache_misses, json_field, table
 
@@ -49,6 +50,41 @@ def ledger_equal_share(spark, d):
     return ledger.equal_share(e, cost, "cache_key", "bug")
 
 
+@query(f"""WITH {L}, c AS (SELECT cache_key, arg_min(usd, seq) AS cost FROM l WHERE k % 10 <> 3 GROUP BY 1), u AS (SELECT DISTINCT cache_key FROM l WHERE kind <> 'error')
+SELECT CASE WHEN c.cache_key IS NULL THEN 'no cost' ELSE 'no use' END AS rule, coalesce(u.cache_key, c.cache_key) AS cache_key FROM u FULL JOIN c ON u.cache_key = c.cache_key WHERE c.cache_key IS NULL OR u.cache_key IS NULL UNION ALL SELECT 'total', NULL""")
+def ledger_share_audit(spark, d):
+    """Costs are lost for one key in ten, calls that failed use nothing, and the shares were made from halved costs."""
+    e = events(spark, d)
+    cost = e.filter("k % 10 <> 3").groupBy("cache_key").agg(F.min_by("usd", "seq").alias("cost"))
+    use = e.filter("kind <> 'error'")
+    shares = ledger.equal_share(use, cost.withColumn("cost", F.col("cost") / 2), "cache_key", "bug")
+    return ledger.share_violations(use, cost, shares, "cache_key", "bug")
+
+
+@query(f"""WITH {L}, w AS (SELECT bug, (row_number() OVER (PARTITION BY bug ORDER BY seq) - 1) // 16 AS wave, latency FROM l), x AS (SELECT bug, wave, max(latency) AS wall FROM w GROUP BY 1, 2), y AS (SELECT bug, round(sum(wall), 4) AS wall_ms FROM x GROUP BY 1)
+SELECT 'all' AS method, count(*) AS n, round(avg(wall_ms), 6) AS mean_ms, round(quantile_cont(wall_ms, 0.5), 6) AS p50_ms, round(quantile_cont(wall_ms, 0.95), 6) AS p95_ms FROM y""")
+def ledger_wall_summary(spark, d):
+    """Latency over bugs: each one's wall time as its waves add up."""
+    wall = ledger.wave_wall(events(spark, d), "bug", "seq", "latency", 16).withColumn("method", F.lit("all"))
+    return ledger.latency_summary(wall, ["method"], "wall_ms")
+
+
+RESPONSE = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{{"answers":{{"q1":{{"noul":' || v || '}}}}}}' WHEN 1 THEN '{{"text":"{{\\"probability\\": ' || v || '}}"}}' WHEN 2 THEN '{{"text":"{{\\"probability\\": ' || v || ', \\"why\\": 1}}"}}' WHEN 3 THEN '{{"answers":{{"q2":{{"noul":0.5}}}}}}' ELSE 'no json' END AS r
+FROM (SELECT event_id, CAST((event_id % 130) / 100.0 AS DECIMAL(6, 2)) AS v FROM events))""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH x AS (SELECT event_id, CASE WHEN json_valid(r) THEN try_cast(json_extract_string(r, '$.answers.q1.noul') AS DOUBLE) END AS a, CASE WHEN json_valid(r) THEN json_extract_string(r, '$.text') END AS t FROM {RESPONSE}),
+y AS (SELECT event_id, coalesce(a, CASE WHEN t IS NOT NULL AND len(json_keys(t)) = 1 THEN try_cast(json_extract_string(t, '$.probability') AS DOUBLE) END) AS s FROM x) SELECT event_id, s AS score, coalesce(s BETWEEN 0 AND 1, false) AS valid FROM y""")
+def score_nested_parse(spark, d):
+    """Answers by question id, or a text that is JSON with the one key `probability`; anything else has no score."""
+    e = F.col("event_id") % 5
+    v = ((F.col("event_id") % 130) / 100).cast("decimal(6,2)").cast("string")
+    wrap = lambda a, b: F.concat(F.lit(a), v, F.lit(b))
+    r = F.when(e == 0, wrap('{"answers":{"q1":{"noul":', "}}}")).when(e == 1, wrap('{"text":"{\\"probability\\": ', '}"}')).when(e == 2, wrap('{"text":"{\\"probability\\": ', ', \\"why\\": 1}"}')).when(e == 3, '{"answers":{"q2":{"noul":0.5}}}').otherwise("no json")
+    s = response_score(r, "q1")
+    return table(spark, d, "events").select("event_id", s.alias("score")).withColumn("valid", F.coalesce(F.col("score").between(0, 1), F.lit(False)))
+
+
 @query(f"WITH {L} SELECT seq, k * 1000 AS tokens, round(k * 1000 * {RATE} / 1e6, 9) AS inference_usd, round(k * 1000 * {RATE} / 1e6 * {FEE}, 9) AS fee_usd, round(k * 1000 * {RATE} / 1e6 * (1 + {FEE}), 9) AS effective_usd FROM l".replace(f"* {RATE}", f"* {RATE}::DOUBLE").replace(f"* {FEE}", f"* {FEE}::DOUBLE").replace(f"(1 + {FEE})", f"(1 + {FEE}::DOUBLE)"))
 def ledger_cost_breakdown(spark, d):
     e = events(spark, d).withColumn("tokens", F.col("k") * 1000)

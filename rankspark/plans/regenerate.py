@@ -25,6 +25,7 @@ def regenerate(spark: SparkSession, sf_dir: str, out: str) -> dict[str, DataFram
 
     wide = put("metrics", contracts.wide(spark, sf_dir))
     write_csv(wide, f"{out}/metrics_csv", list(metrics.WIDE))
+    wide = wide.filter("available")
     items = metrics.item_metrics(wide.select("qualified_id", "project", "method", F.col("first_trigger_rank").alias("first_rank"), F.col("num_test_classes").alias("n")))
     spent = wide.groupBy("method").agg(F.sum("reranker_cost_usd").alias("usd"))
     cohort = put("cohort", metrics.cohort_summary(items, ["method"], spent))
