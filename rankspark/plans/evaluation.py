@@ -294,18 +294,21 @@ def random_closed_form_fdr(spark, d):
     return x.withColumn("fdr", F.round(F.when(F.col("n") - F.col("t") < F.col("k"), 1.0).otherwise(1 - F.exp(miss)), 6))
 
 
-def label_groups(spark, d):
-    return table(spark, d, "embeddings").select("label", "vec_id", F.col("label").alias("seed_index"), (F.col("vec_id") % 9 == 0).alias("good"))
+def turn_groups(spark, d):
+    """(conv_id, turn, seed_index, good): a conversation's turns as an inventory, its place among the conversations as the index of its seed."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3 == 1).alias("good"))
+    every = c.select(F.lit("all").alias("split"), F.col("conv_id").alias("id"), F.col("conv_id").alias("position")).distinct()
+    return c.join(manifest.split_rows(every, "all").select(F.col("id").alias("conv_id"), F.col("index").alias("seed_index")), "conv_id")
 
 
 @query()
 def random_permutations_mt(spark, d):
-    return randomized.permutations(label_groups(spark, d), "label", "vec_id", 1337, REPS)
+    return randomized.permutations(turn_groups(spark, d), "conv_id", "turn", 1337, REPS)
 
 
 @query()
 def random_metrics_mt(spark, d):
-    return randomized.permutation_metrics(label_groups(spark, d), "label", "vec_id", "good", 1001337, REPS)
+    return randomized.permutation_metrics(turn_groups(spark, d), "conv_id", "turn", "good", 1_001_337, REPS)
 
 
 @query(f"WITH {R.FULL} SELECT item_id, doc_id, 'quality_label' AS leaked FROM ranked WHERE rank <= 3 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")

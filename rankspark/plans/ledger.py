@@ -178,7 +178,7 @@ def scorer_map(spark, d):
     """Every conversation's stated question scored against every benchmark passage by the stand-in model; pairs of the first five passages are in the cache."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("state"))
     q = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("question"))
-    pairs = q.crossJoin(F.broadcast(b)).withColumn("cache_key", F.sha2(F.concat_ws("|", "item", "question"), 256))
+    pairs = q.crossJoin(b).withColumn("cache_key", F.sha2(F.concat_ws("|", "item", "question"), 256))
     cache = pairs.filter("item < 5").select("cache_key").distinct().withColumn("score", F.lit(0.5))
     return scorer.score_shortlist(pairs, cache, scorer.overlap_scorer, max_concurrency=4).select("item", "conv_id", "cache_key", "score", "status")
 
