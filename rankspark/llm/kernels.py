@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, cut_mark, cuts_since, drop_cut, shared_folder  # noqa: F401
 
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 HOT_SHARE, SALTS = 1_000, 256
-PIECE = 1 << 21  # bytes handled at once; longer texts go piece by piece, cut at white space
+PIECE = 1 << 19  # bytes handled at once; longer texts go piece by piece, cut at white space
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,13 +41,18 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        with np.errstate(over="ignore"):
-            for name, base in (("up", STEP), ("down", STEP_INV)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of STEP and of its inverse; workers keep those of pieces, not those of a longer word or text."""
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS["up"], _POWERS["down"]
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (STEP, STEP_INV):
+            p = np.full(max(n, 2 * PIECE), base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p, out=p))
+    if n <= 2 * PIECE:
+        _POWERS["up"], _POWERS["down"] = out
+    return out[0], out[1]
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@ every occurrence of a word has a segmentation of its own, all of which decode to
 
 Occurrences share work as far as their hashes decide alike. A node is a word and the candidates skipped so far; it holds the
 merges that the agenda then makes. An occurrence starts at its word's node and goes on to the child of the first merge that
-its hash skips, until it skips none. Nodes are made when first reached and kept for later texts, MOST_NODES at most: they
-save time and never change a result.
+its hash skips, until it skips none. Nodes are made when first reached and kept for a task's later texts, about MOST_NODES at
+most: they save time and never change a result.
 
 No piece of the vocabulary goes on after a space or holds an unknown character, so words (spaces, then other characters)
 and unknown characters are encoded apart; load() checks that. Words of a batch are encoded together, one merge each at a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SEED, DROPOUT, SHORT, LONG, CHUNK, MOST_NODES = 5, 0.1, 24, 256, 1 << 20, 300_000
+SEED, DROPOUT, SHORT, LONG, CHUNK, MOST_NODES = 5, 0.1, 24, 256, 1 << 20, 200_000
 SPACE = "▁"
 INF = np.int64(1) << np.int64(40)
 ROWS = 768
@@ -400,18 +400,6 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
     return [data[a + 1 : b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-_KEPT: dict[str, Nodes] = {}
-
-
-def _nodes(v: Vocabulary) -> Nodes:
-    """The nodes of this worker for a vocabulary: one set at a time."""
-    name = hashlib.sha256(v.pairs.tobytes() + v.merged.tobytes() + v.rank.tobytes() + v.by_char.tobytes()).hexdigest()
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = Nodes(v)
-    return _KEPT[name]
-
-
 def _numbers(column: pa.Array) -> np.ndarray:
     return np.array([0 if x is None else int(hashlib.blake2b(str(x).encode(), digest_size=8).hexdigest(), 16) for x in column.to_pylist()], np.uint64)
 
@@ -426,7 +414,7 @@ def encoded(docs: DataFrame, model: str, doc: str = "doc_id", text: str = "text"
     names = [c for c in docs.columns if c not in (text, "n_pieces", "pieces_sha256", "lossless", "pieces")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = _nodes(v)
+        nodes = Nodes(v)
         for b in K.sliced(batches, 1, ROWS):
             column = b.column(1).cast(pa.large_string())
             data, offsets = K.buffers(column)
