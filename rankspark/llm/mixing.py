@@ -142,7 +142,7 @@ def taken(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc).cast("string"), F.lit(""))))
     sized = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), F.xxhash64(text).alias("tie"), *keep)
-    digits = int(np.clip(np.ceil(np.log(max(1, docs.count()) / BUCKET_ROWS) / np.log(16)), 1, 5))
+    digits = int(np.clip(np.ceil(np.log(max(1, docs.count()) / BUCKET_ROWS) / np.log(16)), 3, 5))
     if not keep:
         sized = K.cut(sized)  # the texts are read once
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key")  # null is a source too
@@ -180,7 +180,7 @@ def mixed_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", so
     """The mix as rows: each document as often as the schedule takes it; the one that a source's last turn cuts gives its first words.
 
     Columns of docs stay; `slot` names one more for the row's slot. Rows come in the order of their slots: a partition holds
-    a stretch of the mix, in order. Documents without words stay once: they cost no words.
+    a stretch of the mix, in order. Documents without words stay once, at slots by their hash: they cost no words.
     """
     names = {c: f"in{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash
     kept = tuple(names[c] for c in docs.columns if c not in (doc, source))
@@ -197,6 +197,7 @@ def mixed_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", so
     rank = F.least(F.floor(F.col("_at") / BLOCK).cast("long"), last)
     rows = rows.withColumn("_slot", _slot(rank, F.coalesce("lo", F.lit(0).cast("long")), F.coalesce("hi", F.lit(0).cast("long"))))
     rows = rows.withColumn("_slot", F.when(F.col("_slot") >= 0, F.col("_slot")).otherwise(F.coalesce("slots", F.lit(0)) + rank))
+    rows = rows.withColumn("_slot", F.when(F.col("size") > 0, F.col("_slot")).otherwise(F.pmod(F.xxhash64("doc", "_at"), F.greatest(F.coalesce("slots", F.lit(0)), F.lit(1)).cast("long"))))  # no words, no block
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stretch = F.least(F.floor(F.col("_slot") / F.greatest(F.col("slots"), F.lit(1)) * parts), F.lit(parts - 1)).cast("int")
     rows = rows.repartitionById(parts, stretch).sortWithinPartitions("_slot", "_at", "doc", "_text")
