@@ -21,6 +21,7 @@ stands alone (then null). Rows that repeat an id are judged each by its own text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WORDS, PERCENT = 5, 80  # the default of near-duplicate stages
 FLUSH = 1_500_000  # n-grams that a task holds before it deals them out
 HOT_HERE = 64  # a task's n-gram held by so many of its sets goes as a flag
 BUCKET_ROWS = 1_000_000
-BLOCK_SETS = 3_000
+BLOCK_SETS = 600
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -234,35 +235,48 @@ def prefix_edges(sets: DataFrame, percent: int) -> DataFrame:
     return member.unionByName(across).distinct()
 
 
-class _Node:
-    __slots__ = ("start", "end", "set", "lo", "hi", "kids", "least", "longest")
+@dataclass
+class _Trie:
+    """A path-compressed trie over lexicographically sorted sets, an entry a node, parents first.
+
+    A node's path is flat[first : last]; sets lo..hi-1 lie below it, of which `least` is the smallest size and `longest` the
+    most n-grams; its children are the nodes kids..kids_end-1, and end is how many n-grams of its sets its path ends at.
+    """
+
+    flat: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    end: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    least: np.ndarray
+    longest: np.ndarray
+    kids: np.ndarray
+    kids_end: np.ndarray
 
 
-def _trie(sets: list[np.ndarray], ns: np.ndarray) -> _Node:
-    """A path-compressed trie over lexicographically sorted sets. Node: n-grams start..end of set `set`; sets lo..hi-1 below."""
+def _trie(sets: list[np.ndarray], ns: np.ndarray) -> _Trie:
     g = len(sets)
+    size = np.array([len(s) for s in sets])
+    base = np.concatenate(([0], np.cumsum(size)))
     common = np.zeros(g + 1, np.int64)
     for i in range(1, g):
-        m = min(len(sets[i - 1]), len(sets[i]))
+        m = min(size[i - 1], size[i])
         differ = np.flatnonzero(sets[i - 1][:m] != sets[i][:m])
         common[i] = differ[0] if len(differ) else m
-
-    def node(lo: int, hi: int, start: int) -> _Node:
-        x = _Node()
-        x.start, x.lo, x.hi, x.set = start, lo, hi, lo
-        x.end = int(common[lo + 1 : hi].min()) if hi - lo > 1 else len(sets[lo])
-        x.least, x.longest, x.kids = int(ns[lo:hi].min()), max(len(s) for s in sets[lo:hi]), []
-        return x
-
-    root = node(0, g, 0)
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if x.hi - x.lo > 1:
-            cuts = [x.lo, *(x.lo + 1 + np.flatnonzero(common[x.lo + 1 : x.hi] == x.end)).tolist(), x.hi]
-            x.kids = [node(a, b, x.end) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            todo += x.kids
-    return root
+    rows, kids = [(0, g, 0)], []  # sets lo..hi-1, n-grams before the path
+    ends = []
+    for lo, hi, start in rows:  # grows while it is read
+        end = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(size[lo])
+        ends.append(end)
+        kids.append(len(rows))
+        if hi - lo > 1:
+            cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
+            rows += [(x, y, end) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    lo, hi, start = (np.array(x) for x in zip(*rows, strict=True))
+    end, kids = np.array(ends), np.array(kids)
+    least, longest = np.array([ns[x:y].min() for x, y in zip(lo, hi, strict=True)]), np.array([size[x:y].max() for x, y in zip(lo, hi, strict=True)])
+    return _Trie(np.concatenate(sets), base[lo] + start, base[lo] + end, end, lo, hi, least, longest, kids, np.append(kids[1:], len(rows)))
 
 
 def trie_links(keys: np.ndarray, ns: np.ndarray, sets: list[np.ndarray], percent: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -283,28 +297,32 @@ def trie_links(keys: np.ndarray, ns: np.ndarray, sets: list[np.ndarray], percent
         order = sorted(range(len(group)), key=lambda j: local[j].astype(">u8").tobytes())
         group, local = [group[j] for j in order], [local[j] for j in order]
         size = ns[group]
-        root, held = _trie(local, size), np.zeros(len(vocabulary), bool)
+        t, held = _trie(local, size), np.zeros(len(vocabulary), np.int64)
         mark, side = np.arange(len(group)), across[group] if across is not None else None
         for x in range(len(group)):
             own, nx = local[x], int(size[x])
-            held[own] = True
-            todo = [(root, 0)]
-            while todo:
-                node, had = todo.pop()
-                below = mark[node.lo : node.hi]
-                if (below == mark[x]).all():
-                    continue
-                path = local[node.set][node.start : node.end]
-                have = had + int(held[path].sum())
-                if node.kids:
-                    last = path[-1] if len(path) else (local[node.set][node.start - 1] if node.start else -1)
-                    left = len(own) - int(np.searchsorted(own, last, "right"))
-                    if have + min(left, node.longest - node.end) >= overlap_needed(nx, node.least, percent):
-                        todo += [(k, have) for k in node.kids]
-                elif have >= overlap_needed(nx, node.least, percent) and (side is None or side[x] != side[node.lo]):
-                    links.append((int(keys[group[x]]), int(keys[group[node.lo]])))
-                    mark[mark == mark[node.lo]] = mark[x]
-            held[own] = False
+            held[own] = 1
+            nodes, had = np.zeros(1, np.int64), np.zeros(1, np.int64)
+            while len(nodes):  # one level of the trie at a time, with the overlap that each path has so far
+                met = np.concatenate(([0], np.cumsum(mark == mark[x])))
+                new = met[t.hi[nodes]] - met[t.lo[nodes]] < t.hi[nodes] - t.lo[nodes]
+                nodes, had = nodes[new], had[new]
+                length = t.last[nodes] - t.first[nodes]
+                parts = np.concatenate(([0], np.cumsum(length)))
+                seen = np.concatenate(([0], np.cumsum(held[t.flat[np.arange(parts[-1]) + np.repeat(t.first[nodes] - parts[:-1], length)]])))
+                have = had + seen[parts[1:]] - seen[parts[:-1]]
+                need = overlap_needed(nx, t.least[nodes], percent)
+                inner = t.hi[nodes] - t.lo[nodes] > 1
+                left = len(own) - np.searchsorted(own, np.where(t.end[nodes] > 0, t.flat[t.last[nodes] - 1], -1), "right")
+                go = inner & (have + np.minimum(left, t.longest[nodes] - t.end[nodes]) >= need)
+                for y in t.lo[nodes[~inner & (have >= need)]].tolist():
+                    if mark[y] != mark[x] and (side is None or side[x] != side[y]):
+                        links.append((int(keys[group[x]]), int(keys[group[y]])))
+                        mark[mark == mark[y]] = mark[x]
+                many = (t.kids_end - t.kids)[nodes[go]]
+                ends = np.concatenate(([0], np.cumsum(many)))
+                nodes, had = np.arange(ends[-1]) + np.repeat(t.kids[nodes[go]] - ends[:-1], many), np.repeat(have[go], many)
+            held[own] = 0
     return links
 
 
