@@ -75,9 +75,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw(column.cast(pa.large_string()).fill_null(""))
 
 
-def _words_of_piece(data: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _words_of_piece(data: np.ndarray, cuts: np.ndarray, fold: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of a piece; no word crosses a cut."""
-    inside = ~SPACES[data]
+    inside = ~breaks[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[cuts[cuts < len(data)]] = False
@@ -95,25 +95,25 @@ def _words_of_piece(data: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.
         return starts, mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, bounds): 64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, their byte offsets; document i has words bounds[i]:bounds[i+1].
 
-    fold: A-Z as a-z. A word longer than a piece makes its piece longer; nothing else does.
+    fold: A-Z as a-z. breaks: the bytes that part words, white space unless given. A word longer than a piece makes its piece longer; nothing else does.
     """
     hashes, starts, at, n = [], [], 0, len(data)
     while at < n:
         end = min(at + PIECE, n)
         if end < n:  # cut after white space or at a document's start
-            spaces = np.flatnonzero(SPACES[data[at:end]])
+            spaces = np.flatnonzero(breaks[data[at:end]])
             k = np.searchsorted(offsets, end, "right") - 1
             if offsets[k] > at or len(spaces):
                 end = max(int(offsets[k]) if offsets[k] > at else 0, at + int(spaces[-1]) + 1 if len(spaces) else 0)
             else:
                 rest = data[end : int(offsets[k + 1])]
-                more = np.flatnonzero(SPACES[rest])
+                more = np.flatnonzero(breaks[rest])
                 end += int(more[0]) + 1 if len(more) else len(rest)
         lo, hi = np.searchsorted(offsets, [at, end])
-        s, h = _words_of_piece(data[at:end], np.unique(offsets[lo : hi + 1]) - at, fold)
+        s, h = _words_of_piece(data[at:end], np.unique(offsets[lo : hi + 1]) - at, fold, breaks)
         starts.append(s + at)
         hashes.append(h)
         at = end

@@ -1,10 +1,10 @@
-"""The ten operators' queries over whole tables, with their production parameters, and SQL where SQL can say them."""
+"""The thirteen operators' queries over whole tables, with their production parameters, and SQL where SQL can say them."""
 
 from __future__ import annotations
 
-from . import query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10
+from . import query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10, query_op12
 
-MODULES = (query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10)
+MODULES = (query_op1, query_op2, query_op3, query_op4, query_op5, query_op6, query_op7, query_op8, query_op9, query_op10, query_op12)
 
 
 def queries() -> dict:
