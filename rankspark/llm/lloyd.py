@@ -14,7 +14,7 @@ come. So the sums stay exact, and a round in which little moves shuffles little.
 Rows whose vector is null or holds null or non-finite numbers are dropped. Vectors of each length have codebooks of their own.
 Where PARTS doesn't divide a length the first parts have one number more; parts of no number get code 0. Numbers beyond what
 lets squared distances fit 64 bits (with 64 components: |x| of 2^18) count as that bound. Rows of one id are coded each; the
-first codebook takes equal ids by their vectors, null ids last. Equal labels share label_error, nulls together.
+first codebook takes equal ids by the bytes of their vectors, null ids last. Equal labels share label_error, nulls together.
 """
 
 from __future__ import annotations

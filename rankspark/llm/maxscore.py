@@ -52,8 +52,8 @@ def shard(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> dict:
             "counts": np.diff(np.append(term, len(h))).astype("<i4").tobytes(), "places": d.astype("<u2").tobytes(), "tfs": tf.astype("u1" if tf.max() < 256 else "<i8").tobytes()}
 
 
-def index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """The shards of all texts, written to the shared folder."""
+def index(docs: DataFrame, doc: str, text: str, shard_terms: int = SHARD_TERMS, rows: int = K.BATCH_ROWS) -> DataFrame:
+    """The shards of all texts, read `rows` texts at once, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, hashes, n = [], [], [], 0
@@ -61,12 +61,12 @@ def index(docs: DataFrame, doc: str, text: str) -> DataFrame:
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([shard(np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes))], schema=SCHEMA)
 
-        for b in K.sliced(batches, 1):
+        for b in K.sliced(batches, 1, rows):
             h, _, bounds = T.terms(*K.buffers(b.column(1)))
             size = np.diff(bounds)
             has = np.flatnonzero(size)
             if len(has):
-                if n and (n + len(h) > SHARD_TERMS or sum(map(len, ids)) + len(has) > SHARD_TEXTS):
+                if n and (n + len(h) > shard_terms or sum(map(len, ids)) + len(has) > SHARD_TEXTS):
                     yield row()
                     ids, sizes, hashes, n = [], [], [], 0
                 ids.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)[has])
