@@ -146,20 +146,50 @@ def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
     return F.greatest(base, F.coalesce(retry_after, base))
 
 
-def redact(text: Column) -> Column:
-    """Masks bearer tokens and key-like values in messages."""
-    step = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    step = F.regexp_replace(step, r"(?i)(password|secret|api_?key|token)\s*[:=]\s*[A-Za-z0-9._~+/=-]+", "$1=[REDACTED]")
-    return F.regexp_replace(step, r"AKIA[A-Z0-9]{16}", "[REDACTED]")
+def redact(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """Masks the given secrets wherever they stand, then the word of more than eight characters after `Bearer` and a space."""
+    out = text
+    for s in secrets:
+        out = F.replace(out, F.lit(s), F.lit("[REDACTED]")) if s else out
+    head = F.split(out, "Bearer ", -1)
+
+    def masked(chunk: Column) -> Column:
+        word = F.substring_index(chunk, " ", 1)
+        return F.when(F.length(word) > 8, F.concat(F.lit("[REDACTED]"), F.substr(chunk, F.length(word) + 1))).otherwise(chunk)
+
+    return F.array_join(F.transform(head, lambda x, i: F.when(i == 0, x).otherwise(masked(x))), "Bearer ")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """The double with so many decimals (1 or more), rounded as its exact binary value stands, ties to even; `nan`, `inf`, `-inf` as such.
+
+    The fraction times 10^digits is taken as a rounded product and its exact error (both factors split in halves of 26 bits), so
+    what is above or below a half is told exactly. From 2^53 on there is no fraction, and Java's formatting prints the number.
+    """
+    scale, a = 10.0**digits, F.abs(x)
+    whole = F.floor(F.when(a < 2.0**53, a).otherwise(0.0))
+    part = F.when(a < 2.0**53, a - whole.cast("double")).otherwise(0.0)
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    scale_high = 134217729.0 * scale - (134217729.0 * scale - scale)
+    low, scale_low = part - high, scale - scale_high
+    p = part * scale
+    error = ((high * scale_high - p) + high * scale_low + low * scale_high) + low * scale_low
+    floor = F.floor(p)
+    above = (p - floor.cast("double") - 0.5) + error
+    n = floor + F.when((above > 0) | ((above == 0) & (floor % 2 == 1)), 1).otherwise(0)
+    full = n == 10**digits
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    text = F.concat(sign, (whole + full.cast("long")).cast("string"), F.lit("."), F.lpad(F.when(full, 0).otherwise(n).cast("string"), digits, "0"))
+    return F.when(F.isnan(x), "nan").when(a == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(a >= 2.0**53, F.format_string(f"%.{digits}f", x)).otherwise(text)
 
 
 def format_rate(x: Column) -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.format_string("%.4f", x))
+    return F.when(x.isNull(), "—").otherwise(fixed(x, 4))
 
 
 def format_usd(x: Column) -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.format_string("%.6f", x))
+    return F.when(x.isNull(), "—").otherwise(fixed(x, 6))
 
 
 def format_percent(x: Column) -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", x * 100), F.lit("%")))
+    return F.when(x.isNull(), "—").otherwise(F.concat(fixed(x * 100, 1), F.lit("%")))

@@ -153,11 +153,17 @@ def http_status_parse(spark, d):
     return df.select("event_id", T.http_status(m).alias("status"), wait.alias("retry_after"), T.is_retryable(m).alias("retryable"), T.backoff_seconds(F.col("event_id") % 4, wait).alias("backoff"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(password|secret|api_?key|token)\s*[:=]\s*[A-Za-z0-9._~+/=-]+', '\1=[REDACTED]', 'g'), 'AKIA[A-Z0-9]{16}', '[REDACTED]', 'g') <> text AS redacted,
-md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), '(?i)(password|secret|api_?key|token)\s*[:=]\s*[A-Za-z0-9._~+/=-]+', '\1=[REDACTED]', 'g'), 'AKIA[A-Z0-9]{16}', '[REDACTED]', 'g')) AS text_md5 FROM documents""")
+@query(r"""WITH h AS (SELECT doc_id, 'Authorization: Bearer ' || substr(md5(doc_id::VARCHAR), 1, doc_id % 16) || ' ' || text || 'Bearer ' || substr(md5(doc_id::VARCHAR), 1, doc_id % 11) AS text FROM documents),
+c AS (SELECT doc_id, text, string_split(replace(text, 'password', '[REDACTED]'), 'Bearer ') AS s FROM h),
+r AS (SELECT doc_id, text, array_to_string(list_transform(s, lambda x, i: CASE WHEN i > 1 AND length(split_part(x, ' ', 1)) > 8 THEN '[REDACTED]' || substr(x, length(split_part(x, ' ', 1)) + 1) ELSE x END), 'Bearer ') AS clean FROM c)
+SELECT doc_id, clean <> text AS redacted, md5(clean) AS text_md5 FROM r""")
 def redaction(spark, d):
-    clean = T.redact(F.col("text"))
-    return documents(spark, d, "doc_id", "text").select("doc_id", (clean != F.col("text")).alias("redacted"), F.md5(clean).alias("text_md5"))
+    """Every document as the body of a request whose header and end hold a bearer token of 0 to 15 characters, with one known secret."""
+    key = F.md5(F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("Authorization: Bearer "), F.substr(key, F.lit(1), F.col("doc_id") % 16), F.lit(" "), F.col("text"), F.lit("Bearer "), F.substr(key, F.lit(1), F.col("doc_id") % 11))
+    sent = documents(spark, d, "doc_id", "text").select("doc_id", text.alias("text"))
+    clean = T.redact(F.col("text"), ("password",))
+    return sent.select("doc_id", (clean != F.col("text")).alias("redacted"), F.md5(clean).alias("text_md5"))
 
 
 @query("SELECT conv_id, count(*) AS n, sha256(string_agg(turn || ':' || role, chr(10) ORDER BY turn)) AS joined, sha256(string_agg(turn || ':' || role || chr(10), '' ORDER BY turn)) AS terminated FROM conversations GROUP BY 1")
