@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from . import quantiles
 
 
 def first_per_key(ledger: DataFrame, key: str, seq: str) -> DataFrame:
@@ -41,8 +42,13 @@ def share_violations(use: DataFrame, cost: DataFrame, shares: DataFrame, key: st
 
 
 def latency_summary(ledger: DataFrame, by: list[str], latency: str) -> DataFrame:
+    """(by, n, mean_ms, p50_ms, p95_ms); a group without a latency has null but for n."""
     x = F.col(latency).cast("double")
-    return ledger.groupBy(*by).agg(F.count(latency).alias("n"), F.round(F.avg(x), 6).alias("mean_ms"), F.round(F.percentile(x, 0.5), 6).alias("p50_ms"), F.round(F.percentile(x, 0.95), 6).alias("p95_ms"))
+    mean = ledger.groupBy(*by).agg(F.count(latency).alias("n"), F.round(F.avg(x), 6).alias("mean_ms")).withColumn("_g", F.struct(*by) if by else F.lit(0))
+    p = quantiles.percentiles(ledger, by, latency, [0.5, 0.95]).withColumn("_g", F.struct(*by) if by else F.lit(0))
+    at = lambda share: F.round(F.max(F.when(F.col("share") == share, F.col("value"))), 6)
+    wide = p.groupBy("_g").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+    return mean.join(wide, "_g", "left").drop("_g")
 
 
 def wave_wall(ledger: DataFrame, bug: str, order: str, latency: str, concurrency: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.text import tokenize
+from ..sources.scratch import cut
+from .order import numbered
 
 
 def token_frame(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -45,14 +47,9 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def scores(posted: DataFrame, terms: DataFrame, digits: int = 9, docs: DataFrame | None = None) -> DataFrame:
-    """(item, doc, score) of documents that share a term with the query, rounded so that sums in any order agree.
-
-    docs: score these documents only, with the statistics of all.
-    """
-    found = posted.filter("term <> ''")
-    some = found if docs is None else found.join(docs.select("doc").distinct(), "doc", "left_semi")
-    weighted = some.join(document_frequency(posted), "term").crossJoin(F.broadcast(corpus_stats(documents_of(posted))))  # one row of statistics
+def scores(posted: DataFrame, terms: DataFrame, digits: int = 9) -> DataFrame:
+    """(item, doc, score) of documents that share a term with the query, rounded so that sums in any order agree."""
+    weighted = posted.filter("term <> ''").join(document_frequency(posted), "term").crossJoin(F.broadcast(corpus_stats(documents_of(posted))))  # one row of statistics
     part = weighted.select("doc", "term", S.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), S.bm25_idf(F.col("n_docs"), F.col("df"))).alias("part"))
     return part.join(terms, "term").groupBy("item", "doc").agg(F.round(F.sum("part"), digits).alias("score"))
 
@@ -78,14 +75,15 @@ def first_positive_rank(posted: DataFrame, terms: DataFrame, positives: DataFram
 
     The tail is counted, not sorted: rank = 1 + matched documents ahead, plus unmatched ids ahead if no positive matched.
     """
-    hits = positives.join(scores(posted, terms, docs=positives), ["item", "doc"], "left")
+    scored = cut(scores(posted, terms))
+    hits = positives.join(scored, ["item", "doc"], "left")
     best = hits.groupBy("item").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("doc")).alias("neg"))).alias("b"))
     best = best.select("item", F.col("b.score").alias("best_score"), (-F.col("b.neg")).alias("best_doc"))
-    ahead = scores(posted, terms).join(best, "item").filter("doc <> best_doc").groupBy("item").agg(
+    ahead = scored.join(best, "item").filter("doc <> best_doc").groupBy("item").agg(
         F.count_if((F.col("score") > F.col("best_score")) | ((F.col("score") == F.col("best_score")) & (F.col("doc") < F.col("best_doc")))).alias("ahead"),
         F.count_if((F.col("score") > 0) & (F.col("doc") < F.col("best_doc"))).alias("matched_before"))
-    zero = best.filter("best_score = 0")
-    ids_before = zero.join(documents_of(posted).select(F.col("doc").alias("other")), F.col("other") < F.col("best_doc")).groupBy("item").agg(F.count(F.lit(1)).alias("ids_before"))
+    zero = cut(best.filter("best_score = 0"))
+    ids_before = zero.select("item", F.lit(0).cast("long").alias("ids_before")) if zero.isEmpty() else zero.join(numbered(documents_of(posted).select(F.col("doc").alias("best_doc")), "best_doc", name="ids_before"), "best_doc").select("item", "ids_before")
     out = best.join(ahead, "item", "left").join(ids_before, "item", "left")
     tail = F.coalesce("ids_before", F.lit(0)) - F.coalesce("matched_before", F.lit(0))
     rank = F.lit(1) + F.coalesce("ahead", F.lit(0)) + F.when(F.col("best_score") == 0, tail).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .audit import require_empty
+from .order import numbered
 
 LOCK_TAG = "experiment-v1"  # fixed value
 
@@ -24,9 +25,7 @@ def split_rows(manifest: DataFrame, split: str, expected: dict[str, int] | None
     """(id, index): a split's ids with their zero-based place in manifest order; an error for a manifest that breaks its rules."""
     if expected:
         require_empty(manifest_violations(manifest, expected), "manifest")
-    at = Window.partitionBy("split").orderBy("position")
-    placed = manifest.filter(F.col("split") == split).withColumn("index", (F.row_number().over(at) - 1).cast("long"))
-    return placed.select("id", "index")
+    return numbered(manifest.filter(F.col("split") == split), "position", name="index").select("id", "index")
 
 
 def seeds(rows: DataFrame, base: int) -> DataFrame:
@@ -59,7 +58,7 @@ def id_order(qualified: Column) -> tuple[Column, Column]:
 
 def by_id(df: DataFrame, qualified: str, name: str = "position") -> DataFrame:
     """Adds the place in the order of ids, from 1."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*id_order(F.col(qualified)), qualified)).cast("long"))  # ids are a catalogue's
+    return numbered(df, *id_order(F.col(qualified)), qualified, name=name).withColumn(name, F.col(name) + 1)
 
 
 def ordered_lookup(inventory: DataFrame, texts: DataFrame, by: list[str], key: str, text: str) -> DataFrame:

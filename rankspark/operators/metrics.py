@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from . import order
 
 
 def budget_grid(df: DataFrame, budgets: tuple[float, ...] = S.BUDGETS) -> DataFrame:
@@ -46,9 +47,8 @@ def impute_worst(ranks: DataFrame) -> DataFrame:
 
 def empirical_cdf(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Sorted value i of n gets i/n; ties keep separate steps."""
-    w = Window.partitionBy(*by)
-    ordered = values.withColumn("i", F.row_number().over(w.orderBy(value)).cast("long"))
-    return ordered.select(*by, "i", F.round(value, 6).alias("value"), F.round(F.col("i") / F.count(F.lit(1)).over(w), 6).alias("p"))
+    placed = order.ranked(values.select(*by, value), by, value, name="i", size="_n")
+    return placed.select(*by, "i", F.round(value, 6).alias("value"), F.round(F.col("i") / F.col("_n"), 6).alias("p"))
 
 
 def grid_cdf(values: DataFrame, by: list[str], value: str, steps: int = 10) -> DataFrame:

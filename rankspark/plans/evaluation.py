@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.hashing import order_hash
-from ..operators import audit, cohort, manifest, metrics, randomized, stats
+from ..operators import audit, cohort, manifest, metrics, order, quantiles, randomized, stats
 from ..operators import lexical as L
 from ..sources.tables import table
 from . import retrieval as R
@@ -80,7 +80,9 @@ def project_grouping_sets(spark, d):
 
 @query(f"WITH {FIRST2} SELECT method, round(quantile_cont(nftr, 0.5), 6) AS median_nftr, round(quantile_cont(nftr, 0.95), 6) AS p95_nftr FROM m GROUP BY 1")
 def median_nftr(spark, d):
-    return item_metrics(spark, d).groupBy("method").agg(F.round(F.median("nftr"), 6).alias("median_nftr"), F.round(F.percentile("nftr", 0.95), 6).alias("p95_nftr"))
+    p = quantiles.percentiles(R.cut(item_metrics(spark, d).select("method", "nftr")), ["method"], "nftr", [0.5, 0.95])
+    at = lambda share: F.round(F.max(F.when(F.col("share") == share, F.col("value"))), 6)
+    return p.groupBy("method").agg(at(0.5).alias("median_nftr"), at(0.95).alias("p95_nftr"))
 
 
 @query(f"WITH {FIRST2} SELECT method, row_number() OVER (PARTITION BY method ORDER BY nftr) AS i, round(nftr, 6) AS value, round(row_number() OVER (PARTITION BY method ORDER BY nftr) / count(*) OVER (PARTITION BY method), 6) AS p FROM m")
@@ -132,8 +134,8 @@ def contrasts(spark, d):
     post = R.posted(spark, d)
     pos = R.positives(spark, d, post)
     docs = L.documents_of(post).select("doc")
-    first = pos.groupBy("item").agg(F.min("doc").alias("first"))
-    listed = docs.join(first, docs["doc"] <= F.col("first")).groupBy("item").agg(F.count(F.lit(1)).alias("first_rank"))
+    first = pos.groupBy("item").agg(F.min("doc").alias("doc"))
+    listed = order.numbered(docs, "doc").join(first, "doc").select("item", (F.col("position") + 1).alias("first_rank"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     ranks = first_ranks(spark, d, post, pos).select("method", "item", "first_rank", "n")
     m = metrics.item_metrics(ranks.unionByName(listed.crossJoin(F.broadcast(n)).select(F.lit("Listing").alias("method"), "item", "first_rank", "n")))
@@ -152,11 +154,9 @@ SAMPLES, SEED = 10_000, 20260922
 
 
 def numbered(spark, d) -> DataFrame:
-    """Pairs with pos 0..n-1; items are queries, a bounded set."""
-    from pyspark.sql import Window
-
-    p, one = pairs(spark, d), Window.partitionBy(F.lit(0))
-    return p.withColumn("pos", (F.row_number().over(one.orderBy("item")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(one))
+    """Pairs with pos 0..n-1 in the order of their items."""
+    p = order.numbered(pairs(spark, d), "item", name="pos")
+    return p.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n"))))  # one row
 
 
 @query(f"""WITH {PAIRS}, o AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM p),
@@ -314,7 +314,7 @@ def random_metrics_mt(spark, d):
 @query(f"WITH {R.FULL} SELECT item_id, doc_id, 'quality_label' AS leaked FROM ranked WHERE rank <= 3 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def label_leak_audit(spark, d):
     """Shortlisted documents that carry a private label."""
-    top = R.full_ranking(spark, d).filter("rank <= 3")
+    top = R.prefix(spark, d, 3)
     bad = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc"))
     return R.named(top.join(bad, "doc", "left_semi").select("item", "doc", F.lit("quality_label").alias("leaked")))
 

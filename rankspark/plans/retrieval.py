@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import scoring as S
 from ..functions.text import tokenize
-from ..operators import cohort, lexical, ranking, vectors
-from ..sources.scratch import cut
+from ..operators import blockmax, cohort, lexical, ranking, vectors
+from ..sources.scratch import cut, shared_folder
 from ..sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -88,6 +90,19 @@ def full_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_by_score(ranking.with_zero_tail(scored(spark, d), items(spark, d), inventory(spark, d)), ["item"])
 
 
+def prefix(spark: SparkSession, d: str, k: int = SHORT) -> DataFrame:
+    """The first k rows of every item's full ranking, without the ranking.
+
+    Where fewer than k documents match, all that match are there, and the smallest ids that don't follow: they are among the k
+    smallest of all ids, as at most the matching ones can be in their way.
+    """
+    top = cut(blockmax.best(scored(spark, d), k))
+    short = items(spark, d).distinct().join(top.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item", "left").filter(F.coalesce("n", F.lit(0)) < k).select("item")
+    first = inventory(spark, d).orderBy("doc").limit(k)
+    tail = cut(short).crossJoin(first).join(top, ["item", "doc"], "left_anti")
+    return blockmax.best(top.select("item", "doc", "score").unionByName(tail.select("item", "doc", F.lit(0.0).alias("score"))), k)
+
+
 def named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
 
@@ -118,6 +133,14 @@ def bm25_scores_top20(spark, d):
     return named(ranking.shortlist(ranking.rank_by_score(scored(spark, d), ["item"]), ["item"], TOPK)).select("item_id", "doc_id", "score", "rank")
 
 
+@query(SQL["bm25_scores_top20"])
+def bm25_topk_blockmax(spark, d):
+    """The same from a block-max index, written first, whose search leaves out the blocks that can't hold one of the best."""
+    path = f"{shared_folder(spark)}/blockmax-{uuid.uuid4().hex}"
+    blockmax.build(posted(spark, d), path)
+    return named(blockmax.search(blockmax.load(spark, path), terms(spark, d), TOPK)).select("item_id", "doc_id", "score", "rank")
+
+
 @query(f"WITH {FULL} SELECT item_id, doc_id, score, rank FROM ranked")
 def bm25_full_rank(spark, d):
     return named(full_ranking(spark, d)).select("item_id", "doc_id", "score", "rank")
@@ -149,7 +172,7 @@ def shortlist_recall(spark, d):
 
 @query(f"WITH {FULL} SELECT item_id, sha256(string_agg(doc_id || chr(10), '' ORDER BY rank)) AS sha256, count(*) AS k FROM ranked WHERE rank <= {SHORT} GROUP BY 1")
 def shortlist_hash(spark, d):
-    return named(ranking.shortlist_digest(ranking.shortlist(full_ranking(spark, d), ["item"], SHORT), ["item"], "doc"))
+    return named(ranking.shortlist_digest(prefix(spark, d), ["item"], "doc"))
 
 
 def external_scores(base: DataFrame) -> DataFrame:
@@ -165,7 +188,7 @@ EXT = "(CAST('0x' || substr(md5('11:' || item_id || ':' || doc_id), 1, 4) AS BIG
 @query(f"""WITH {FULL}, s AS (SELECT item_id, doc_id, rank AS base_rank, CASE WHEN rank <= {RERANK_K} THEN {EXT} END AS ext_score FROM ranked WHERE rank <= {SHORT})
 SELECT item_id, doc_id, base_rank, round(ext_score, 9) AS ext_score, row_number() OVER (PARTITION BY item_id ORDER BY base_rank > {RERANK_K}, ext_score DESC NULLS LAST, base_rank) AS rank FROM s""")
 def rerank_prefix_tail(spark, d):
-    base = ranking.shortlist(full_ranking(spark, d), ["item"], SHORT).withColumnRenamed("rank", "base_rank").drop("score")
+    base = prefix(spark, d).withColumnRenamed("rank", "base_rank").drop("score")
     out = ranking.rerank(base, external_scores(base.filter(F.col("base_rank") <= RERANK_K)), ["item"], "doc", RERANK_K)
     return named(out).select("item_id", "doc_id", "base_rank", F.round("ext_score", 9).alias("ext_score"), "rank")
 
@@ -174,7 +197,7 @@ def rerank_prefix_tail(spark, d):
 WHERE (rank <= {RERANK_K} AND doc_id % 7 = 0) OR (rank > {RERANK_K} AND rank <= {RERANK_K + 2} AND doc_id % 7 <> 0)""")
 def rerank_missing_scores_audit(spark, d):
     """A damaged score table: keys divisible by 7 are lost, two tail rows are scored."""
-    base = ranking.shortlist(full_ranking(spark, d), ["item"], SHORT).withColumnRenamed("rank", "base_rank").drop("score")
+    base = prefix(spark, d).withColumnRenamed("rank", "base_rank").drop("score")
     damaged = external_scores(base.filter((F.col("base_rank") <= RERANK_K + 2) & (F.col("doc") % 7 != 0)))
     return named(ranking.rerank_violations(base, damaged, ["item"], "doc", RERANK_K))
 
@@ -189,7 +212,7 @@ def rank_permutation_audit(spark, d):
 @query(f"WITH {FULL} SELECT item_id, doc_id, rank, 'missing' AS rule FROM ranked WHERE rank = 2 UNION ALL SELECT item_id, doc_id, 2, 'extra' FROM ranked WHERE rank = {SHORT + 1}")
 def prefix_audit(spark, d):
     """Stored shortlists in which rank 2 holds the first document after the cut."""
-    full = full_ranking(spark, d).filter(F.col("rank") <= SHORT + 1)
+    full = cut(prefix(spark, d, SHORT + 1))
     stored = full.filter("rank <> 2").withColumn("rank", F.when(F.col("rank") == SHORT + 1, F.lit(2).cast("long")).otherwise(F.col("rank")))
     return named(ranking.prefix_violations(stored, full, ["item"], "doc", SHORT))
 
