@@ -51,7 +51,8 @@ def scores(posted: DataFrame, terms: DataFrame, digits: int = 9) -> DataFrame:
     """(item, doc, score) of documents that share a term with the query, rounded so that sums in any order agree."""
     weighted = posted.filter("term <> ''").join(document_frequency(posted), "term").crossJoin(F.broadcast(corpus_stats(documents_of(posted))))  # one row of statistics
     part = weighted.select("doc", "term", S.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), S.bm25_idf(F.col("n_docs"), F.col("df"))).alias("part"))
-    return part.join(terms, "term").groupBy("item", "doc").agg(F.round(F.sum("part"), digits).alias("score"))
+    # dealt out by document once, as postings; where the terms are few enough to be broadcast, the (item, doc) sums need no further shuffle
+    return part.repartition("doc").join(terms, "term").groupBy("item", "doc").agg(F.round(F.sum("part"), digits).alias("score"))
 
 
 def containing(posted: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
