@@ -217,15 +217,20 @@ def prefix_audit(spark, d):
     return named(ranking.prefix_violations(stored, full, ["item"], "doc", SHORT))
 
 
-def vector_scores(spark, d):
+def vector_queries(spark, d):
+    """(queries, base): every 25th vector against all."""
     e = spread(table(spark, d, "embeddings"))
     q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("item"), F.col("embedding").alias("qv"))
-    return vectors.cosine_scores(q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
+    return q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+
+
+def vector_scores(spark, d):
+    return vectors.cosine_scores(*vector_queries(spark, d))
 
 
 @query(f"WITH {VEC} SELECT item_id, doc_id, score, rank FROM vr WHERE rank <= {TOPK}")
 def cosine_topk(spark, d):
-    return named(ranking.shortlist(ranking.rank_by_score(vector_scores(spark, d), ["item"]), ["item"], TOPK)).select("item_id", "doc_id", "score", "rank")
+    return named(vectors.topk(*vector_queries(spark, d), TOPK)).select("item_id", "doc_id", "score", "rank")
 
 
 def vector_first_ranks(spark, d):

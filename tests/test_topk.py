@@ -64,3 +64,30 @@ def test_nothing_to_search(spark, tmp_path):
         terms = lexical.query_terms(i, "item_id", "text")
         blockmax.build(lexical.postings(lexical.token_frame(d, "doc_id", "text"), terms), f"file://{tmp_path}/none")
         assert blockmax.search(blockmax.load(spark, f"file://{tmp_path}/none"), terms, 3).collect() == []
+
+
+@pytest.mark.parametrize(("n", "d", "spread", "k"), [(900, 8, 0.05, 5), (300, 24, 1.0, 20), (40, 3, 0.3, 60)])
+def test_cosine_by_clusters_equals_all_pairs(spark, n, d, spread, k):
+    import numpy as np
+
+    from rankspark.operators import vectors
+
+    rng = np.random.default_rng(d)
+    middle = rng.normal(size=(12, d))
+    x = middle[rng.integers(0, 12, n)] + spread * rng.normal(size=(n, d))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(n, None), (n + 1, [0.0] * d), (n + 2, [float("nan")] * d), (n + 3, [float(c) for c in x[5]]), (n + 4, [1e200] * d), (n + 5, [1.0] * (d + 1)), (n + 6, [2.0] * (d + 1)), (n + 7, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    q = df.filter("id % 7 = 0 or id > " + str(n)).select(F.col("id").alias("item"), F.col("v").alias("qv"))
+    b = df.select(F.col("id").alias("doc"), "v")
+    got = {(r["item"], r["rank"]): (r.doc, r.score) for r in vectors.topk(q, b, k).collect()}
+    ok = [(i, np.array(v)) for i, v in rows if v and all(np.isfinite(v)) and any(v)]
+    ok = [(i, (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max())) for i, v in ok]
+    want = {}
+    for i, v in ok:
+        if i % 7 == 0 or i > n:
+            for rank, (s, j) in enumerate(sorted((-round(float(v @ w), 9), j) for j, w in ok if j != i and len(w) == len(v))[:k], 1):
+                want[i, rank] = (j, -s)
+    assert set(got) == set(want) and all(abs(got[x][1] - want[x][1]) < 2e-9 for x in want)
+    assert sum(got[x][0] == want[x][0] for x in want) >= 0.99 * len(want)  # equal but for sums in another order
+    seen, of = vectors.looked_at(q, b, k, d)
+    assert seen <= of and (spread > 0.1 or seen < of / 2)
