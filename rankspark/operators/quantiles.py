@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut, drop_cut
 from .order import small
 
-GRID, ACCURACY, FEW, PASSES = 1_024, 10_000, 1_000, 40
+GRID, ACCURACY, FEW, PASSES = 1_024, 10_000, 100_000, 40
 
 
 def _possible(rows: DataFrame, state: DataFrame) -> DataFrame:

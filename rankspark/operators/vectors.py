@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..sources.scratch import cut
 
-CENTRES, ROWS_A_CENTRE, BLOCK, SLACK = 1_024, 64, 1_024, 1e-8  # scores are rounded to 9 digits
+CENTRES, ROWS_A_CENTRE, BLOCK, SLACK = 1_024, 4_096, 1_024, 1e-8  # scores are rounded to 9 digits
 
 
 def cosine_scores(queries: DataFrame, base: DataFrame, digits: int = 9) -> DataFrame:
@@ -46,9 +46,9 @@ def unit_rows(column: pa.Array, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def centres(base: DataFrame, size: int, most: int = CENTRES) -> np.ndarray:
-    """At most `most` unit vectors of that length, those of the smallest hash: one for ROWS_A_CENTRE rows."""
-    n = min(most, max(1, base.count() // ROWS_A_CENTRE))
+def centres(base: DataFrame, size: int, rows: int = ROWS_A_CENTRE, most: int = CENTRES) -> np.ndarray:
+    """At most `most` unit vectors of that length, those of the smallest hash: one for so many rows."""
+    n = min(most, max(1, base.count() // rows))
     some = base.orderBy(F.xxhash64(F.col("id"), "v"), "id").limit(n).select("v").toArrow()  # `most` rows
     return unit_rows(some.column(0).combine_chunks(), size)
 
@@ -123,45 +123,47 @@ def reachable(queries: DataFrame, around: np.ndarray, radius: np.ndarray) -> Dat
     return queries.select("id", "x", F.col("bar").cast("double").alias("bar")).mapInArrow(run, f"id {kind}, x binary, cluster int, bound double")
 
 
-def topk_of_length(queries: DataFrame, base: DataFrame, size: int, k: int, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def topk_of_length(queries: DataFrame, base: DataFrame, size: int, k: int, digits: int, rows: int = ROWS_A_CENTRE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranked, looked at, clusters) for usable vectors (id, v) of one length; looked at: (id, cluster) pairs that were scored in full."""
-    around = centres(base, size)
+    around = centres(base, size, rows)
     kind = dict(base.dtypes)["id"]
     placed, asked = clustered(base, around), clustered(queries, around)
-    clusters = cut(placed.groupBy("cluster").agg(F.min("reach").alias("reach"), F.count(F.lit(1)).alias("n")))
-    radius = np.full(len(around), -1.0)
-    for r in clusters.collect():  # CENTRES rows at most
-        radius[r["cluster"]] = np.arccos(np.clip(r["reach"], -1, 1)) + 1e-7
+    clusters = (placed.groupBy("cluster").agg(F.min("reach").alias("reach"), F.count(F.lit(1)).alias("n")))
     docs = cut(blocks(placed.select("cluster", "id", "x"), ["cluster"]))
 
     def meet(q: DataFrame) -> DataFrame:
         own = blocks(q.select("cluster", "id", "x"), ["cluster"]).select("cluster", F.col("ids").alias("qids"), F.col("xs").alias("qxs"))
         return best(products(docs.join(own, "cluster"), size, k, digits, kind), k)
 
+    if len(around) == 1:
+        return meet(asked), asked.select("id", "cluster"), clusters
     first = cut(meet(asked))
+    radius = np.full(len(around), -1.0)
+    for r in clusters.collect():  # CENTRES rows at most
+        radius[r["cluster"]] = np.arccos(np.clip(r["reach"], -1, 1)) + 1e-7
     bars = first.groupBy("item").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select(F.col("item").alias("id"), "bar")
     further = cut(reachable(asked.join(bars, "id", "left").select("id", "x", "bar"), around, radius).join(asked.select("id", F.col("cluster").alias("own")), "id").filter("cluster <> own").select("id", "x", "cluster"))
     out = best(first.select("item", "doc", "score").unionByName(meet(further).select("item", "doc", "score")), k)
     return out, further.select("id", "cluster").unionByName(asked.select("id", "cluster")), clusters
 
 
-def topk(queries: DataFrame, base: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def topk(queries: DataFrame, base: DataFrame, k: int, digits: int = 9, rows: int = ROWS_A_CENTRE) -> DataFrame:
     """(item, doc, score, rank): each query's k nearest other vectors, equal scores by id. queries: item, qv; base: doc, v; ids are distinct."""
-    usable = lambda df, i, v: cut(df.select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(S.usable_vector(F.col("v"))))
+    usable = lambda df, i, v: df.select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(S.usable_vector(F.col("v")))
     q, b = usable(queries, "item", "qv"), usable(base, "doc", "v")
     out = None
     for (size,) in sorted(tuple(r) for r in q.select(F.size("v")).distinct().collect()):
         same = lambda df: df.filter(F.size("v") == size)  # noqa: B023, E731
         if same(b).isEmpty():
             continue
-        got = topk_of_length(same(q), same(b), size, k, digits)[0]
+        got = topk_of_length(same(q), same(b), size, k, digits, rows)[0]
         out = got if out is None else out.unionByName(got)
     kind = dict(b.dtypes)["id"]
     return b.sparkSession.createDataFrame([], f"item {kind}, doc {kind}, score double, rank long") if out is None else out
 
 
-def looked_at(queries: DataFrame, base: DataFrame, k: int, size: int, digits: int = 9) -> tuple[int, int]:
+def looked_at(queries: DataFrame, base: DataFrame, k: int, size: int, digits: int = 9, rows: int = ROWS_A_CENTRE) -> tuple[int, int]:
     """(vectors scored for all queries, vectors times queries): the share that bounds don't save."""
     q, b = (df.select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(S.usable_vector(F.col(v)) & (F.size(v) == size)) for df, i, v in ((queries, "item", "qv"), (base, "doc", "v")))
-    _, pairs, clusters = topk_of_length(q, b, size, k, digits)
+    _, pairs, clusters = topk_of_length(q, b, size, k, digits, rows)
     return pairs.join(clusters, "cluster").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], q.count() * b.count()

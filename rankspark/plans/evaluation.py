@@ -97,7 +97,7 @@ def grid_cdf(spark, d):
 
 def pairs(spark, d) -> DataFrame:
     m = item_metrics(spark, d).withColumn("detected", (F.col("first_rank") <= S.budget_k(F.lit(0.10), F.col("n"))).cast("double"))
-    return stats.paired(m, "BM25", "Random", ["item"], ["detected", "first_rank", "rr", "apfd", "nftr"])
+    return stats.paired(R.cut(m), "BM25", "Random", ["item"], ["detected", "first_rank", "rr", "apfd", "nftr"])
 
 
 PAIRS = f"""{FIRST2}, p AS (SELECT a.item_id, CAST(a.first_rank <= greatest(1, ceil(0.1 * a.n)) AS DOUBLE) AS da, CAST(b.first_rank <= greatest(1, ceil(0.1 * a.n)) AS DOUBLE) AS db,

@@ -79,7 +79,7 @@ def test_cosine_by_clusters_equals_all_pairs(spark, n, d, spread, k):
     df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
     q = df.filter("id % 7 = 0 or id > " + str(n)).select(F.col("id").alias("item"), F.col("v").alias("qv"))
     b = df.select(F.col("id").alias("doc"), "v")
-    got = {(r["item"], r["rank"]): (r.doc, r.score) for r in vectors.topk(q, b, k).collect()}
+    got = {(r["item"], r["rank"]): (r.doc, r.score) for r in vectors.topk(q, b, k, rows=20).collect()}
     ok = [(i, np.array(v)) for i, v in rows if v and all(np.isfinite(v)) and any(v)]
     ok = [(i, (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max())) for i, v in ok]
     want = {}
@@ -89,5 +89,5 @@ def test_cosine_by_clusters_equals_all_pairs(spark, n, d, spread, k):
                 want[i, rank] = (j, -s)
     assert set(got) == set(want) and all(abs(got[x][1] - want[x][1]) < 2e-9 for x in want)
     assert sum(got[x][0] == want[x][0] for x in want) >= 0.99 * len(want)  # equal but for sums in another order
-    seen, of = vectors.looked_at(q, b, k, d)
+    seen, of = vectors.looked_at(q, b, k, d, rows=20)
     assert seen <= of and (spread > 0.1 or seen < of / 2)
