@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from . import quantiles
+from . import order, quantiles
 
 
 def first_per_key(ledger: DataFrame, key: str, seq: str) -> DataFrame:
@@ -65,6 +65,32 @@ def rolling_count(ledger: DataFrame, by: list[str], ts: str, seconds: int) -> Da
     return ledger.withColumn("micros", micros).withColumn("in_window", F.count(F.lit(1)).over(w)).drop("micros")
 
 
+RUN = 4_096  # calls of one chain that one window reads
+
+
+def rate_gate(ledger: DataFrame, by: list[str], ts: str, seq: str, limit: int, seconds: int, run: int = RUN) -> DataFrame:
+    """Adds started and waited (microseconds): when each call may start, if no more than `limit` start within `seconds`, first come first served.
+
+    start(i) = max(arrival(i), start(i - limit) + seconds), so calls i, i + limit, i + 2 limit, ... of a key are a chain, and along
+    a chain start is the running maximum of arrival - place x seconds, plus place x seconds. Maxima add up: a chain is cut into
+    runs, each run's maximum is a row, a running maximum over these rows is what each run starts with. So a key with most calls
+    is limit x runs tasks' work, not one's.
+    """
+    step = seconds * 1_000_000
+    at = order.ranked(ledger.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), by, "_us", seq, name="_i")
+    place = F.floor((F.col("_i") - 1) / limit)
+    at = at.withColumns({"_chain": (F.col("_i") - 1) % limit, "_place": place, "_run": F.floor(place / run)}).withColumn("_lead", F.col("_us") - F.col("_place") * step)
+    key = [*by, "_chain", "_run"]
+    at = at.withColumn("_k", F.struct(*key))
+    before = F.max("_top").over(Window.partitionBy(*by, "_chain").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    tops = at.groupBy(*key).agg(F.max("_lead").alias("_top")).select(F.struct(*key).alias("_k"), before.alias("_before"))
+    own = F.max("_lead").over(Window.partitionBy("_k").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = at.withColumn("_own", own).join(tops, "_k")
+    start = F.greatest("_own", "_before") + F.col("_place") * step  # greatest() passes over a null
+    out = out.withColumn("started", F.timestamp_micros(start)).withColumn("waited", start - F.col("_us"))
+    return out.drop("_us", "_i", "_chain", "_place", "_run", "_lead", "_k", "_own", "_before")
+
+
 def running_spend(ledger: DataFrame, by: str, order: str, usd: str, ceiling: float, digits: int = 9) -> DataFrame:
     """(by, order, spent, allowed): reserved spend after each call, and whether it fitted under the ceiling; a refused call reserves nothing.
 

@@ -107,6 +107,14 @@ def ledger_rolling_60s(spark, d):
     return ledger.rolling_count(day, ["bug"], "ts", 60).select("seq", "bug", "in_window", "in_day")
 
 
+@query(f"""WITH RECURSIVE {L}, o AS MATERIALIZED (SELECT seq, kind, epoch_us(ts) AS us, row_number() OVER (PARTITION BY kind ORDER BY ts, seq) AS i FROM l),
+r AS (SELECT seq, kind, i, us, us AS start FROM o WHERE i <= 3 UNION ALL SELECT o.seq, o.kind, o.i, o.us, greatest(o.us, r.start + 7200 * 1000000::BIGINT) FROM r JOIN o ON o.kind = r.kind AND o.i = r.i + 3)
+SELECT seq, kind, start - us AS waited_us FROM r""")
+def ledger_rate_gate(spark, d):
+    """Every kind of call as a model whose route lets three calls start in two hours."""
+    return ledger.rate_gate(events(spark, d).select("seq", "ts", "kind"), ["kind"], "ts", "seq", 3, 7_200).select("seq", "kind", F.col("waited").alias("waited_us"))
+
+
 GATE = f"""WITH RECURSIVE {L}, o AS (SELECT *, greatest(coalesce(usd, 0), 0) AS c, row_number() OVER (PARTITION BY bug ORDER BY seq) AS i FROM l),
 r AS (SELECT bug, seq, i, usd, CASE WHEN c <= 2.0::DOUBLE + 1e-12::DOUBLE THEN c ELSE 0 END AS run, c <= 2.0::DOUBLE + 1e-12::DOUBLE AS allowed FROM o WHERE i = 1
 UNION ALL SELECT o.bug, o.seq, o.i, o.usd, CASE WHEN r.run + o.c <= 2.0::DOUBLE + 1e-12::DOUBLE THEN r.run + o.c ELSE r.run END, r.run + o.c <= 2.0::DOUBLE + 1e-12::DOUBLE FROM r JOIN o ON o.bug = r.bug AND o.i = r.i + 1)"""

@@ -62,3 +62,27 @@ def test_percentiles_of_ten_million_values_of_one_group(spark):
     df = spark.range(n, numPartitions=16).select(F.lit(1).alias("g"), ((F.col("id") * 7_919) % n / 4).alias("v"))
     got = {r.share: r.value for r in quantiles.percentiles(df, ["g"], "v", [0.5, 0.9]).collect()}
     assert got == {s: pytest.approx(s * (n - 1) / 4, rel=1e-12) for s in (0.5, 0.9)}
+
+
+@pytest.mark.parametrize("run", [4_096, 3])
+def test_rate_gate_follows_the_queue(spark, run):
+    from datetime import datetime, timedelta
+
+    from rankspark.operators import ledger
+
+    rng, rows, seq = random.Random(run), [], 0
+    for key, n in (("hot", 400), ("b", 7), (None, 20), ("c", 1)):
+        t = 0.0
+        for _ in range(n):
+            t += rng.choice([0, 0, 1, 5, 30, 200]) * rng.random()
+            rows.append((seq, key, datetime(2026, 1, 1) + timedelta(seconds=round(t, 3))))
+            seq += 1
+    df = spark.createDataFrame(rows, "seq long, k string, ts timestamp").repartition(6)
+    got = {r.seq: r.waited for r in ledger.rate_gate(df, ["k"], "ts", "seq", 4, 60, run).collect()}
+    starts, want = defaultdict(list), {}
+    for s, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        own = starts[k]
+        begin = max(t, own[-4] + timedelta(seconds=60)) if len(own) >= 4 else t
+        own.append(begin)
+        want[s] = round((begin - t) / timedelta(microseconds=1))
+    assert got == want and max(want.values()) > 60e6
