@@ -183,10 +183,17 @@ def search(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     schema = "query_id long, rank int, id long, score double"
     rows = base.filter(V.usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id", "v"])
     asked = queries.filter(V.usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    d = V.dimension(rows, "v")
-    if d is None:
-        return spark.createDataFrame([], schema).withColumnRenamed("id", key)
-    rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
+    asked, found = asked.groupBy("id").agg(F.min("v").alias("v")), None
+    for (d,) in sorted(tuple(r) for r in asked.select(F.size("v")).distinct().collect()):  # each length by itself
+        some, same = asked.filter(F.size("v") == d), rows.filter(F.size("v") == d)
+        if not same.isEmpty():
+            one = _search_length(same, some, d, k)
+            found = one if found is None else found.unionByName(one)
+    return (spark.createDataFrame([], schema) if found is None else found).withColumnRenamed("id", key)
+
+
+def _search_length(rows: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
+    """(query_id, rank, id, score) for vectors (id, v) of one length."""
     parts, size = layout(rows.count())
     w, probes = fit(V.sample(rows, "id", "v", size, d), parts, k)
     first = K.cut(_probe(rows, asked, w, probes, d, k))
@@ -199,7 +206,7 @@ def search(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     if not short.isEmpty():
         again = _probe(rows, short, w, w.shape[1], d, k)
         first = first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return first.withColumnRenamed("id", key)
+    return first
 
 
 def _probe(rows: DataFrame, asked: DataFrame, w: np.ndarray, probes: int, d: int, k: int) -> DataFrame:

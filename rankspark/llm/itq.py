@@ -2,18 +2,23 @@
 
 Fit, on a bounded sample of SAMPLE vectors: principal directions, then a rotation that brings the projections close to their
 signs; directions beyond the dimension, or beyond WIDTH of them, come from further rotations, each learned from a random
-start. Vectors aren't centred, as their cosine isn't. Every distinct vector gets a code; the index has one table for each key,
-a piece of the code. Vectors with an equal key meet, and all pairs that meet are compared by cosine on the original vectors,
-in double precision. A pair that meets in several tables counts in the first only.
-
-Keys grow with the rows, by one bit as they double, so that buckets keep their size. A pair at an angle has a bit equal with
-probability 1 - angle / pi; there are as many tables as leave a share of MISS of pairs right at the threshold without any
-equal key. That share holds at every size and in every dimension; closer pairs are missed less.
+start. Codes are the signs of centred projections, so that they stay balanced where vectors have much in common; what is
+compared with the threshold is the cosine of the vectors as they are. Every distinct vector gets a code; the index has one table
+for each key, a piece of the code. Vectors with an equal key meet, and all pairs that meet are compared by cosine on the
+original vectors, in double precision. A pair that meets in several tables counts in the first only.
+
+Keys grow with the rows, by one bit as they double. A pair right at the threshold is at a wider angle once centred, the more
+its vectors have in common with the mean; it has a bit equal with probability 1 - angle / pi. There are as many tables as
+leave, over the sample's vectors, a share of MISS of such pairs without any equal key, and a share of 2 / dimension more, as
+bits of few dimensions depend on each other; closer pairs are missed less. Where the
+tables together would compare more pairs than there are, as vectors hardly differ from their mean, all pairs are compared
+instead, in blocks.
 
 Equal vectors are one entry with a weight. A bucket of more than BLOCK entries is dealt out as pairs of blocks. Tasks return
 counts of links and a forest of connecting links, never the pairs. Vectors travel as they are given, floats as floats.
 
-Vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers link with nothing and stay.
+Vectors of each length are linked among themselves. Vectors that are null, empty, zero or hold null or non-finite numbers link
+with nothing and stay.
 A null id has null component and kept true if alone.
 """
 
@@ -29,21 +34,41 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import vectors as V
 
-SAMPLE, ROUNDS, MORE_ROUNDS, WIDTH, BLOCK, BUCKET, SEED = 20_000, 50, 3, 64, 2_048, 20_000, 1
-AIM, LEAST_BITS, MOST_BITS, MISS = 512, 8, 24, 0.005
+SAMPLE, ROUNDS, MORE_ROUNDS, WIDTH, BLOCK, BUCKET, SEED = 20_000, 50, 1, 64, 2_048, 20_000, 1
+AIM, LEAST_BITS, MOST_BITS, MOST_TABLES, MISS = 512, 8, 24, 1_024, 0.0075
 THRESHOLD, SLACK = 0.9, 1e-9
 
 
-def layout(n_rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(bits a key, tables): buckets of about AIM rows, and tables enough for the share of MISS."""
+def layout(n_rows: int, threshold: float = THRESHOLD, x: np.ndarray | None = None, d: int = 64) -> tuple[int, int] | None:
+    """(bits a key, tables) for the share of MISS; None where no MOST_TABLES reach it. x: sampled unit vectors of d numbers, without a common mean unless given."""
     bits = int(np.clip(np.ceil(np.log2(max(1, n_rows) / AIM)), LEAST_BITS, MOST_BITS))
-    same = (1 - np.arccos(threshold) / np.pi) ** bits
-    return bits, int(np.ceil(np.log(MISS) / np.log1p(-same)))
+    rest = np.ones(1)
+    if x is not None and len(x):
+        mean = x.mean(axis=0)
+        rest = np.maximum(1 - 2 * (x @ mean) + mean @ mean, 1e-12)  # squared lengths once centred
+    same = (1 - np.arccos(np.clip(1 - (1 - threshold) / rest, -1, 1)) / np.pi) ** bits
+    low, high = 0, 1
+    while ((1 - same) ** high).mean() > MISS:
+        low, high = high, 2 * high
+        if high > 2 * MOST_TABLES:
+            return None
+    while high - low > 1:
+        half = (low + high) // 2
+        low, high = (low, half) if ((1 - same) ** half).mean() <= MISS else (half, high)
+    tables = int(np.ceil(high * (1 + 2 / d)))
+    return (bits, tables) if tables <= MOST_TABLES else None
+
+
+def compared(keys_: np.ndarray) -> float:
+    """The pairs that tables compare, as a share of all, told by a sample's keys: one row a vector."""
+    n = len(keys_)
+    return sum(float((np.unique(k, return_counts=True)[1].astype(float) ** 2 - 1).sum()) for k in keys_.T) / max(1, n * (n - 1))
 
 
 def fit(x: np.ndarray, bits: int) -> np.ndarray:
-    """Projection d x bits of unit vectors."""
+    """Projection d x bits of unit vectors, taken from their mean."""
     d, rng, out = x.shape[1], np.random.default_rng(SEED), []
+    x = x - x.mean(axis=0)
     basis, rounds, held = np.linalg.eigh(x.T @ x)[1][:, ::-1], ROUNDS, 0
     while held < bits:
         for at in range(0, d, WIDTH):
@@ -67,9 +92,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def keys(x: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
-    """The keys of unit vectors, a column for each table."""
-    on = (x @ projection >= 0).reshape(len(x), -1, bits)
+def keys(x: np.ndarray, projection: np.ndarray, bits: int, mean: np.ndarray | float = 0.0) -> np.ndarray:
+    """The keys of unit vectors, a column for each table; without bits all are 0."""
+    if not bits:
+        return np.zeros((len(x), 1), np.uint32)
+    on = ((x - mean) @ projection >= 0).reshape(len(x), -1, bits)
     return (on.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
 
 
@@ -107,28 +134,21 @@ def bucket_links(ids: np.ndarray, w: np.ndarray, earlier: np.ndarray, x: np.ndar
     return links, forest
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_links, component_id, kept): one row per input row."""
-    v = F.col(vector).cast("array<double>")
-    own = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
-    kind, number = ("float", np.float32) if dict(rows.dtypes)[vector] == "array<float>" else ("double", np.float64)
-    every = rows.select(F.col(key).cast("long").alias("id"), F.when(V.usable(own), own).alias("v"))
-    d = V.dimension(every.filter("v is not null"), "v")
-    if d is None:
-        return every.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    every = every.withColumn("v", F.when(F.size("v") == d, F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))  # -0 is 0
-    every = every.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v")))
-    classes = every.filter("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
-    classes = K.cut(classes)
-    bits, tables = layout(classes.count(), threshold)
-    projection = fit(unit(V.sample(classes, "k1", "v", SAMPLE, d)), bits * tables)
+def found_links(classes: DataFrame, d: int, number: type, threshold: float) -> DataFrame:
+    """(a, b, links) of distinct vectors (k1, w, v) of length d: what bucket_links() gives of all buckets."""
+    n_rows, x = classes.count(), unit(V.sample(classes, "k1", "v", SAMPLE, d))
+    mean, made = x.mean(axis=0), layout(n_rows, threshold, x, d)
+    bits, tables = made or (0, 1)
+    projection = fit(x, bits * tables) if bits else np.zeros((d, 0))
+    if bits and compared(keys(x, projection, bits, mean)) >= 1:
+        bits, tables, projection = 0, 1, np.zeros((d, 0))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 c = b.slice(at, 1024)
                 m = V.matrix(c.column(2), d)
-                k = keys(unit(m), projection, bits)
+                k = keys(unit(m), projection, bits, mean)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * tables), pa.array(k.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([r.tobytes() for r in m.astype(number)], pa.binary()), lists, pa.array([r.tobytes() for r in k], pa.binary())], names=["k1", "w", "x", "each", "keys"])
 
@@ -138,7 +158,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     placed = placed.join(size, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "k1", "w", "x", "keys")
-    buckets = max(16, classes.count() * tables // BUCKET)
+    times = tables if bits else -(-n_rows // BLOCK)  # how often a row is dealt out
+    buckets = max(16, n_rows * times // BUCKET)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(buckets).cast("long")))
 
     def run(table: pa.Table) -> pa.Table:
@@ -164,7 +185,25 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             out[2] += [*links[has].tolist(), *[0] * len(forest)]
         return pa.Table.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b", "links"])
 
-    found = K.cut(dealt.groupBy("bucket").applyInArrow(run, "a long, b long, links long"))
+    return K.cut(dealt.groupBy("bucket").applyInArrow(run, "a long, b long, links long"))
+
+
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_links, component_id, kept): one row per input row."""
+    v = F.col(vector).cast("array<double>")
+    own = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    kind, number = ("float", np.float32) if dict(rows.dtypes)[vector] == "array<float>" else ("double", np.float64)
+    every = rows.select(F.col(key).cast("long").alias("id"), F.when(V.usable(own), own).alias("v"))
+    every = every.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x)))  # -0 is 0
+    every = every.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(7), "v")))
+    classes = every.filter("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
+    classes = K.cut(classes)
+    found = None
+    for (d,) in sorted(tuple(r) for r in classes.select(F.size("v")).distinct().collect()):
+        some = found_links(classes.filter(F.size("v") == d), d, number, threshold)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return every.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     links = found.groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
     label = K.components(found.filter("b is not null")).withColumnRenamed("id", "k1")
     per = classes.select("k1", "k2", "rep", "w").join(links, "k1", "left").join(label, "k1", "left").withColumn("component", F.coalesce("component", "k1"))

@@ -14,12 +14,6 @@ def usable(v: F.Column) -> F.Column:
     return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dimension(rows: DataFrame, v: str) -> int | None:
-    """The most frequent length of usable vectors, the smaller among equals; vectors of other lengths take no part."""
-    top = rows.groupBy(F.size(v).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").first()
-    return int(top["d"]) if top else None
-
-
 def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     """float64 rows of a list column whose lists all have d numbers."""
     if isinstance(column, pa.ChunkedArray):

@@ -171,9 +171,9 @@ def near(x, cosine, rng):
 def test_pairs_at_the_threshold_share_a_key(d, rows):
     rng = np.random.default_rng(d)
     x = unit(rng.standard_normal((3_000, d)))
-    bits, tables = itq.layout(rows)
+    bits, tables = itq.layout(rows, d=d)
     projection = itq.fit(x[:2_000], bits * tables)
-    a, b = (itq.keys(v, projection, bits) for v in (x, near(x, 0.9, rng)))
+    a, b = (itq.keys(v, projection, bits, x[:2_000].mean(axis=0)) for v in (x, near(x, 0.9, rng)))
     assert (a == b).any(axis=1).mean() >= 0.99
     assert (a[:, 0] == a[::-1, 0]).mean() < 0.2  # keys tell others apart
 
@@ -188,6 +188,41 @@ def test_links_near_the_threshold_are_found(spark, d, mean):
     assert sum(got.values()) >= 0.99 * links.sum() and all(got[i] <= links[i] for i in got)
 
 
+@pytest.mark.parametrize(("mean", "most"), [(0.0, 0.1), (0.5, 0.2), (0.8, 0.6)])
+def test_tables_compare_few_pairs_under_a_common_mean(mean, most):
+    rng = np.random.default_rng(4)
+    x = unit(np.sqrt(mean) * np.ones(64) / 8 + np.sqrt(1 - mean) * unit(rng.standard_normal((20_000, 64))))
+    bits, tables = itq.layout(len(x), x=x)
+    keys = itq.keys(x, itq.fit(x, bits * tables), bits, x.mean(axis=0))
+    assert max(np.unique(k, return_counts=True)[1].max() for k in keys.T) < 2_000 and itq.compared(keys) < most
+    y = near(x[:3_000], 0.9, rng)
+    assert (keys[:3_000] == itq.keys(y, itq.fit(x, bits * tables), bits, x.mean(axis=0))).any(axis=1).mean() >= 0.99
+
+
+def test_vectors_that_hardly_differ_are_all_compared(spark):
+    rng = np.random.default_rng(6)
+    x = unit(np.ones(16) + 0.02 * rng.standard_normal((300, 16)))
+    x[:40] = unit(rng.standard_normal((40, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400 + i, [1.0, 0.1 * i, 0.0]) for i in range(5)] + [(500, [1.0] * 5), (501, [2.0] * 5)]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    assert sum(got[i].n_links for i in range(300)) >= 0.99 * links.sum() and all(got[i].n_links <= links[i] for i in range(300))
+    assert [got[400 + i].component_id for i in range(5)] == [400] * 5 and got[501].component_id == 500  # lengths apart
+
+
+def test_search_of_rarer_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)] + [(100 + i, rng.standard_normal(5).tolist()) for i in range(9)] + [(200, [1.0, 2.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(e, e.filter("vec_id % 4 = 0"), "vec_id", "embedding", 3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for i, v in rows:
+        if 100 <= i < 200 and i % 4 == 0:
+            assert [got[i][k] for k in (1, 2, 3)] == [j for _, j in sorted((-float(np.dot(v, w)), j) for j, w in rows if len(w) == 5 and j != i)[:3]]
+    assert 200 not in got
+
+
 def test_links_of_blocks_are_those_of_one_bucket(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = np.vstack((unit(rng.standard_normal((40, 12))), near(np.repeat(unit(rng.standard_normal((1, 12))), 200, 0), 0.97, rng))).astype(np.float32)
