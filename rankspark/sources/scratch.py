@@ -29,6 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     _CUTS.append(out)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)  # what no job drops goes with the application
     return out
 
 
