@@ -125,6 +125,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     """(grade, slots) of the bounded sample: at most SAMPLE rows."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     graded = labels.filter(F.col(doc).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).select(F.col(doc).alias("_id"), grade.alias("grade"), F.xxhash64(F.col(doc).cast("string"), F.lit(9)).alias("_h"))
+    graded = graded.join(docs.select(F.col(doc).alias("_id")), "_id", "left_semi")  # labels of absent documents take no place
     picked = graded.orderBy("_h", "_id", "grade").limit(SAMPLE)
     joined = docs.select(F.col(doc), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), F.col(doc) == F.col("_id"))  # at most SAMPLE rows of three numbers
 
