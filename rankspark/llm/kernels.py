@@ -187,7 +187,8 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFr
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component) of undirected edges: the smallest id reachable, by alternating large and small stars.
 
-    Every round is a pair of grouped minima and joins on written tables; hubs are aggregated map-side before any shuffle.
+    Every round is a pair of grouped minima and joins on written tables; hubs are aggregated map-side before any shuffle, and
+    as the minima are written before they are joined, both sides of a join are dealt out for it and a hub's part can be split.
     Ids without an edge have no row. Null ends are ignored.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
@@ -195,13 +196,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        first = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.filter("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = cut(small)
         row = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_cut(e)
+        drop_cut(e, first, large, least)
         e = new
         if state == tuple(row):
             break

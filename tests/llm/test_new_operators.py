@@ -264,3 +264,31 @@ def test_terms_are_those_of_the_pattern():
     assert terms.spelled(data, offsets, starts) == [w for t in texts for w in words_of(t)]
     assert np.diff(bounds).tolist() == [len(words_of(t)) for t in texts]
     assert len(set(h.tolist())) == len({w for t in texts for w in words_of(t)})
+
+
+def test_hubs_of_components_can_be_split(spark):
+    """Half of all edges at one id: the join with the written minima is split by adaptive execution."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        e = kernels.cut(spark.range(40_000, numPartitions=8).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("u"), (F.col("id") + 100_000).alias("v")))
+        first = kernels.cut(e.groupBy("u").agg(F.min("v").alias("m")))
+        joined = e.join(first, "u").select("v", "m").distinct()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        got = {r.component for r in kernels.components(e.filter("u < 2000"), "u", "v").collect()}
+        assert 1 in got and len(got) == 1_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_labels_of_absent_documents_take_no_place(spark, monkeypatch):
+    from rankspark.llm import quality
+
+    monkeypatch.setattr(quality, "SAMPLE", 10)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(1_000 + i, 1, 0) for i in range(5_000)], "doc_id long, quality int, toxic int")
+    assert quality.training_rows(docs, labels).count() == 10
