@@ -146,12 +146,16 @@ def _follows_any(cells: DataFrame, sketch: DataFrame, done: DataFrame) -> DataFr
     """(h): lines not done that have the template of any other line of a segment they share, which an earlier document holds."""
     marked = cells.join(done.select("h", F.lit(True).alias("done")), "h", "left").withColumn("open", F.col("done").isNull()).drop("done")
     marked = K.cut(marked)
-    left = marked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max(F.when(F.col("open"), F.col("first"))).alias("b")).filter("n > 2 and a < b")
+    left = marked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.count_if("open").alias("m"), F.max(F.when(F.col("open"), F.col("first"))).alias("b")).filter("n > 2 and a < b")
     parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    rows = K.cut(K.join_hot(marked, left.select("cell", parts), "cell", "h")).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    # open lines stand together, in the first parts of their segment
+    opened = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int").alias("opened")
+    rows = K.cut(K.join_hot(marked, left.select("cell", parts, opened), "cell", "h").withColumn("part", F.pmod(F.xxhash64("h"), F.when(F.col("open"), F.col("opened")).otherwise(F.col("parts"))).cast("int")).drop("opened"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     asks = rows.filter("open").select("cell", F.col("part").alias("i"), other, "h", "first", F.lit(True).alias("ask")).withColumnRenamed("other", "j")
-    holds = rows.select("cell", other, F.col("part").alias("j"), "h", "first", F.lit(False).alias("ask")).withColumnRenamed("other", "i")
+    # held lines go only to blocks that ask; both sides are written, so a hot segment's part of the join can be split
+    asked = K.cut(rows.filter("open").select("cell", F.col("part").alias("i")).distinct())
+    holds = rows.join(asked, "cell").select("cell", "i", F.col("part").alias("j"), "h", "first", F.lit(False).alias("ask"))
     total = rows.count()
     dealt = asks.unionByName(holds).withColumn("bucket", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(max(1, total // BUCKET)).cast("long"))).join(sketch.select("h", "words"), "h")
 

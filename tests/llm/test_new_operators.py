@@ -292,3 +292,28 @@ def test_labels_of_absent_documents_take_no_place(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(1_000 + i, 1, 0) for i in range(5_000)], "doc_id long, quality int, toxic int")
     assert quality.training_rows(docs, labels).count() == 10
+
+
+@pytest.mark.parametrize("open_lines", [1, 40])
+def test_lines_held_are_dealt_to_asking_blocks_only(spark, monkeypatch, open_lines):
+    """A segment of 5,000 lines of which few are open deals two rows a line at most, in blocks of 64."""
+    from rankspark.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 64)
+    n, dealt = 5_000, spark.sparkContext.accumulator(0)
+    cells = spark.createDataFrame([(7, i, i) for i in range(n)], "cell long, h long, first long")
+    words = [list(range(1, 11))] * (n - open_lines) + [[*range(1, 8), 80 + i, 90 + i, 100 + i] for i in range(open_lines)]
+    sketch = spark.createDataFrame([(i, bytearray(np.array(w, np.uint16).tobytes())) for i, w in enumerate(words)], "h long, words binary")
+    done = spark.createDataFrame([(i,) for i in range(n - open_lines)], "h long")
+    plain = type(cells.groupBy("cell")).applyInArrow
+
+    def counted(group, f, schema):
+        def run(table):
+            dealt.add(table.num_rows)
+            return f(table)
+
+        return plain(group, run, schema)
+
+    monkeypatch.setattr(type(cells.groupBy("cell")), "applyInArrow", counted)
+    got = {r.h for r in line_dedup._follows_any(cells, sketch, done).collect()}
+    assert got == set(range(n - open_lines, n)) and dealt.value <= 2 * n
