@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
-from ..operators import audit, windows
+from ..operators import audit, merkle, windows
+from ..sources.scratch import shared_folder
 from ..sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -113,6 +116,21 @@ def trigger_parse(spark, d):
     return table(spark, d, "conversations").withColumn("t", T.trigger_parts(raw)).select("conv_id", "turn", "t.class_id", "t.method", "t.malformed")
 
 
+@query("""WITH a AS (SELECT page_id, md5(url) AS url, length(html) AS size FROM pages), b AS (SELECT page_id, CASE WHEN page_id % 97 = 3 THEN 'moved' ELSE url END AS url, CASE WHEN page_id % 89 = 5 THEN size + 1 ELSE size END AS size FROM a WHERE page_id % 101 <> 7
+UNION ALL SELECT -page_id, url, size FROM a WHERE page_id % 103 = 9)
+SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.page_id IS NULL OR b.page_id IS NULL OR a.url <> b.url OR a.size <> b.size""")
+def drift_tree(spark, d):
+    """All pages as sealed and as found: some moved, some grown, some lost, some new; told by two trees of digests."""
+    sealed = table(spark, d, "pages").select("page_id", F.md5("url").alias("url"), F.length("html").alias("size"))
+    i = F.col("page_id")
+    found = sealed.filter(i % 101 != 7).select("page_id", F.when(i % 97 == 3, "moved").otherwise(F.col("url")).alias("url"), F.when(i % 89 == 5, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    found = found.unionByName(sealed.filter(i % 103 == 9).withColumn("page_id", -i))
+    base, depth = f"{shared_folder(spark)}/merkle-{uuid.uuid4().hex}", merkle.depth_for(sealed.count())
+    for name, rows in (("sealed", sealed), ("found", found)):
+        merkle.build(rows, ["page_id"], ["url", "size"], f"{base}/{name}", depth)
+    return merkle.drifted(spark, f"{base}/sealed", f"{base}/found", ["page_id"], ["url", "size"], depth).select("page_id", "status")
+
+
 @query(f"""WITH cls AS (SELECT doc_id, lang, source, 'org/' || lang || '/' || source || '/C' || (doc_id % 97) || '.java' AS path, 'C' || (doc_id % 97) || '.java' AS name FROM documents),
 files AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN 'src/' ELSE '' END || path AS path, name, lang FROM cls WHERE doc_id % 5 <> 0),
 byname AS (SELECT name, lang, count(*) AS n, min(path) AS path FROM files GROUP BY 1, 2)
@@ -209,6 +227,21 @@ def manifest_drift(spark, d):
     return out.select("source", F.col("expected.n").alias("expected"), F.coalesce(F.col("observed.n"), F.lit(0)).alias("observed"), "status")
 
 
+@query("""WITH a AS (SELECT page_id, md5(url) AS url, length(html) AS size FROM pages), b AS (SELECT page_id, CASE WHEN page_id % 97 = 3 THEN 'moved' ELSE url END AS url, CASE WHEN page_id % 89 = 5 THEN size + 1 ELSE size END AS size FROM a WHERE page_id % 101 <> 7
+UNION ALL SELECT -page_id, url, size FROM a WHERE page_id % 103 = 9)
+SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.page_id IS NULL OR b.page_id IS NULL OR a.url <> b.url OR a.size <> b.size""")
+def drift_tree(spark, d):
+    """All pages as sealed and as found: some moved, some grown, some lost, some new; told by two trees of digests."""
+    sealed = table(spark, d, "pages").select("page_id", F.md5("url").alias("url"), F.length("html").alias("size"))
+    i = F.col("page_id")
+    found = sealed.filter(i % 101 != 7).select("page_id", F.when(i % 97 == 3, "moved").otherwise(F.col("url")).alias("url"), F.when(i % 89 == 5, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    found = found.unionByName(sealed.filter(i % 103 == 9).withColumn("page_id", -i))
+    base, depth = f"{shared_folder(spark)}/merkle-{uuid.uuid4().hex}", merkle.depth_for(sealed.count())
+    for name, rows in (("sealed", sealed), ("found", found)):
+        merkle.build(rows, ["page_id"], ["url", "size"], f"{base}/{name}", depth)
+    return merkle.drifted(spark, f"{base}/sealed", f"{base}/found", ["page_id"], ["url", "size"], depth).select("page_id", "status")
+
+
 @query(f"""WITH cls AS (SELECT doc_id, lang, source, 'org/' || lang || '/' || source || '/C' || (doc_id % 97) || '.java' AS path, 'C' || (doc_id % 97) || '.java' AS name FROM documents),
 files AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN 'src/' ELSE '' END || path AS path, name, lang FROM cls WHERE doc_id % 5 <> 0),
 byname AS (SELECT name, lang, count(*) AS n, min(path) AS path FROM files GROUP BY 1, 2),
