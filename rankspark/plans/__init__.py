@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, evaluation, ledger, retrieval, text
+from . import contracts, evaluation, files, ledger, retrieval, text
 
-MODULES = (retrieval, evaluation, ledger, text, contracts)
+MODULES = (retrieval, evaluation, ledger, text, contracts, files)
 
 
 def queries() -> dict:
