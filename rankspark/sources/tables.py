@@ -5,6 +5,8 @@ Every reader goes through Spark's own file sources, so any store that Spark can
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,40 @@ def artifact_paths(examples: DataFrame, slug: str, root: str) -> DataFrame:
     return examples.select(F.col(slug).alias("slug"), F.explode(paths).alias("a")).select("slug", "a.name", "a.path")
 
 
+EXAMPLE_FILES = {  # fixed values: the files and folders of one example below the data root, by name
+    "bugs_dir": "bugs/{slug}", "patches_dir": "patches/{slug}", "tests_dir": "tests/{slug}",
+    "example_json": "bugs/{slug}/example.json", "checkout_provenance": "bugs/{slug}/checkout_provenance.json", "error_json": "bugs/{slug}/error.json",
+    "checkout_fixed": "bugs/{slug}/checkouts/fixed", "checkout_buggy": "bugs/{slug}/checkouts/buggy", "raw_exports": "bugs/{slug}/raw",
+    "patch_meta": "patches/{slug}/patch_meta.json", "patch_diff": "patches/{slug}/regression_patch.diff", "patch_representation": "patches/{slug}/representation.txt",
+    "raw_tests_all": "tests/{slug}/raw/tests.all", "raw_tests_trigger": "tests/{slug}/raw/tests.trigger", "raw_dir_src_tests": "tests/{slug}/raw/dir.src.tests",
+    "test_inventory": "tests/{slug}/inventory.json", "test_labels": "tests/{slug}/labels.json", "representations_dir": "tests/{slug}/representations", "representations_index": "tests/{slug}/representations_index.json",
+}
+
+
+def example_files(spark: SparkSession, examples: DataFrame, slug: str, root: str) -> DataFrame:
+    """(slug, name, path, files, bytes): what lies at each of an example's places below the root; files is 0 where nothing does.
+
+    A folder counts the files below it, at any depth. Listing is Spark's own, so any store will do, and no file is read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    inside = re.sub(r"^\w+:/+[^/]*/?" if "://" in root and not root.startswith("file:") else r"^\w+:/+", "", root).strip("/")  # without scheme and host
+    parts = F.split(F.regexp_replace("path", rf"^.*?\Q{inside}\E/", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    sizes = listed.select("length", parts.alias("parts")).select("length", F.explode(above).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    places = F.array(*[F.struct(F.lit(n).alias("name"), F.replace(F.lit(p), F.lit("{slug}"), F.col(slug)).alias("place")) for n, p in EXAMPLE_FILES.items()])
+    wanted = examples.select(F.col(slug).alias("slug"), F.explode(places).alias("p")).select("slug", "p.name", "p.place")
+    zero = F.lit(0).cast("long")
+    return wanted.join(sizes, "place", "left").select("slug", "name", F.concat(F.lit(root.rstrip("/") + "/"), "place").alias("path"), F.coalesce("files", zero).alias("files"), F.coalesce("bytes", zero).alias("bytes"))
+
+
+def example_states(found: DataFrame) -> DataFrame:
+    """(slug, state, missing) of example_files(): error where error.json lies there, complete with all but error.json, else incomplete."""
+    needed = [n for n in EXAMPLE_FILES if n != "error_json"]
+    gone = F.sort_array(F.collect_list(F.when((F.col("files") == 0) & F.col("name").isin(needed), F.col("name"))))
+    per = found.groupBy("slug").agg(gone.alias("missing"), F.max((F.col("name") == "error_json") & (F.col("files") > 0)).alias("failed"))
+    return per.select("slug", F.when(F.col("failed"), "error").when(F.size("missing") == 0, "complete").otherwise("incomplete").alias("state"), "missing")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of files, empty ones too, which the scan itself leaves out. The list of names is the one that the scan makes on the driver anyway."""
     raw = spark.read.format("binaryFile").load(path).select("path", "length", "content")

@@ -79,3 +79,22 @@ def test_markdown_does_not_cut(spark):
 def test_views_are_registered(spark):
     S.register(spark, "/root/testdata/sf0.001")
     assert spark.sql("select count(*) from benchmark").first()[0] == 40
+
+
+def test_example_folders_whole_damaged_and_absent(spark, tmp_path):
+    folders = {"bugs_dir", "patches_dir", "tests_dir", "checkout_fixed", "checkout_buggy", "raw_exports", "representations_dir"}
+    for slug in ("Cli_1", "Cli_2", "Cli_3"):
+        for name, place in S.EXAMPLE_FILES.items():
+            if (slug, name) in {("Cli_2", "test_labels"), ("Cli_2", "representations_dir")} or (name == "error_json" and slug != "Cli_3"):
+                continue
+            p = tmp_path / place.format(slug=slug)
+            p = p / "deep" / "file.txt" if name in folders else p
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_text("x" * 3)
+    examples = spark.createDataFrame([("Cli_1",), ("Cli_2",), ("Cli_3",), ("Cli_9",)], "slug string")
+    found = S.example_files(spark, examples, "slug", local(f"{tmp_path}"))
+    rows = {(r.slug, r.name): (r.files, r.bytes) for r in found.collect()}
+    assert len(rows) == 4 * 19 and rows["Cli_1", "test_labels"] == (1, 3) and rows["Cli_2", "test_labels"] == (0, 0) and rows["Cli_1", "checkout_fixed"] == (1, 3) and rows["Cli_1", "patches_dir"] == (4, 12)
+    states = {r.slug: (r.state, r.missing) for r in S.example_states(found).collect()}
+    assert states["Cli_1"] == ("complete", []) and states["Cli_2"] == ("incomplete", ["representations_dir", "test_labels"]) and states["Cli_3"][0] == "error"
+    assert states["Cli_9"][0] == "incomplete" and len(states["Cli_9"][1]) == 18
