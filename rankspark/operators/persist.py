@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..sources.scratch import cut
 
 # What decides a token list.
 TOKENIZER = {"camel_acronym": T.CAMEL_ACRONYM, "camel_lower_upper": T.CAMEL_LOWER_UPPER, "lower": True, "min_length": 2, "non_alnum": T.NON_ALNUM, "stemming": False, "stop_words": False}
@@ -94,15 +95,17 @@ def save_shortlists(built: DataFrame, path: str, locks: DataFrame, force: bool =
     """
     spark = built.sparkSession
     old = load_shortlists(spark, path)
-    plan = persistence_plan(built, old, locks, force).collect()  # one row an item
-    if bad := sorted(r["item"] for r in plan if r["outcome"] == "locked"):
-        raise PermissionError(f"locked shortlists would change: {bad[:5]}")
-    if any(r["outcome"] != "reused" for r in plan):
-        version = hashlib.sha256(repr(sorted((r["item"], r["outcome"]) for r in plan)).encode() + str(len(_versions(spark, path))).encode()).hexdigest()[:16]
+    plan = cut(persistence_plan(built, old, locks, force))
+    outcomes = {r["outcome"]: (r["n"], r["h"]) for r in plan.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item")).alias("h")).collect()}  # four rows at most
+    if "locked" in outcomes:
+        bad = [r["item"] for r in plan.filter("outcome = 'locked'").orderBy("item").limit(5).collect()]
+        raise PermissionError(f"locked shortlists would change: {bad}")
+    if set(outcomes) - {"reused"}:
+        version = hashlib.sha256(repr((sorted(outcomes.items()), len(_versions(spark, path)))).encode()).hexdigest()[:16]
         keep = built if old is None else built.unionByName(old.join(built.select("item"), "item", "left_anti").select(*built.columns))
         keep.write.parquet(f"{path}/{version}")
         spark.createDataFrame([(len(_versions(spark, path)), version)], "turn long, version string").write.mode("append").json(f"{path}/versions")
-    return spark.createDataFrame([(r["item"], r["outcome"]) for r in plan], built.select("item").schema.add("outcome", "string"))
+    return plan
 
 
 def _versions(spark: SparkSession, path: str) -> list:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from .audit import require_empty
+from .order import small
 
 
 def hash_violations(index: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,8 +31,8 @@ def sealed_input_violations(inventory: DataFrame, listing: DataFrame, positives:
     out = out.unionByName(row(listing.select("item", "position", "id").exceptAll(inventory.select("item", "position", "id")), "listing differs from the inventory", id_=F.col("id")))
     out = out.unionByName(row(items.join(positives, "item", "left_anti"), "no positives"))
     out = out.unionByName(row(positives.join(inventory, ["item", "id"], "left_anti"), "unknown positive", id_=F.col("id")))
-    methods = rankings.select("method").distinct()
-    absent = items.crossJoin(F.broadcast(methods)).join(rankings.select("method", "item").distinct(), ["method", "item"], "left_anti").join(gaps, ["method", "item"], "left_anti")  # methods are few
+    methods = cut(rankings.select("method").distinct())
+    absent = items.crossJoin(small(methods, 1_000)).join(rankings.select("method", "item").distinct(), ["method", "item"], "left_anti").join(gaps, ["method", "item"], "left_anti")  # methods are few
     out = out.unionByName(row(absent, "no ranking", F.col("method"))).unionByName(row(rankings.select("method", "item").distinct().join(gaps, ["method", "item"]), "ranking of an accepted gap", F.col("method")))
     n = inventory.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     span = rankings.groupBy("method", "item").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("rank").alias("d"), F.countDistinct("id").alias("ids"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
