@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 ORDERS, BITS, FOLDS = 6, 9, 5  # a byte + 1 takes 9 bits, 0 stands before the start
+# a list to begin with; op6's contract has other words for net/de, which its query passes
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
