@@ -13,12 +13,12 @@ BUDGETS = (0.01, 0.02, 0.05, 0.10, 0.20, 0.50, 1.00)
 
 def bm25_idf(n_docs: Column, df: Column) -> Column:
     d = F.greatest(F.lit(0.0), F.least(df.cast("double"), n_docs.cast("double")))
-    return F.when(n_docs > 0, F.log1p((n_docs - d + 0.5) / (d + 0.5))).otherwise(0.0)
+    return F.when(n_docs > 0, F.log(1 + (n_docs - d + 0.5) / (d + 0.5))).otherwise(0.0)
 
 
 def bm25_term(tf: Column, dl: Column, avgdl: Column, idf: Column, k1: float = K1, b: float = B) -> Column:
-    norm = F.when(avgdl > 0, dl / avgdl).otherwise(0.0)
-    return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * norm))
+    norm = F.when(avgdl > 0, b * dl / avgdl).otherwise(0.0)
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + norm))  # in the order of the SQL, so that the doubles are the same
 
 
 def as_double(vector: Column) -> Column:

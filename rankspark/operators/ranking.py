@@ -17,12 +17,6 @@ def rank_by_score(df: DataFrame, by: list[str], score: str = "score", key: str =
     return rank(df, by, F.col(score).desc(), F.col(key).asc())
 
 
-def with_zero_tail(scored: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Every (item, doc) of a stated query set against all documents, unmatched ones with score 0."""
-    full = inventory.select("doc").crossJoin(items.select("item").distinct())  # Spark broadcasts the items if they are few
-    return full.join(scored, ["item", "doc"], "left").select("item", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def shortlist(ranked: DataFrame, by: list[str], cap: int = SHORTLIST_CAP) -> DataFrame:
     """The exact prefix of min(cap, N)."""
     return ranked.filter(F.col("rank") <= cap)

@@ -60,7 +60,7 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 def posted(spark: SparkSession, d: str) -> DataFrame:
     """Postings of all query terms, written once: the only reading and tokenizing of the documents."""
-    return cut(lexical.postings(tokens(spark, d), terms(spark, d)))
+    return cut(lexical.postings_of(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms(spark, d)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def first_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rank_by_score(ranking.with_zero_tail(scored(spark, d), items(spark, d), inventory(spark, d)), ["item"])
+    return ranking.rank_by_score(lexical.scores(posted(spark, d), terms(spark, d), tail=items(spark, d)), ["item"])
 
 
 def prefix(spark: SparkSession, d: str, k: int = SHORT) -> DataFrame:
