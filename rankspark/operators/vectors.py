@@ -11,7 +11,7 @@ different lengths have no cosine, so lengths are searched one by one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +167,71 @@ def looked_at(queries: DataFrame, base: DataFrame, k: int, size: int, digits: in
     q, b = (df.select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).filter(S.usable_vector(F.col(v)) & (F.size(v) == size)) for df, i, v in ((queries, "item", "qv"), (base, "doc", "v")))
     _, pairs, clusters = topk_of_length(q, b, size, k, digits, rows)
     return pairs.join(clusters, "cluster").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], q.count() * b.count()
+
+
+def first_ranks(queries: DataFrame, base: DataFrame, digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """(item, first_rank, n): each query's rank of its best vector of the same label among all n others, equal scores by id.
+
+    queries: item, qv, own; base: doc, v, label; ids are distinct whole numbers. Every pair of blocks is multiplied twice: for the
+    best of the label, then to count what is ahead of it. The work is that of all pairs; a task holds two blocks and their product.
+    """
+    def usable(df: DataFrame, i: str, v: str, label: str) -> DataFrame:
+        return df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label")).filter(S.usable_vector(F.col("v")))
+
+    def in_blocks(rows: DataFrame, *more: str) -> DataFrame:
+        parts = max(1, -(-rows.count() // block))
+        names = ["id", "x", "label", *more]
+        placed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(*names)).alias("r"))  # `block` rows or so
+        spread_out = placed.repartition(min(parts, 4 * rows.sparkSession.sparkContext.defaultParallelism), "part")
+        return cut(spread_out.select(*[F.col(f"r.{c}").alias(c) for c in names]))
+
+    def units(rows: DataFrame, size: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = unit_rows(b.column(1), size)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], names=["id", "x", "label"])
+
+        return cut(rows.mapInArrow(run, "id long, x binary, label string"))
+
+    def met(q: DataFrame, docs: DataFrame, size: int, schema: str, judge: Callable) -> DataFrame:
+        def matrix(cell: pa.ListScalar) -> np.ndarray:
+            return np.frombuffer(b"".join(cell.values.to_pylist()), np.float64).reshape(-1, size)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    row = {name: b.column(n)[i] for n, name in enumerate(b.schema.names)}
+                    score = np.round(matrix(row["qx"]) @ matrix(row["x"]).T, digits)
+                    items, docs = (row[c].values.to_numpy(zero_copy_only=False) for c in ("qid", "id"))
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in judge(score, items, docs, row)], names=[c.split()[0] for c in schema.split(", ")])
+
+        asked = q.withColumnsRenamed({"id": "qid", "x": "qx", "label": "own"})
+        return docs.crossJoin(asked).mapInArrow(run, schema)  # broadcast or cartesian, by size
+
+    def best_of_label(score: np.ndarray, items: np.ndarray, docs: np.ndarray, row: dict) -> tuple:
+        codes = pa.concat_arrays([row["own"].values, row["label"].values]).dictionary_encode().indices
+        codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+        own, label = codes[: len(items)], codes[len(items) :]
+        good = (own[:, None] == label[None, :]) & (own[:, None] >= 0) & (items[:, None] != docs[None, :])
+        top = np.where(good, score, -np.inf).max(axis=1)
+        doc = np.where(good & (score == top[:, None]), docs[None, :], np.iinfo(np.int64).max).min(axis=1)
+        found = np.isfinite(top)
+        return items[found], top[found], doc[found]
+
+    def ahead_of_best(score: np.ndarray, items: np.ndarray, docs: np.ndarray, row: dict) -> tuple:
+        top, first = (row[c].values.to_numpy(zero_copy_only=False)[:, None] for c in ("best_score", "best_doc"))
+        other = (items[:, None] != docs[None, :])
+        ahead = other & (docs[None, :] != first) & ((score > top) | ((score == top) & (docs[None, :] < first)))
+        return items, ahead.sum(axis=1), other.sum(axis=1)
+
+    q, b = usable(queries, "item", "qv", "own"), usable(base, "doc", "v", "label")
+    out = None
+    for (size,) in sorted(tuple(r) for r in q.select(F.size("v")).distinct().collect()):
+        same = lambda df: units(df.filter(F.size("v") == size), size)  # noqa: B023, E731
+        asked, docs = same(q), in_blocks(same(b))
+        top = met(in_blocks(asked), docs, size, "item long, score double, doc long", best_of_label)
+        top = top.groupBy("item").agg(F.max(F.struct("score", (-F.col("doc")).alias("neg"))).alias("b")).select(F.col("item").alias("id"), F.col("b.score").alias("best_score"), (-F.col("b.neg")).alias("best_doc"))
+        told = in_blocks(asked.join(cut(top), "id"), "best_score", "best_doc")
+        got = met(told, docs, size, "item long, ahead long, n long", ahead_of_best).groupBy("item").agg((F.sum("ahead") + 1).alias("first_rank"), F.sum("n").alias("n"))
+        out = got if out is None else out.unionByName(got)
+    return b.sparkSession.createDataFrame([], "item long, first_rank long, n long") if out is None else out

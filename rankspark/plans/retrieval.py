@@ -206,7 +206,7 @@ def rerank_missing_scores_audit(spark, d):
 def rank_permutation_audit(spark, d):
     """Whole rankings of which the third row is lost, against every item's whole inventory."""
     whole = items(spark, d).distinct().crossJoin(inventory(spark, d))
-    return named(ranking.permutation_violations(full_ranking(spark, d).filter("rank <> 3"), whole, ["item"], "doc"))
+    return named(ranking.permutation_violations(cut(full_ranking(spark, d).filter("rank <> 3").select("item", "doc", "rank")), whole, ["item"], "doc"))
 
 
 @query(f"WITH {FULL} SELECT item_id, doc_id, rank, 'missing' AS rule FROM ranked WHERE rank = 2 UNION ALL SELECT item_id, doc_id, 2, 'extra' FROM ranked WHERE rank = {SHORT + 1}")
@@ -224,10 +224,6 @@ def vector_queries(spark, d):
     return q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
 
 
-def vector_scores(spark, d):
-    return vectors.cosine_scores(*vector_queries(spark, d))
-
-
 @query(f"WITH {VEC} SELECT item_id, doc_id, score, rank FROM vr WHERE rank <= {TOPK}")
 def cosine_topk(spark, d):
     return named(vectors.topk(*vector_queries(spark, d), TOPK)).select("item_id", "doc_id", "score", "rank")
@@ -235,12 +231,9 @@ def cosine_topk(spark, d):
 
 def vector_first_ranks(spark, d):
     """(item, first_rank, n): documents ahead of the best positive are counted, so no ranking is sorted."""
-    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
-    s = vector_scores(spark, d).join(label, "doc").join(label.withColumnsRenamed({"doc": "item", "label": "own"}), "item")
-    good = F.col("label") == F.col("own")
-    best = s.filter(good).groupBy("item").agg(F.max(F.struct("score", (-F.col("doc")).alias("neg"))).alias("b"))
-    ahead = (F.col("score") > F.col("b.score")) | ((F.col("score") == F.col("b.score")) & (F.col("doc") < -F.col("b.neg")))
-    return s.join(best, "item").groupBy("item").agg((F.count_if(ahead) + 1).alias("first_rank"), F.count(F.lit(1)).alias("n"))
+    e = spread(table(spark, d, "embeddings"))
+    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("item"), F.col("embedding").alias("qv"), F.col("label").alias("own"))
+    return vectors.first_ranks(q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label"))
 
 
 @query(f"WITH {VEC} SELECT item_id, min(rank) FILTER (good) AS first_rank, count(*) AS n FROM vr GROUP BY 1 HAVING bool_or(good)")
