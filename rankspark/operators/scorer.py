@@ -13,14 +13,17 @@ from collections import deque
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RETRYABLE
+from ..sources.scratch import cut
 
 BACKOFF, MAX_CONCURRENCY, MAX_RETRIES, EMBED_BATCH = (1.0, 2.0, 4.0), 16, 3, 32  # fixed values
+TASK_BYTES = 256 << 20  # of keys and texts
 
 
 class ScoringError(Exception):
@@ -137,11 +140,18 @@ def score_misses(wanted: DataFrame, cache: DataFrame, call: Callable[[str, str],
     """(cache_key, score, status) for distinct keys without a cache entry; a failed or skipped call gives a null score.
 
     wanted: cache_key, state, question. One call at a time in each of max_concurrency tasks; each task has its share of the
-    rate and of the ceiling.
+    rate and of the ceiling. Where these tasks would read more than TASK_BYTES each, the keys are dealt into waves, which run
+    one after another, so that neither the calls at once nor a task's share grow with the input.
     """
-    todo = wanted.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti").select("cache_key", "state", "question").repartition(max_concurrency, "cache_key")
+    todo = wanted.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti").select("cache_key", "state", "question")
+    todo = cut(todo.withColumn("deal", F.xxhash64("cache_key")))
+    size = todo.agg(F.sum(F.octet_length("cache_key") + F.octet_length(F.coalesce("state", F.lit(""))) + F.octet_length(F.coalesce("question", F.lit(""))))).first()[0] or 0
+    waves = max(1, -(-size // (max_concurrency * TASK_BYTES)))
+    if waves > 1:
+        wave = F.pmod(F.shiftright("deal", 20), F.lit(waves))
+        todo = cut(todo.withColumn("wave", wave).repartitionByRange(int(waves * max_concurrency), "wave", "deal").sortWithinPartitions("wave"))
     rate = None if per_minute is None else max(1, per_minute // max_concurrency)
-    share = None if ceiling is None else ceiling / max_concurrency
+    share = None if ceiling is None else ceiling / max_concurrency / waves
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gate, spend = RateGate(rate, sleep), SpendGate(share)
@@ -153,7 +163,11 @@ def score_misses(wanted: DataFrame, cache: DataFrame, call: Callable[[str, str],
                 out.append((key, o.result if fine else None, "out of range" if o.status == "ok" and not fine else o.status))
             yield pd.DataFrame(out, columns=["cache_key", "score", "status"])
 
-    return todo.mapInPandas(run, "cache_key string, score double, status string")
+    columns, schema = ("cache_key", "state", "question"), "cache_key string, score double, status string"
+    if waves == 1:
+        return todo.select(*columns).repartition(max_concurrency, "cache_key").mapInPandas(run, schema)
+    done = [cut(todo.filter(F.col("wave") == w).select(*columns).repartition(max_concurrency, "cache_key").mapInPandas(run, schema)) for w in range(waves)]
+    return reduce(DataFrame.unionByName, done)
 
 
 def score_shortlist(pairs: DataFrame, cache: DataFrame, call: Callable[[str, str], float], **options) -> DataFrame:
