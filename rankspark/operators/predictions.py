@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+from .order import small
+
 # The columns of a prediction row and its version.
 SCHEMA_VERSION = "predictions-v1"
 CORE = ("schema_version", "qualified_id", "example_id", "split", "method", "test_class", "rank", "score", "score_applicable", "bm25_rank", "source_missing", "experiment_commit", "run_id", "ranking_path")
@@ -41,12 +44,20 @@ def prediction_violations(rows: DataFrame, inventory: DataFrame, cache: DataFram
     """
     keys = ["method", "qualified_id", "test_class"]
     pick = lambda df, rule: df.select(F.lit(rule).alias("rule"), *keys)
-    out = pick(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate key")
-    want = rows.select("method", "qualified_id").distinct().join(inventory, "qualified_id")
-    out = out.unionByName(pick(want.join(rows, keys, "left_anti"), "missing class")).unionByName(pick(rows.join(inventory, ["qualified_id", "test_class"], "left_anti"), "unknown class"))
+    # one grouping of the rows beside what they should be: a method's rows of an example against its inventory
+    ranked = cut(rows.groupBy("method", "qualified_id").agg(F.count(F.lit(1)).alias("rows")))
+    want = inventory.select("qualified_id", "test_class").join(small(ranked), "qualified_id").select(*keys, F.lit(0).alias("seen"), F.lit(1).alias("due"))
+    both = rows.select(*keys, F.lit(1).alias("seen"), F.lit(0).alias("due")).unionByName(want)
+    n = both.groupBy(*keys).agg(F.sum("seen").alias("seen"), F.sum("due").alias("due")).filter("seen <> 1 or due <> 1")
+    times = lambda rule, count, when: F.when(when, F.array_repeat(F.lit(rule), count.cast("int"))).otherwise(F.array())
+    seen, due = F.col("seen"), F.col("due")
+    broken = F.concat(times("duplicate key", F.lit(1), seen > 1), times("missing class", due, seen == 0), times("unknown class", seen, due == 0))
+    out = n.select(F.explode(broken).alias("rule"), *keys)
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
-    out = out.unionByName(pick(rows.filter(F.col("score_applicable") & ~F.coalesce(finite, F.lit(False))), "no score")).unionByName(pick(rows.filter("not score_applicable and score is not null"), "score outside the shortlist"))
-    out = out.unionByName(pick(rows.filter(~F.col("score_applicable") & (F.coalesce("inapplicable_reason", F.lit("")) != OUTSIDE)), "no reason"))
+    applies = F.col("score_applicable")
+    rules = {"no score": applies & ~F.coalesce(finite, F.lit(False)), "score outside the shortlist": ~applies & F.col("score").isNotNull(), "no reason": ~applies & (F.coalesce("inapplicable_reason", F.lit("")) != OUTSIDE)}
+    each = rows.select(F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()])).alias("broken"), *keys)
+    out = out.unionByName(each.select(F.explode("broken").alias("rule"), *keys))
     if cache is not None:
         j = rows.filter("score_applicable and cache_key is not null").join(cache.select("cache_key", F.col("score").alias("cached")), "cache_key", "left")
         out = out.unionByName(pick(j.filter(~F.coalesce(F.abs(F.col("score") - F.col("cached")) <= 1e-12, F.lit(False))), "score differs from the cache"))

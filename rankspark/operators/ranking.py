@@ -25,12 +25,14 @@ def shortlist(ranked: DataFrame, by: list[str], cap: int = SHORTLIST_CAP) -> Dat
 def rerank(base: DataFrame, scores: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     """First k rows of each ranking by (external score desc, base rank); the rest keeps its base order.
 
-    base: by, key, base_rank; scores: by, key, ext_score. Tail rows carry a null score.
+    base: by, key, base_rank from 1 on without gaps; scores: by, key, ext_score. Tail rows carry a null score, and keep their
+    ranks, so that only heads are joined and sorted.
     """
-    joined = base.join(scores, [*by, key], "left")
-    head = F.col("base_rank") <= k
-    joined = joined.withColumn("ext_score", F.when(head, F.col("ext_score"))).withColumn("scored", head)
-    return rank(joined, by, (~head).asc(), F.col("ext_score").desc_nulls_last(), F.col("base_rank").asc())
+    head = rank(base.filter(F.col("base_rank") <= k).join(scores, [*by, key], "left"), by, F.col("ext_score").desc_nulls_last(), F.col("base_rank").asc())
+    columns = [*[c for c in base.columns if c not in by and c != key], *[c for c in scores.columns if c not in base.columns and c != "ext_score"]]
+    kind = scores.schema["ext_score"].dataType
+    tail = base.filter(F.col("base_rank") > k).withColumns({"ext_score": F.lit(None).cast(kind), "scored": F.lit(False), "rank": F.col("base_rank").cast("long")})
+    return head.withColumn("scored", F.lit(True)).unionByName(tail, allowMissingColumns=True).select(*by, key, *columns, "ext_score", "scored", "rank")
 
 
 def rerank_violations(base: DataFrame, scores: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
@@ -47,11 +49,13 @@ def rerank_violations(base: DataFrame, scores: DataFrame, by: list[str], key: st
 def permutation_violations(ranked: DataFrame, inventory: DataFrame, by: list[str], key: str) -> DataFrame:
     """Ranks that aren't 1..N once each, and ids that are repeated, missing or unknown. Empty for a valid ranking."""
     cols = [*by, key]
-    n = ranked.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    both = n.join(inventory.select(*cols).distinct().withColumn("known", F.lit(True)), cols, "full_outer")
-    rule = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "repeated")
-    ids = both.select(rule.alias("rule"), *cols).filter("rule is not null")
-    span = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("rank").alias("d"))
+    both = ranked.select(*cols, F.lit(1).alias("n"), F.lit(False).alias("known")).unionByName(inventory.select(*cols, F.lit(0).alias("n"), F.lit(True).alias("known")))
+    ids = both.groupBy(*cols).agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    rule = F.when(F.col("n") == 0, "missing").when(~F.col("known"), "unknown").when(F.col("n") > 1, "repeated")
+    ids = ids.select(rule.alias("rule"), *cols).filter("rule is not null")
+    r = F.col("rank")  # different ranks are counted in bitmaps of 32,768 ranks
+    parts = ranked.groupBy(*by, F.bitmap_bucket_number(r).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(r).alias("lo"), F.max(r).alias("hi"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(r))).alias("d"))
+    span = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("d").alias("d"))
     ranks = span.filter("lo <> 1 or hi <> n or d <> n").select(F.lit("ranks").alias("rule"), *by, F.lit(None).cast(ranked.schema[key].dataType).alias(key))
     return ids.unionByName(ranks)
 

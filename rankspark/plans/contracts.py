@@ -173,8 +173,7 @@ UNION ALL SELECT 'score differs from the cache', method, qualified_id, test_clas
 UNION ALL SELECT 'several observed models', method, qualified_id, NULL FROM s WHERE method = 'Rerank' AND rank = 1""")
 def prediction_audit(spark, d):
     """Prediction rows of which rank 3 is lost and rank 4 comes twice in BM25; in the reranking rank 2 has another score, rank 1 another model, and the first tail row a score."""
-    rows, cache = predicted(spark, d)
-    good = R.cut(rows)
+    good, cache = predicted(spark, d)
     bm25, again = good.filter("method = 'BM25' and rank <> 3"), good.filter("method = 'Rerank'")
     score = F.when(F.col("rank") == 2, F.col("score") + 0.5).when(F.col("rank") == R.RERANK_K + 1, 0.5).otherwise(F.col("score"))
     again = again.withColumns({"score": score, "observed_model_id": F.when(F.col("rank") == 1, "another").otherwise(F.col("observed_model_id"))})

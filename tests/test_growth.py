@@ -54,3 +54,18 @@ def test_first_ranks_in_blocks_are_those_of_all_pairs(spark):
             if good:
                 want[i] = (good[0], len(order))
     assert got == want and 303 in got and 310 not in got
+
+
+def test_audits_group_their_rows_once(spark):
+    from rankspark.operators import predictions, ranking
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    ranked = spark.range(70_000).select(F.lit(1).alias("item"), F.col("id").alias("doc"), F.when(F.col("id") == 40_000, 5).otherwise(F.col("id") + 1).alias("rank"))
+    bad = ranking.permutation_violations(ranked, ranked.filter("doc <> 9"), ["item"], "doc")
+    assert "distinct" not in plan(bad).lower() and "FullOuter" not in plan(bad)
+    assert {(r.rule, r.doc) for r in bad.collect()} == {("unknown", 9), ("ranks", None)}
+    schema = "method string, qualified_id string, test_class string, score double, score_applicable boolean, inapplicable_reason string"
+    rows = spark.createDataFrame([("m", "a", x, 0.5, True, None) for x in "xyyzz"] + [("m", "a", "w", None, True, None)], schema)
+    bad = predictions.prediction_violations(rows, spark.createDataFrame([("a", x) for x in "xyuw"], "qualified_id string, test_class string"))
+    assert "LeftAnti" not in plan(bad)
+    assert sorted((r.rule, r.test_class) for r in bad.collect()) == [("duplicate key", "y"), ("duplicate key", "z"), ("missing class", "u"), ("no score", "w"), ("unknown class", "z"), ("unknown class", "z")]
