@@ -24,21 +24,6 @@ from ..sources.scratch import cut
 CENTRES, ROWS_A_CENTRE, BLOCK, SLACK = 1_024, 4_096, 1_024, 1e-8  # scores are rounded to 9 digits
 
 
-def cosine_scores(queries: DataFrame, base: DataFrame, digits: int = 9) -> DataFrame:
-    """(item, doc, score): each query vector against every other base vector. Unusable vectors take no part.
-
-    queries: item, qv; base: doc, v. Vectors are normalised once per row, so a pair costs one dot product.
-    """
-    def unit(df: DataFrame, v: str, out: str) -> DataFrame:
-        ok = df.filter(S.usable_vector(F.col(v)))
-        norm = F.sqrt(S.dot(F.col(v), F.col(v)))
-        return ok.withColumn("norm", norm).withColumn(out, F.transform(v, lambda x: x.cast("double") / F.col("norm"))).drop("norm")
-
-    q, b = unit(queries, "qv", "qu").select("item", "qu"), unit(base, "v", "u").select("doc", "u")
-    pairs = b.join(q, F.col("item") != F.col("doc"))
-    return pairs.select("item", "doc", F.round(S.dot(F.col("qu"), F.col("u")), digits).alias("score"))
-
-
 def unit_rows(column: pa.Array, size: int) -> np.ndarray:
     """Lists of one length as rows of length 1; squares neither overflow nor vanish."""
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), size)
