@@ -63,8 +63,8 @@ def posted(spark: SparkSession, d: str) -> DataFrame:
     return cut(lexical.postings_of(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms(spark, d)))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.scores(posted(spark, d), terms(spark, d))
+def scored(spark: SparkSession, d: str, best: int | None = None) -> DataFrame:
+    return lexical.scores(posted(spark, d), terms(spark, d), best=best)
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def prefix(spark: SparkSession, d: str, k: int = SHORT) -> DataFrame:
     Where fewer than k documents match, all that match are there, and the smallest ids that don't follow: they are among the k
     smallest of all ids, as at most the matching ones can be in their way.
     """
-    top = cut(blockmax.best(scored(spark, d), k))
+    top = cut(blockmax.best(scored(spark, d, k), k))
     short = items(spark, d).distinct().join(top.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item", "left").filter(F.coalesce("n", F.lit(0)) < k).select("item")
     first = inventory(spark, d).orderBy("doc").limit(k)
     tail = cut(short).crossJoin(first).join(top, ["item", "doc"], "left_anti")
@@ -130,7 +130,7 @@ def bm25_idf(spark, d):
 
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {TOPK}")
 def bm25_scores_top20(spark, d):
-    return named(ranking.shortlist(ranking.rank_by_score(scored(spark, d), ["item"]), ["item"], TOPK)).select("item_id", "doc_id", "score", "rank")
+    return named(ranking.shortlist(ranking.rank_by_score(scored(spark, d, TOPK), ["item"]), ["item"], TOPK)).select("item_id", "doc_id", "score", "rank")
 
 
 @query(SQL["bm25_scores_top20"])

@@ -67,3 +67,16 @@ def test_scores_are_neither_expanded_nor_aggregated_by_rows(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan(post)  # other terms don't leave the tokenizer
     assert "HashAggregate" not in plan(lexical.scores(post.cache(), terms)).split("InMemoryTableScan")[0]
+
+
+def test_tasks_give_only_what_can_be_among_the_best(spark, monkeypatch):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("ab"), (F.col("id") % 37 + 1).cast("int")), F.lit("cd")).alias("text"))
+    terms = spark.createDataFrame([(i, t) for i in range(9) for t in ("ab", "cd")[i % 2 :]], "item long, term string")
+    post = lexical.postings_of(docs, "doc_id", "text", terms).cache()
+    from rankspark.operators import blockmax
+    rows = lambda df: sorted(tuple(r) for r in blockmax.best(df, 5).collect())
+    want = rows(lexical.scores(post, terms))
+    few = lexical.scores(post, terms, best=5)
+    assert rows(few) == want and len(want) == 45 and few.count() < 8_000 < lexical.scores(post, terms).count()
+    monkeypatch.setattr(lexical, "PIECE_PAIRS", 50)  # cuts of cuts, and rows given as they come
+    assert rows(lexical.scores(post, terms, best=5)) == want
