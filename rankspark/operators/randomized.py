@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_hash
+from ..sources.scratch import cut
+from .order import small
 
 
 def hash_ranks(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
@@ -15,6 +17,20 @@ def hash_ranks(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+def hash_first_ranks(docs: DataFrame, positives: DataFrame, seed: int) -> DataFrame:
+    """(item, first_rank): rank of each item's first positive (item, doc) in its seeded hash order of all docs (doc).
+
+    Documents ahead are counted as their hashes are made; what a hash begins with is one string an item, what it ends with one a document.
+    """
+    best = positives.groupBy("item").agg(F.min(F.struct(order_hash(seed, F.col("item"), F.col("doc")).alias("h"), "doc")).alias("b"))
+    best = cut(best.select("item", F.concat(F.lit(f"{seed}:"), F.col("item").cast("string")).alias("head"), F.col("b.h").alias("h"), F.col("b.doc").alias("first")))
+    each = docs.select("doc", F.concat(F.lit(":"), F.col("doc").cast("string")).alias("tail"))
+    near = each.join(small(best), F.md5(F.concat("head", "tail")) <= F.col("h"))  # equal hashes are nearly always the positive itself
+    before = (F.col("doc") < F.col("first")) | (F.md5(F.concat("head", "tail")) < F.col("h"))
+    ahead = near.groupBy("item").agg(F.count_if(before).alias("ahead"))
+    return best.select("item").join(ahead, "item", "left").select("item", (F.coalesce("ahead", F.lit(0)) + 1).alias("first_rank"))
+
+
 def stratified_hash_sample(df: DataFrame, stratum: str, key: str, seed: int, size: int, development: int) -> DataFrame:
     """`size` rows a stratum in seeded hash order, the first `development` of them for development."""
     w = Window.partitionBy(stratum).orderBy(order_hash(seed, F.col(stratum), F.col(key)), F.col(key).cast("string"))

@@ -283,10 +283,9 @@ false AS patch_truncated, 0 AS missing_test_source_count, m.first_rank IS NOT NU
 
 
 def wide(spark, d) -> DataFrame:
-    post = R.posted(spark, d)
-    pos = R.positives(spark, d, post)
-    ranks = E.first_ranks(spark, d, post, pos).select("method", "item", "first_rank")
-    n = R.lexical.documents_of(post).agg(F.count(F.lit(1)).alias("n"))
+    judged = docs, pos, _ = R.judged(spark, d)
+    ranks = E.first_ranks(spark, d, judged).select("method", "item", "first_rank")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
     every = R.items(spark, d).crossJoin(F.broadcast(spark.createDataFrame([("BM25",), ("Random",)], "method string"))).crossJoin(F.broadcast(n))  # methods are two, n is one row
     m = every.join(ranks, ["method", "item"], "left").join(pos.groupBy("item").agg(F.count(F.lit(1)).alias("positives")), "item", "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
     m = m.select(F.concat(F.lit("Cli-"), "item").alias("qualified_id"), "method", "first_rank", "n", "positives", (F.col("first_rank") <= R.SHORT).alias("in_shortlist"), F.lit(False).alias("patch_truncated"), F.lit(0).alias("source_missing"))

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.hashing import order_hash
 from ..operators import audit, cohort, manifest, metrics, order, quantiles, randomized, stats
-from ..operators import lexical as L
 from ..sources.tables import table
 from . import retrieval as R
 
@@ -35,15 +33,11 @@ GRID = "g AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS b
 AGG = "count(*) AS n_items, round(avg(rr), 6) AS mrr, round(avg(nftr), 6) AS mean_nftr, round(quantile_cont(nftr, 0.5), 6) AS median_nftr, round(avg(apfd), 6) AS mean_apfd"
 
 
-def first_ranks(spark, d, post: DataFrame | None = None, pos: DataFrame | None = None) -> DataFrame:
-    """(method, item, project, first_rank, n) of both methods."""
-    post = R.posted(spark, d) if post is None else post
-    pos = R.positives(spark, d, post) if pos is None else pos
-    lexical = L.first_positive_rank(post, R.terms(spark, d), pos).select(F.lit("BM25").alias("method"), "item", "first_rank")
-    best = pos.groupBy("item").agg(F.min(F.struct(order_hash(RANDOM_SEED, F.col("item"), F.col("doc")).alias("h"), "doc")).alias("b"))
-    docs = L.documents_of(post).select("doc")
-    ahead = docs.join(best, F.struct(order_hash(RANDOM_SEED, F.col("item"), docs["doc"]).alias("h"), docs["doc"]) < F.col("b")).groupBy("item").agg(F.count(F.lit(1)).alias("ahead"))
-    hashed = best.join(ahead, "item", "left").select(F.lit("Random").alias("method"), "item", (F.coalesce("ahead", F.lit(0)) + 1).alias("first_rank"))
+def first_ranks(spark, d, judged: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(method, item, project, first_rank, n) of both methods; judged: R.judged(), if it is there."""
+    docs, pos, first = R.judged(spark, d) if judged is None else judged
+    lexical = first.select(F.lit("BM25").alias("method"), "item", "first_rank")
+    hashed = randomized.hash_first_ranks(docs, pos, RANDOM_SEED).select(F.lit("Random").alias("method"), "item", "first_rank")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return lexical.unionByName(hashed).crossJoin(F.broadcast(n)).withColumn("project", F.col("item") % 5)
 
@@ -131,13 +125,11 @@ t AS (SELECT a, b, count(*) AS n_items, count(*) FILTER (da = 1 AND db = 0) AS a
 SELECT a, b, n_items, a_only, b_only, fdr_delta, mrr_delta, round(CASE WHEN k0 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(k0 + 1) - lgamma(i + 1) - lgamma(k0 - i + 1) - k0 * ln(2))) FROM range(0, 100000) r(i) WHERE i >= k AND i <= k0)) END, 9) AS p_value FROM z""")
 def contrasts(spark, d):
     """One primary and two further contrasts, with the documents' listing as a third method."""
-    post = R.posted(spark, d)
-    pos = R.positives(spark, d, post)
-    docs = L.documents_of(post).select("doc")
+    judged = docs, pos, _ = R.judged(spark, d)
     first = pos.groupBy("item").agg(F.min("doc").alias("doc"))
     listed = order.numbered(docs, "doc").join(first, "doc").select("item", (F.col("position") + 1).alias("first_rank"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    ranks = first_ranks(spark, d, post, pos).select("method", "item", "first_rank", "n")
+    ranks = first_ranks(spark, d, judged).select("method", "item", "first_rank", "n")
     m = metrics.item_metrics(ranks.unionByName(listed.crossJoin(F.broadcast(n)).select(F.lit("Listing").alias("method"), "item", "first_rank", "n")))
     m = R.cut(m.withColumn("detected", (F.col("first_rank") <= S.budget_k(F.lit(0.10), F.col("n"))).cast("double")))
     out = None

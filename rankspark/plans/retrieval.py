@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import scoring as S
 from ..functions.text import tokenize
-from ..operators import blockmax, cohort, lexical, ranking, vectors
+from ..operators import blockmax, cohort, judging, lexical, ranking, vectors
 from ..sources.scratch import cut, shared_folder
 from ..sources.tables import spread, table
 
@@ -75,15 +75,14 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"))
 
 
-def positives(spark: SparkSession, d: str, post: DataFrame) -> DataFrame:
-    """(item, doc): documents that contain the item's passage. The stated query set goes against all documents."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
-    return cut(lexical.containing(post, table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"), docs))
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inventory, positives, first ranks) from one reading of the documents; positives are documents that contain the item's passage."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return judging.judged(docs, "doc_id", "text", table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"))
 
 
 def first_ranks(spark: SparkSession, d: str) -> DataFrame:
-    post = posted(spark, d)
-    return lexical.first_positive_rank(post, terms(spark, d), positives(spark, d, post))
+    return judged(spark, d)[2]
 
 
 def full_ranking(spark: SparkSession, d: str) -> DataFrame:
