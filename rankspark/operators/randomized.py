@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_hash
 from ..sources.scratch import cut
+from .lexical import MOST_PAIRS
 from .order import small
 
 
@@ -24,7 +25,8 @@ def hash_first_ranks(docs: DataFrame, positives: DataFrame, seed: int) -> DataFr
     """
     best = positives.groupBy("item").agg(F.min(F.struct(order_hash(seed, F.col("item"), F.col("doc")).alias("h"), "doc")).alias("b"))
     best = cut(best.select("item", F.concat(F.lit(f"{seed}:"), F.col("item").cast("string")).alias("head"), F.col("b.h").alias("h"), F.col("b.doc").alias("first")))
-    each = docs.select("doc", F.concat(F.lit(":"), F.col("doc").cast("string")).alias("tail"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * best.count() // MOST_PAIRS))
+    each = docs.select("doc").repartition(tasks).select("doc", F.concat(F.lit(":"), F.col("doc").cast("string")).alias("tail"))  # ids are short, their hashes many
     near = each.join(small(best), F.md5(F.concat("head", "tail")) <= F.col("h"))  # equal hashes are nearly always the positive itself
     before = (F.col("doc") < F.col("first")) | (F.md5(F.concat("head", "tail")) < F.col("h"))
     ahead = near.groupBy("item").agg(F.count_if(before).alias("ahead"))

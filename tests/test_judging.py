@@ -69,12 +69,16 @@ def test_only_essential_terms_lead_to_a_document():
     assert rest.tolist() == [pytest.approx(2.75), 0.0, 0.0]
 
 
-def test_hash_ranks_are_counted_as_in_whole_orders(spark):
+def test_hash_ranks_are_counted_as_in_whole_orders(spark, monkeypatch):
     import hashlib
 
+    monkeypatch.setattr(randomized, "MOST_PAIRS", 100)
+
     docs = spark.range(300).selectExpr("id * 3 as doc")
     positives = [(i, d * 3) for i in range(9) for d in range(i, 300, 40 + i)]
-    got = {r["item"]: r.first_rank for r in randomized.hash_first_ranks(docs, spark.createDataFrame(positives, "item long, doc long"), 7).collect()}
+    ranks = randomized.hash_first_ranks(docs, spark.createDataFrame(positives, "item long, doc long"), 7)
+    assert "RoundRobinPartitioning(27)" in ranks._jdf.queryExecution().executedPlan().toString()  # 300 documents, 9 items
+    got = {r["item"]: r.first_rank for r in ranks.collect()}
     for i in range(9):
         order = sorted((hashlib.md5(f"7:{i}:{d * 3}".encode()).hexdigest(), d * 3) for d in range(300))
         assert got[i] == 1 + min(k for k, (_, d) in enumerate(order) if (i, d) in positives)
