@@ -2,7 +2,7 @@
 
 index() makes the shards: every task turns the texts it reads into rows of at most SHARD_TERMS terms (a longer text is a shard
 of its own), each with its documents, their sizes, and a postings list for every term (terms.py): documents of the shard in
-order, with the term's occurrences. Nothing is dealt out by term, so a term that every document holds is spread like the texts.
+order, with the term's occurrences. Of the texts read so far a task keeps the postings only. Nothing is dealt out by term, so a term that every document holds is spread like the texts.
 
 search() takes the items block by block, BLOCK_PAIRS (item, term) pairs at once. Each task walks its shards and keeps every
 item's k best so far; the k-th score is what a document must reach. In a shard the item's terms stand by their upper bound,
@@ -33,50 +33,66 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import terms as T
 
-SHARD_TERMS, SHARD_TEXTS, BLOCK_PAIRS, SALTS = 1 << 21, 60_000, 100_000, 32
+SHARD_TERMS, SHARD_TEXTS, BLOCK_PAIRS, SALTS, PIECE = 1 << 21, 60_000, 100_000, 32, 1 << 16
 NO_ID = np.iinfo(np.int64).max  # a null document id while ids are numbers
 SHARD = "texts long, terms long, ids binary, sizes binary, hashes binary, counts binary, places binary, tfs binary"
 
 
-def shard(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> dict:
-    """One row of the index: document i has the next sizes[i] of hashes."""
-    whose = np.repeat(np.arange(len(ids)), sizes)
+def postings(first: int, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, occurrences) of some texts, by hash and document; text i has the next sizes[i] of hashes and is document first + i."""
     order = np.argsort(hashes, kind="stable")
-    h, d = hashes[order], whose[order]
+    h, d = hashes[order], np.repeat(np.arange(first, first + len(sizes), dtype=np.uint16), sizes)[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     at = np.flatnonzero(new)
-    tf, h, d = np.diff(np.append(at, len(h))), h[at], d[at]
-    term = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return {"texts": len(ids), "terms": int(sizes.sum()), "ids": ids.astype("<i8").tobytes(), "sizes": sizes.astype("<i8").tobytes(), "hashes": h[term].astype("<u8").tobytes(),
-            "counts": np.diff(np.append(term, len(h))).astype("<i4").tobytes(), "places": d.astype("<u2").tobytes(), "tfs": tf.astype("u1" if tf.max() < 256 else "<i8").tobytes()}
+    return h[at], d[at], np.diff(np.append(at, len(h))).astype(np.uint32)
 
 
-def index(docs: DataFrame, doc: str, text: str, shard_terms: int = SHARD_TERMS, rows: int = K.BATCH_ROWS) -> DataFrame:
-    """The shards of all texts, read `rows` texts at once, written to the shared folder."""
+def packed(ids: np.ndarray, sizes: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+    """One row of the index from the postings of its texts, run after run; counts of a term in a document get as many bytes as the largest needs. Empties runs."""
+    h, d, tf = (np.concatenate(x) for x in zip(*runs, strict=True))
+    runs.clear()
+    order = np.argsort(h, kind="stable")
+    h, d, tf = h[order], d[order], tf[order].astype(np.min_scalar_type(tf.max()))
+    term = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    arrays = {"ids": ids.astype("<i8"), "sizes": sizes.astype("<i8"), "hashes": h[term].astype("<u8"), "counts": np.diff(np.append(term, len(h))).astype("<i4"), "places": d.astype("<u2"), "tfs": tf.astype(tf.dtype.newbyteorder("<"))}
+    return {"texts": len(ids), "terms": int(sizes.sum())} | {k: pa.py_buffer(x) for k, x in arrays.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, hashes, n = [], [], [], 0
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([shard(np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes))], schema=SCHEMA)
+def shard(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> dict:
+    """One row of the index: document i has the next sizes[i] of hashes."""
+    return packed(ids, sizes, [postings(0, sizes, hashes)])
+
+
+def shards_of(batches: Iterator[pa.RecordBatch], shard_terms: int = SHARD_TERMS, rows: int = K.BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The shards of batches (id, text), read `rows` texts at once, of which only the postings are kept."""
+    ids, sizes, runs, n, held = [], [], [], 0, 0
+
+    def row() -> pa.RecordBatch:
+        made = packed(np.concatenate(ids), np.concatenate(sizes), runs)
+        binary = lambda x: pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(x)], np.int32)), x])
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if isinstance(x, int) else binary(x) for x in made.values()], schema=SCHEMA)
+
+    for b in K.sliced(batches, 1, rows):
+        h, _, bounds = T.terms(*K.buffers(b.column(1)))
+        size = np.diff(bounds)
+        has = np.flatnonzero(size)
+        if len(has):
+            if n and (n + len(h) > shard_terms or held + len(has) > SHARD_TEXTS):
+                yield row()
+                ids, sizes, n, held = [], [], 0, 0
+            ids.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)[has])
+            sizes.append(size[has])
+            runs.append(postings(held, size[has], h))
+            n, held = n + len(h), held + len(has)
+    if n:
+        yield row()
 
-        for b in K.sliced(batches, 1, rows):
-            h, _, bounds = T.terms(*K.buffers(b.column(1)))
-            size = np.diff(bounds)
-            has = np.flatnonzero(size)
-            if len(has):
-                if n and (n + len(h) > shard_terms or sum(map(len, ids)) + len(has) > SHARD_TEXTS):
-                    yield row()
-                    ids, sizes, hashes, n = [], [], [], 0
-                ids.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)[has])
-                sizes.append(size[has])
-                hashes.append(h)
-                n += len(h)
-        if n:
-            yield row()
-
-    return K.cut(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, SHARD))
+
+def index(docs: DataFrame, doc: str, text: str, shard_terms: int = SHARD_TERMS, rows: int = K.BATCH_ROWS) -> DataFrame:
+    """The shards of all texts, read `rows` texts at once, written to the shared folder."""
+    K.small_batches(docs.sparkSession)
+    return K.cut(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(lambda batches: shards_of(batches, shard_terms, rows), SHARD))
 
 
 SCHEMA = pa.schema([(c, pa.int64() if t == "long" else pa.binary()) for c, t in (x.split() for x in SHARD.split(", "))])
@@ -137,7 +153,7 @@ def search_shard(row: dict, wanted: np.ndarray, weights: np.ndarray, items: list
     """
     hashes, counts = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["counts"], "<i4").astype(np.int64)
     places, ids, sizes = np.frombuffer(row["places"], "<u2"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
-    tfs = np.frombuffer(row["tfs"], "u1" if len(row["tfs"]) == len(places) else "<i8")
+    tfs = np.frombuffer(row["tfs"], f"<u{len(row['tfs']) // len(places)}")
     first = np.cumsum(counts) - counts
     at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
     there = np.flatnonzero(hashes[at] == wanted)
@@ -145,10 +161,15 @@ def search_shard(row: dict, wanted: np.ndarray, weights: np.ndarray, items: list
     slot[there] = np.arange(len(there))
     n = counts[at[there]]
     bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-    take = np.repeat(first[at[there]] - bounds[:-1], n) + np.arange(bounds[-1])
-    d, tf = places[take].astype(np.int64), tfs[take].astype(np.int64)
     m = 75 + (25 * sizes * n_all) // l_all if sizes.max() < (1 << 62) // max(1, 25 * n_all) else np.array([75 + 25 * int(x) * n_all // l_all for x in sizes])
-    gain = (10**9 * tf) // (1000 * tf + 12 * m[d]) * np.repeat(weights[there], n)
+    d, gain = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+    for a in range(0, len(d), PIECE):
+        b = min(a + PIECE, len(d))
+        lists = slice(np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b))
+        own = np.minimum(bounds[1:][lists], b) - np.maximum(bounds[:-1][lists], a)
+        take = np.repeat((first[at[there]] - bounds[:-1])[lists], own) + np.arange(a, b)
+        d[a:b], tf = places[take], tfs[take].astype(np.int64)
+        gain[a:b] = (10**9 * tf) // (1000 * tf + 12 * m[d[a:b]]) * np.repeat(weights[there][lists], own)
     top = np.maximum.reduceat(gain, bounds[:-1]) if len(there) else np.zeros(0, np.int64)
     acc, read, whole = np.zeros(len(ids), np.int64), 0, 0
     for item, (terms, times) in enumerate(items):
@@ -203,7 +224,8 @@ def search_block(shards: DataFrame, pairs: pa.Table, n_all: int, l_all: int, k:
         best = Best(len(items), k)
         for b in batches:
             for i in range(b.num_rows):
-                search_shard(b.slice(i, 1).to_pylist()[0], wanted, weights, items, n_all, l_all, best)
+                row = {c: x[i].as_buffer() for c, x in zip(b.schema.names, b.columns, strict=True) if pa.types.is_binary(x.type)}
+                search_shard(row, wanted, weights, items, n_all, l_all, best)
         for at in range(0, len(items), 1_000):
             sizes = [len(s) for s in best.scores[at : at + 1_000]]
             ids = np.concatenate(best.ids[at : at + 1_000])
@@ -214,6 +236,7 @@ def search_block(shards: DataFrame, pairs: pa.Table, n_all: int, l_all: int, k:
 
 def search(shards: DataFrame, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
     """(item, rank, doc, score): each item's k best documents with a score above 0."""
+    K.small_batches(items.sparkSession)
     kind = dict(items.dtypes)[item]
     empty = items.sparkSession.createDataFrame([], f"item {kind}, doc long, score long")
     n_all, l_all = shards.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -166,6 +167,26 @@ def test_maxscore_skips_postings():
     assert read < whole / 10 and len(best.scores[0]) == 2
 
 
+def test_maxscore_index_keeps_postings_only(spark):
+    """Counts above 255 don't make all counts eight bytes wide, texts come in small batches, and a task holds little more than the postings."""
+    row = maxscore.shard(np.arange(2), np.array([300, 4]), np.array([7] * 300 + [5, 5, 7, 9], np.uint64))
+    assert len(row["tfs"]) == 2 * 4 and np.frombuffer(row["tfs"], "<u2").tolist() == [2, 300, 1, 1]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    maxscore.index(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "doc_id", "text")
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= kernels.BATCH_BYTES
+    words = [f"w{i}" for i in range(20_000)]
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(words[: 20 if i % 2 else None], k=500)) for i in range(1_000)]
+    batches = [pa.record_batch([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100])], names=["doc", "text"]) for i in range(0, 1_000, 100)]
+    kernels.words(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))  # its tables of powers stay with the worker
+    tracemalloc.start()
+    got = list(maxscore.shards_of(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 and got[0].column("terms")[0].as_py() == 500_000
+    assert peak < 40 * 500_000  # bytes a term: 21, but 66 when all hashes were kept
+
+
 # --- op12 ---------------------------------------------------------------------------------------------------------------------------
 
 RUDE = ("wretchling", "stinkbrain", "vileface", "grubhead")
