@@ -51,7 +51,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.token_frame(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return lexical.token_frame(spread(table(spark, d, "documents").select("doc_id", "text"), key="doc_id"), "doc_id", "text")
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 def posted(spark: SparkSession, d: str) -> DataFrame:
     """Postings of all query terms, written once: the only reading and tokenizing of the documents."""
-    return cut(lexical.postings_of(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms(spark, d)))
+    return cut(lexical.postings_of(spread(table(spark, d, "documents").select("doc_id", "text"), key="doc_id"), "doc_id", "text", terms(spark, d)))
 
 
 def scored(spark: SparkSession, d: str, best: int | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(inventory, positives, first ranks) from one reading of the documents; positives are documents that contain the item's passage."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), key="doc_id")
     return judging.judged(docs, "doc_id", "text", table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"))
 
 
@@ -218,7 +218,7 @@ def prefix_audit(spark, d):
 
 def vector_queries(spark, d):
     """(queries, base): every 25th vector against all."""
-    e = spread(table(spark, d, "embeddings"))
+    e = spread(table(spark, d, "embeddings"), key="vec_id")
     q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("item"), F.col("embedding").alias("qv"))
     return q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
 
@@ -230,7 +230,7 @@ def cosine_topk(spark, d):
 
 def vector_first_ranks(spark, d):
     """(item, first_rank, n): documents ahead of the best positive are counted, so no ranking is sorted."""
-    e = spread(table(spark, d, "embeddings"))
+    e = spread(table(spark, d, "embeddings"), key="vec_id")
     q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("item"), F.col("embedding").alias("qv"), F.col("label").alias("own"))
     return vectors.first_ranks(q, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label"))
 

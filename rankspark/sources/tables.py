@@ -27,10 +27,22 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Round-robin over all cores when the files give fewer tasks; large inputs stay as they are."""
+def spread(df: DataFrame, least: int | None = None, key: str | None = None) -> DataFrame:
+    """Over all cores where the files give fewer tasks, or where one task would get over twice its share; other inputs stay as they are.
+
+    A row group is read by one task, whatever its size, and the other pieces of its file are then tasks without rows. Rows are
+    counted by task from the files' footers. key: a column of distinct values to deal lopsided rows by, which sorts nothing.
+    """
     n = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    tasks = df.rdd.getNumPartitions()
+    if tasks < n:
+        return df.repartition(n)
+    by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("rows"))
+    most, rows = by_task.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if most * n <= 2 * rows:
+        return df
+    tasks = n * -(-tasks // n)
+    return df.repartition(tasks, key) if key else df.repartition(tasks)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

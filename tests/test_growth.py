@@ -69,3 +69,30 @@ def test_audits_group_their_rows_once(spark):
     bad = predictions.prediction_violations(rows, spark.createDataFrame([("a", x) for x in "xyuw"], "qualified_id string, test_class string"))
     assert "LeftAnti" not in plan(bad)
     assert sorted((r.rule, r.test_class) for r in bad.collect()) == [("duplicate key", "y"), ("duplicate key", "z"), ("missing class", "u"), ("no score", "w"), ("unknown class", "z"), ("unknown class", "z")]
+
+
+def test_one_row_group_is_not_one_task(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from rankspark.sources.tables import spread
+
+    rows = pa.table({"doc_id": pa.array(range(8_000)), "text": [f"w{i * 7919 % 8_009} " * (i % 40) for i in range(8_000)]})
+    confs = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    for name, size in (("one", 8_000), ("many", 250)):
+        pq.write_table(rows, f"{tmp_path}/{name}.parquet", row_group_size=size)
+    by_task = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        for key in ("doc_id", None):
+            df = spark.read.parquet(f"{tmp_path}/one.parquet")
+            assert df.rdd.getNumPartitions() >= 8 and by_task(df) == [8_000]  # pieces enough, but one holds all rows
+            assert max(by_task(spread(df, key=key))) < 2 * 8_000 / 8
+            assert spread(df, key=key).agg(F.sum("doc_id"), F.count("text")).first() == (sum(range(8_000)), 8_000)
+        even = spark.read.parquet(f"{tmp_path}/many.parquet")
+        assert spread(even) is even
+        assert spread(even.filter("doc_id < 0")).count() == 0
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
