@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from .order import small
 
 
 def paired(metrics: DataFrame, a: str, b: str, keys: list[str], values: list[str]) -> DataFrame:
@@ -32,9 +33,11 @@ def mcnemar(table: DataFrame) -> DataFrame:
 def hash_draws(n_samples: int, pairs: DataFrame, seed: int) -> DataFrame:
     """Bootstrap multiset drawn by md5: row position pos of sample s is md5(seed:s:pos) mod n, the same in any engine.
 
-    pairs: pos 0..n-1, n and values. Returns the drawn rows with sample.
+    pairs: pos 0..n-1, n and values. Returns the drawn rows with sample; samples are dealt out over all cores, so that the pairs,
+    which may come from one task, don't make all draws there.
     """
-    draws = pairs.select("pos", "n").withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_samples - 1).cast("long"))))
+    pairs = small(pairs)
+    draws = pairs.sparkSession.range(n_samples).select(F.col("id").alias("sample")).crossJoin(pairs.select("pos", "n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("pos").cast("string")))
     draws = draws.select("sample", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("pos"))
     return draws.join(pairs.drop("n"), "pos")

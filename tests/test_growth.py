@@ -96,3 +96,17 @@ def test_one_row_group_is_not_one_task(spark, tmp_path):
     finally:
         for k in confs:
             spark.conf.unset(k)
+
+
+def test_draws_are_dealt_out_by_sample(spark):
+    import hashlib
+
+    from rankspark.operators import stats
+
+    pairs = spark.range(30).select(F.col("id").alias("pos"), F.lit(30).cast("long").alias("n"), (F.col("id") * 2).alias("value")).coalesce(1)
+    drawn = stats.hash_draws(64, pairs, 9)
+    assert "CartesianProduct" not in drawn._jdf.queryExecution().executedPlan().toString()
+    rows = drawn.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) >= 8  # one when each pair drew for all samples
+    draw = lambda s, p: int(hashlib.md5(f"9:{s}:{p}".encode()).hexdigest()[:8], 16) % 30
+    assert sorted((r.sample, r.pos, r.value) for r in rows) == sorted((s, draw(s, p), 2 * draw(s, p)) for s in range(64) for p in range(30))
