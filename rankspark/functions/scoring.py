@@ -11,9 +11,14 @@ SHORTLIST_CAP = 200
 BUDGETS = (0.01, 0.02, 0.05, 0.10, 0.20, 0.50, 1.00)
 
 
-def bm25_idf(n_docs: Column, df: Column) -> Column:
+def bm25_odds(n_docs: Column, df: Column) -> Column:
+    """What the inverse document frequency is the logarithm of."""
     d = F.greatest(F.lit(0.0), F.least(df.cast("double"), n_docs.cast("double")))
-    return F.when(n_docs > 0, F.log(1 + (n_docs - d + 0.5) / (d + 0.5))).otherwise(0.0)
+    return F.when(n_docs > 0, 1 + (n_docs - d + 0.5) / (d + 0.5)).otherwise(1.0)
+
+
+def bm25_idf(n_docs: Column, df: Column) -> Column:
+    return F.log(bm25_odds(n_docs, df))
 
 
 def bm25_term(tf: Column, dl: Column, avgdl: Column, idf: Column, k1: float = K1, b: float = B) -> Column:

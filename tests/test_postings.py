@@ -80,3 +80,12 @@ def test_tasks_give_only_what_can_be_among_the_best(spark, monkeypatch):
     assert rows(few) == want and len(want) == 45 and few.count() < 8_000 < lexical.scores(post, terms).count()
     monkeypatch.setattr(lexical, "PIECE_PAIRS", 50)  # cuts of cuts, and rows given as they come
     assert rows(lexical.scores(post, terms, best=5)) == want
+
+
+def test_weights_have_the_logarithms_of_sql(spark):
+    import duckdb
+    n = 512_820
+    known = spark.range(1, n, 371).select(F.col("id").alias("df"), F.lit(n).cast("long").alias("n_docs"))
+    got = [r.idf for r in lexical.with_idf(known).orderBy("df").collect()]
+    want = [x for (x,) in duckdb.sql(f"SELECT ln(1 + (n - df + 0.5) / (df + 0.5)) FROM (SELECT {n}::BIGINT AS n, range AS df FROM range(1, {n}, 371)) ORDER BY df").fetchall()]
+    assert got == want
