@@ -177,8 +177,10 @@ def prediction_audit(spark, d):
     bm25, again = good.filter("method = 'BM25' and rank <> 3"), good.filter("method = 'Rerank'")
     score = F.when(F.col("rank") == 2, F.col("score") + 0.5).when(F.col("rank") == R.RERANK_K + 1, 0.5).otherwise(F.col("score"))
     again = again.withColumns({"score": score, "observed_model_id": F.when(F.col("rank") == 1, "another").otherwise(F.col("observed_model_id"))})
-    inventory = good.filter("method = 'BM25'").select("qualified_id", "test_class")
-    return predictions.prediction_violations(bm25.unionByName(bm25.filter("rank = 4")).unionByName(again), inventory, cache)
+    items, docs = R.items(spark, d), R.inventory(spark, d)
+    once = items.exceptAll(items.distinct()).isEmpty() and docs.groupBy("doc").count().filter("count > 1").isEmpty()
+    inventory = docs.crossJoin(F.broadcast(items.distinct())).select(F.concat(F.lit("Cli-"), "item").alias("qualified_id"), F.concat(F.lit("C"), F.col("doc").cast("string")).alias("test_class"))
+    return predictions.prediction_violations(bm25.unionByName(bm25.filter("rank = 4")).unionByName(again), inventory, cache, listed_once=once)
 
 
 STORED = """st AS (SELECT conv_id AS item, md5(CAST(conv_id AS VARCHAR)) AS signature, turn + 1 AS rank, CASE WHEN conv_id % 11 = 3 AND turn = 0 THEN CAST('nan' AS DOUBLE) ELSE turn / 10.0::DOUBLE END AS score, count(*) OVER (PARTITION BY conv_id) AS n, turn FROM conversations),

@@ -71,6 +71,31 @@ def test_audits_group_their_rows_once(spark):
     assert sorted((r.rule, r.test_class) for r in bad.collect()) == [("duplicate key", "y"), ("duplicate key", "z"), ("missing class", "u"), ("no score", "w"), ("unknown class", "z"), ("unknown class", "z")]
 
 
+def test_rows_that_agree_with_the_inventory_are_not_grouped_by_key(spark):
+    from rankspark.operators import predictions
+
+    n = 20_000
+    rows = spark.range(n).select(F.lit("m").alias("method"), F.lit("a").alias("qualified_id"), F.concat(F.lit("C"), "id").alias("test_class"), F.lit(0.5).alias("score"), F.lit(True).alias("score_applicable"), F.lit(None).cast("string").alias("inapplicable_reason"))
+    inventory = rows.select("qualified_id", "test_class").unionByName(spark.createDataFrame([("a", "lost")], "qualified_id string, test_class string"))
+    damaged = rows.unionByName(rows.filter("test_class = 'C7'")).unionByName(rows.filter("test_class = 'C8'").withColumn("test_class", F.lit("odd")))
+    found = lambda **kw: predictions.prediction_violations(damaged, inventory, **kw)
+    want = [("duplicate key", "C7"), ("missing class", "lost"), ("unknown class", "odd")]
+    got = found(listed_once=True)
+    assert sorted((r.rule, r.test_class) for r in got.collect()) == sorted((r.rule, r.test_class) for r in found().collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2  # of the rows and of the inventory
+
+
+def test_rows_without_a_cache_key_are_not_joined(spark):
+    from rankspark.operators import predictions
+
+    ranked = spark.createDataFrame([("x", 1, 0.5, 1, False, "k", True), *[(f"t{i}", i, None, i, False, None, False) for i in range(2, 50)]], "test_class string, rank long, score double, bm25_rank long, source_missing boolean, cache_key string, scored boolean")
+    cache = spark.createDataFrame([("k", 0.5, "p", "m", "o", "v", "u", 3.0, "b", "r")], "cache_key string, score double, provider string, model_id string, observed_model_id string, prompt_version string, usage string, latency_ms double, price_basis string, provider_request_id string")
+    rows = predictions.prediction_rows(ranked, cache, method="m", qualified=F.lit("q"), slug=F.lit("s"), commit="c", run_id="r", path=F.lit("p"), scored=F.col("scored"))
+    assert "isnotnull(cache_key" in rows._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]  # above the join's left side
+    got = rows.collect()
+    assert len(got) == 49 and [(r.test_class, r.provider, r.latency_ms) for r in got if r.provider] == [("x", "p", 3.0)]
+
+
 def test_one_row_group_is_not_one_task(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
