@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import RETRYABLE
 from ..sources.scratch import cut
+from ..sources.tables import spread
 
 BACKOFF, MAX_CONCURRENCY, MAX_RETRIES, EMBED_BATCH = (1.0, 2.0, 4.0), 16, 3, 32  # fixed values
-TASK_BYTES = 256 << 20  # of keys and texts
+TASK_BYTES, TEXT_BYTES = 256 << 20, 16 << 20  # of a task's keys and texts, of texts that are broadcast
 
 
 class ScoringError(Exception):
@@ -136,20 +137,29 @@ def run_batch(jobs: Sequence[tuple[Hashable, object, float]], call: Callable[[ob
         return [running[key].result() for key, _, _ in jobs]
 
 
-def score_misses(wanted: DataFrame, cache: DataFrame, call: Callable[[str, str], float], max_concurrency: int = MAX_CONCURRENCY, sleep: Callable[[float], None] = time.sleep, per_minute: int | None = None, ceiling: float | None = None, estimate: float = 0.0) -> DataFrame:
+def score_misses(wanted: DataFrame, cache: DataFrame, call: Callable[[str, str], float], max_concurrency: int = MAX_CONCURRENCY, sleep: Callable[[float], None] = time.sleep, per_minute: int | None = None, ceiling: float | None = None, estimate: float = 0.0, ids: tuple[str, str] | None = None) -> DataFrame:
     """(cache_key, score, status) for distinct keys without a cache entry; a failed or skipped call gives a null score.
 
     wanted: cache_key, state, question. One call at a time in each of max_concurrency tasks; each task has its share of the
     rate and of the ceiling. Where these tasks would read more than TASK_BYTES each, the keys are dealt into waves, which run
-    one after another, so that neither the calls at once nor a task's share grow with the input.
+    one after another, so that neither the calls at once nor a task's share grow with the input. ids: columns of wanted, without
+    nulls, that tell its states and its questions apart, else their digests do. Only keys and ids are dealt out by key and
+    written; texts join them behind that, so that none is shuffled once for each of its pairs.
     """
-    todo = wanted.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti").select("cache_key", "state", "question")
-    todo = cut(todo.withColumn("deal", F.xxhash64("cache_key")))
-    size = todo.agg(F.sum(F.octet_length("cache_key") + F.octet_length(F.coalesce("state", F.lit(""))) + F.octet_length(F.coalesce("question", F.lit(""))))).first()[0] or 0
-    waves = max(1, -(-size // (max_concurrency * TASK_BYTES)))
+    bytes_of = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    digest = lambda c: F.coalesce(F.unhex(F.sha2(c, 256)), F.lit(b""))
+    s, q = (F.col(c) for c in ids) if ids else (digest("state"), digest("question"))
+    wanted = wanted.select("cache_key", "state", "question", s.alias("_s"), q.alias("_q"))
+    size = F.octet_length("cache_key") + bytes_of("state") + bytes_of("question")
+    todo = wanted.select("cache_key", "_s", "_q", size.alias("size")).dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    todo = cut(todo)
+    waves = max(1, -(-(todo.agg(F.sum("size")).first()[0] or 0) // (max_concurrency * TASK_BYTES)))
+    todo = todo.drop("size")
+    states, questions = (cut(wanted.select(i, c).distinct()) for i, c in (("_s", "state"), ("_q", "question")))
+    few = [(t.agg(F.sum(bytes_of(F.col(c)))).first()[0] or 0) <= TEXT_BYTES for t, c in ((states, "state"), (questions, "question"))]
+    wave = F.pmod(F.shiftright(F.xxhash64("cache_key"), 20), F.lit(waves))
     if waves > 1:
-        wave = F.pmod(F.shiftright("deal", 20), F.lit(waves))
-        todo = cut(todo.withColumn("wave", wave).repartitionByRange(int(waves * max_concurrency), "wave", "deal").sortWithinPartitions("wave"))
+        todo = cut(todo.withColumn("wave", wave).repartitionByRange(int(waves), "wave").sortWithinPartitions("wave"))
     rate = None if per_minute is None else max(1, per_minute // max_concurrency)
     share = None if ceiling is None else ceiling / max_concurrency / waves
 
@@ -163,10 +173,15 @@ def score_misses(wanted: DataFrame, cache: DataFrame, call: Callable[[str, str],
                 out.append((key, o.result if fine else None, "out of range" if o.status == "ok" and not fine else o.status))
             yield pd.DataFrame(out, columns=["cache_key", "score", "status"])
 
-    columns, schema = ("cache_key", "state", "question"), "cache_key string, score double, status string"
+    def scored(keys: DataFrame) -> DataFrame:
+        texts = spread(keys, max_concurrency) if all(few) else keys
+        for t, i, broadcast in ((questions, "_q", few[1]), (states, "_s", few[0])):
+            texts = texts.join(F.broadcast(t) if broadcast else t, i)
+        return texts.select("cache_key", "state", "question").coalesce(max_concurrency).mapInPandas(run, f"cache_key {dict(keys.dtypes)['cache_key']}, score double, status string")
+
     if waves == 1:
-        return todo.select(*columns).repartition(max_concurrency, "cache_key").mapInPandas(run, schema)
-    done = [cut(todo.filter(F.col("wave") == w).select(*columns).repartition(max_concurrency, "cache_key").mapInPandas(run, schema)) for w in range(waves)]
+        return scored(todo)
+    done = [cut(scored(todo.filter(F.col("wave") == w).drop("wave"))) for w in range(waves)]
     return reduce(DataFrame.unionByName, done)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_key
 from ..functions.scoring import response_score
-from ..operators import audit, ledger, scorer
-from ..sources.tables import cache_misses, json_field, table
+from ..operators import audit, ledger, order, scorer
+from ..sources.scratch import cut
+from ..sources.tables import cache_misses, json_field, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -181,14 +182,22 @@ def score_json_parse(spark, d):
     return table(spark, d, "events").select("event_id", score.alias("score"), F.coalesce(score.between(0, 1) & one, F.lit(False)).alias("valid"))
 
 
+def numbered_texts(df: DataFrame, text: str) -> DataFrame:
+    """df with `text`_id, the number of its text among the distinct ones; nulls are one text."""
+    each = order.numbered(df.select(text).distinct(), text, name=f"{text}_id").withColumnRenamed(text, "_text")
+    return cut(df.join(each, F.col(text).eqNullSafe(F.col("_text"))).drop("_text"))
+
+
 @query()
 def scorer_map(spark, d):
     """Every conversation's stated question scored against every benchmark passage by the stand-in model; pairs of the first five passages are in the cache."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("state"))
     q = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("question"))
-    pairs = q.crossJoin(b).withColumn("cache_key", F.sha2(F.concat_ws("|", "item", "question"), 256))
+    b, q = numbered_texts(b, "state"), numbered_texts(q, "question")
+    pairs = spread(q).crossJoin(b).withColumn("cache_key", F.unhex(F.sha2(F.concat_ws("|", "item", "question"), 256)))  # as bytes, half of its digits
     cache = pairs.filter("item < 5").select("cache_key").distinct().withColumn("score", F.lit(0.5))
-    return scorer.score_shortlist(pairs, cache, scorer.overlap_scorer, max_concurrency=4).select("item", "conv_id", "cache_key", "score", "status")
+    out = scorer.score_shortlist(pairs, cache, scorer.overlap_scorer, max_concurrency=4, ids=("state_id", "question_id"))
+    return out.select("item", "conv_id", F.lower(F.hex("cache_key")).alias("cache_key"), "score", "status")
 
 
 @query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

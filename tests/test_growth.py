@@ -35,6 +35,22 @@ def test_calls_come_in_waves_of_bounded_tasks(spark, monkeypatch):
     assert rows() == want and len(want) == 299 and len(sizes) - 2 >= 299 * 10 / (2 * 500)
 
 
+def test_no_text_is_written_once_for_each_of_its_pairs(spark, monkeypatch):
+    from rankspark.operators import scorer
+
+    states = spark.createDataFrame([(i, f"a {i} " + "x" * 50) for i in range(20)] + [(20, None), (21, "")], "s int, state string")
+    pairs = spark.range(60).select((F.col("id") % 50).alias("q"), F.concat(F.lit("a "), F.col("id") % 50).alias("question")).crossJoin(states).withColumn("cache_key", F.concat_ws("|", "s", "q"))
+    cache = spark.createDataFrame([("3|7", 0.5)], "cache_key string, score double")
+    written, kept = [], scorer.cut
+    monkeypatch.setattr(scorer, "cut", lambda df: written.append(kept(df)) or written[-1])
+    want = {f"{s}|{q}": scorer.overlap_scorer(t, f"a {q}") for s, t in states.collect() for q in range(50)} | {"3|7": 0.5}
+    for limit, options in ((scorer.TEXT_BYTES, {}), (scorer.TEXT_BYTES, {"ids": ("s", "q")}), (0, {"ids": ("s", "q")}), (0, {})):
+        monkeypatch.setattr(scorer, "TEXT_BYTES", limit)  # 0: texts are not broadcast
+        got = scorer.score_shortlist(pairs, cache, scorer.overlap_scorer, max_concurrency=2, **options).collect()
+        assert len(got) == 60 * 22 and all(r.score == want[r.cache_key] for r in got)
+    assert all(df.count() <= 50 for df in written if {"state", "question"} & set(df.columns)) and max(df.count() for df in written) == 1_099
+
+
 def test_first_ranks_in_blocks_are_those_of_all_pairs(spark):
     import numpy as np
 
