@@ -132,6 +132,9 @@ def run_batch(jobs: Sequence[tuple[Hashable, object, float]], call: Callable[[ob
 
     first = {key: (payload, estimate) for key, payload, estimate in reversed(jobs)}
     order = dict.fromkeys(key for key, _, _ in jobs)
+    if concurrency == 1:  # a thread for each call would cost more than a short call
+        done = {key: work(*first[key]) for key in order}
+        return [done[key] for key, _, _ in jobs]
     with ThreadPoolExecutor(min(concurrency, MAX_CONCURRENCY)) as pool:
         running = {key: pool.submit(work, *first[key]) for key in order}
         return [running[key].result() for key, _, _ in jobs]
